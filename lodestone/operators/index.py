@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,44 +44,37 @@ def bodies_of(segments: DataFrame, ids: list[int]) -> DataFrame:
     return found.where(F.array_contains(wanted.cast("array<int>"), F.col("bucket")))
 
 
+def _group_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per (file, term) of the token lists in each batch, with its positions."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        row = pc.list_parent_indices(lists)
+        offsets = lists.offsets.to_numpy()
+        place = np.arange(offsets[0], offsets[-1]) - offsets[row.to_numpy()]
+        flat = pa.table({"row": row, "term": pc.list_flatten(lists), "at": pa.array(place, pa.int32())})
+        groups = flat.filter(pc.field("term") != "").group_by(["row", "term"], use_threads=False)
+        found = groups.aggregate([("at", "list")]).combine_chunks()
+        rows, positions = found["row"], found["at_list"]
+        columns = {
+            "term": found["term"],
+            "file_id": batch.column("file_id").take(rows),
+            "tf": pc.list_value_length(positions),
+            "n_tokens": batch.column("n_tokens").take(rows),
+            "positions": positions,
+        }
+        yield from pa.table(columns).to_batches()
+
+
 def _per_document_postings(segments: DataFrame, kind: str, tokens: Column) -> DataFrame:
-    """(term, positions) of each document, grouped inside its own row.
+    """(term, positions) of each document.
 
-    The tokens of a row are sorted with their positions and cut where the term
-    changes, so nothing is shuffled and a long document costs n log n.
+    Tokens are made in the JVM and grouped where they are: a document never leaves its
+    batch, so nothing is shuffled until the rows are laid out by term.
     """
-    placed = segments.select(
-        "file_id",
-        "n_tokens",
-        F.sort_array(
-            F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
-        ).alias("s"),
-    ).where(F.size("s") > 0)
-    s = F.col("s")
-    cuts = placed.select(
-        "*",
-        F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]),
-        ).alias("cut"),
-    )
-    cut = F.col("cut")
-    runs = F.transform(
-        cut,
-        lambda start, k: F.struct(
-            F.get(s, start)["term"].alias("term"),
-            F.slice(s, start + 1, F.coalesce(F.get(cut, k + 1), F.size(s)) - start)["at"].alias(
-                "positions"
-            ),
-        ),
-    )
-    return cuts.select("file_id", "n_tokens", F.explode(runs).alias("run")).select(
-        F.lit(kind).alias("kind"),
-        "run.term",
-        "file_id",
-        F.size("run.positions").alias("tf"),
-        "n_tokens",
-        "run.positions",
+    rows = segments.select("file_id", "n_tokens", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    layout = "term string, file_id bigint, tf int, n_tokens int, positions array<int>"
+    return rows.mapInArrow(_group_tokens, layout).select(
+        F.lit(kind).alias("kind"), "term", "file_id", "tf", "n_tokens", "positions"
     )
 
 
@@ -84,7 +82,7 @@ def build_postings(segments: DataFrame) -> DataFrame:
     """Word and bi-gram postings with positions, one row per (kind, term, file)."""
     cjk = segments.where(F.col("content").rlike(f"[{tx.CJK_CLASS}]{{2}}"))
     return _per_document_postings(segments, "word", tx.words(F.col("content"))).unionByName(
-        _per_document_postings(cjk, "bigram", tx.cjk_bigrams(F.col("content")))
+        _per_document_postings(cjk, "bigram", tx.cjk_bigrams(F.col("content"), separate=True))
     )
 
 

@@ -140,12 +140,14 @@ def posting_frequencies(postings: DataFrame, units: list[Unit]) -> DataFrame:
             ],
         )
 
+    def shifted(name: str, offset: int) -> Column:
+        return F.transform(name, lambda p: p - offset)
+
     def tf(unit: Unit) -> Column:
         kind, tokens = _unit_tokens(unit)
         starts = F.col(at[(kind, tokens[0])])
         for offset, token in enumerate(tokens[1:], start=1):
-            shifted = F.transform(F.col(at[(kind, token)]), lambda p, o=offset: p - o)
-            starts = F.array_intersect(starts, shifted)
+            starts = F.array_intersect(starts, shifted(at[(kind, token)], offset))
         return F.coalesce(F.size(starts), F.lit(0))
 
     return found.select(

@@ -1,4 +1,4 @@
-"""One request to one lazy result table: terms, pattern, names only, stored corpus."""
+"""One request to one result table: terms, pattern, names only, stored corpus."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from lodestone.operators import rank as rk
 from lodestone.operators import scope as so
 from lodestone.operators import snippets as sn
 from lodestone.request import SearchRequest
+from lodestone.session import cut_lineage
 from lodestone.sources.corpus import Corpus
 
 RESULT_COLUMNS = (
@@ -103,13 +104,21 @@ def merge_results(files: DataFrame, folders: DataFrame) -> DataFrame:
     return files.unionByName(folders)
 
 
-def search(corpus: Corpus, request: SearchRequest, bucket_method: str = "counted") -> SearchResult:
-    """Ranked search. Everything is lazy; reading the page or the info runs it."""
+def search(
+    corpus: Corpus, request: SearchRequest, bucket_method: str = "counted", settle: bool = True
+) -> SearchResult:
+    """Ranked search.
+
+    Buckets compare each match with all others. With ``settle`` the matches are kept as a
+    table first, so bodies and names are read once; without, the plan stays lazy and
+    reads them twice.
+    """
     if request.regex:
         return search_regex(corpus, request)
     _, excluded = tm.split_query(request.q)
     scoped = so.scope_files(corpus.files, request, corpus.targets)
     matched = mt.match_files(corpus, scoped, request)
+    matched = cut_lineage(matched) if settle else matched
     # The share of better hits counts everything that matched; rules hide rows later.
     matched = rk.relevance_bucket(matched, bucket_method)
     matched = so.exclude_paths(matched, request.exclude_rules, request.full_path)

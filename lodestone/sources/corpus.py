@@ -44,13 +44,18 @@ class Corpus:
         return self.stats if self.stats is not None else ix.corpus_stats(self.segments)
 
     def indexed(self) -> Corpus:
-        """The same corpus with postings, term counts and statistics."""
-        postings = ix.build_postings(self.segments)
+        """The same corpus with postings, term counts and statistics.
+
+        Bodies and postings are kept as tables: many steps of a search read them.
+        """
+        segments = cut_lineage(self.segments)
+        postings = cut_lineage(ix.build_postings(segments))
         return replace(
             self,
+            segments=segments,
             postings=postings,
             terms=ix.term_stats(postings),
-            stats=ix.corpus_stats(self.segments),
+            stats=ix.corpus_stats(segments),
         )
 
     def with_(self, **tables) -> Corpus:
