@@ -43,12 +43,12 @@ def extension_entries(text: str | None) -> list[str]:
 
 
 def resolve_extension(name: Column, extensions: Iterable[str]) -> Column:
-    """Longest known extension that ends the name; NULL when none does."""
-    lowered = F.lower(name)
-    found = F.lit(None).cast("string")
-    for ext in sorted(extensions, key=len):
-        found = F.when(lowered.endswith(ext), F.lit(ext)).otherwise(found)
-    return found
+    """Longest known extension that ends the name; NULL when none does.
+
+    The leftmost match that reaches the end of the name is the longest one.
+    """
+    pattern = "|".join(re.escape(ext) for ext in sorted(extensions))
+    return F.nullif(F.regexp_extract(F.lower(name), f"({pattern})$", 1), F.lit(""))
 
 
 def extension_kind(ext: Column, content: Iterable[str] = (), names: Iterable[str] = ()) -> Column:

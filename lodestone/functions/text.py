@@ -93,3 +93,11 @@ def length_keeping_lower(text: Column) -> Column:
     U+0130 is the one letter whose lower form is two characters long.
     """
     return F.lower(F.translate(text, "İ", "I"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often it is used.
+
+    For expressions of a few result rows; it runs outside generated code.
+    """
+    return F.get(F.transform(F.array(value), body), 0)

@@ -194,15 +194,13 @@ def extract_text(files: DataFrame, extra_content=(), extra_names=()) -> DataFram
     has no reader here is an error of that row.
     """
     known = ext.known_extensions(extra_content, extra_names)
-    extra = [e for e in extra_content if e not in _HELPERS]
+    extra = [e for e in extra_content if e not in _HELPERS and e not in _REGISTERED]
+    readers = [e for e in (*PLAIN, *_HELPERS, *extra) if e not in _REGISTERED]
     rows = files.withColumn("file_ext", ext.resolve_extension(F.col("file_name"), known))
     rows = rows.withColumn("kind", ext.extension_kind(F.col("file_ext"), extra_content, extra_names))
     rows = rows.withColumn(
         "decoded",
-        F.when(
-            F.col("file_ext").isin(*PLAIN, *_HELPERS, *extra) & ~F.col("file_ext").isin(*_REGISTERED),
-            decode_utf8(F.col("bytes")),
-        ),
+        F.when(F.col("file_ext").isin(*readers), decode_utf8(F.col("bytes"))),
     )
     as_is = F.col("file_ext").isin(*PLAIN, *extra) | (
         F.col("file_ext").isin(*MARKDOWN) & ~F.col("decoded").contains("](")

@@ -95,7 +95,7 @@ def folder_rollup(files: DataFrame, targets: DataFrame) -> DataFrame:
     own = px.root_key(F.col("folder_path"))
     chained = direct.withColumn("chain", F.array_union(px.ancestor_keys(own), F.array(own)))
     nearest = (
-        chained.select("folder_path", F.explode("chain").alias("above"))
+        chained.select("folder_path", F.explode_outer("chain").alias("above"))
         .join(roots, "above", "left_semi")
         .groupBy("folder_path")
         .agg(F.max(F.length("above")).alias("root_length"))
@@ -104,7 +104,7 @@ def folder_rollup(files: DataFrame, targets: DataFrame) -> DataFrame:
         chained.join(nearest, "folder_path", "left")
         .withColumn(
             "up",
-            F.explode(
+            F.explode_outer(
                 F.filter(
                     "chain",
                     lambda a: F.length(a) >= F.coalesce(F.col("root_length"), F.length(own)),

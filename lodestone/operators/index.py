@@ -116,7 +116,8 @@ def grams(text: Column) -> Column:
 def build_name_grams(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """(gram, key, text) for exact substring search by equi-join."""
     lowered = rows.select(F.col(key), F.lower(text).alias("text"))
-    return lowered.select(F.explode(grams(F.col("text"))).alias("gram"), key, "text")
+    cut = lowered.select(F.explode_outer(grams(F.col("text"))).alias("gram"), key, "text")
+    return cut.where("gram is not null")
 
 
 def build_name_trigrams(files: DataFrame) -> DataFrame:
@@ -139,7 +140,7 @@ def substring_join(needles: DataFrame, needle: str, haystack: DataFrame, key: st
     wanted = needles.select(needle).distinct()
     long_enough = F.least(F.length(needle), F.lit(3))
     probes = wanted.select(
-        needle, F.explode(F.filter(grams(F.lower(needle)), lambda g: F.length(g) == long_enough)).alias("gram")
+        needle, F.explode_outer(F.filter(grams(F.lower(needle)), lambda g: F.length(g) == long_enough)).alias("gram")
     )
     frequency = cut.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (

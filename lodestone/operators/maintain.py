@@ -188,7 +188,7 @@ def delete_targets(
     def without(df: DataFrame) -> DataFrame:
         path = F.col("normalized_path")
         chain = F.array_union(px.ancestor_keys(path), F.array(px.root_key(path)))
-        hit = df.select("normalized_path", F.explode(chain).alias("above")).join(outer, "above", "left_semi")
+        hit = df.select("normalized_path", F.explode_outer(chain).alias("above")).join(outer, "above", "left_semi")
         return df.join(hit.select("normalized_path"), "normalized_path", "left_anti")
 
     stale = so.overlapping_roots(roots.select("path"), targets).select(F.col("root").alias("full_path")).distinct()

@@ -36,7 +36,7 @@ def day_range(seconds: Column, first: date | None, last: date | None) -> Column:
 def top_roots(targets: DataFrame) -> DataFrame:
     """Keys of registered roots that lie under no other registered root."""
     keys = targets.select(px.root_key(F.col("full_path")).alias("key"), "full_path").distinct()
-    above = keys.select("key", F.explode(px.ancestor_keys(F.col("key"))).alias("above"))
+    above = keys.select("key", F.explode_outer(px.ancestor_keys(F.col("key"))).alias("above"))
     nested = above.join(keys.select(F.col("key").alias("above")), "above", "left_semi")
     return keys.join(nested.select("key"), "key", "left_anti").select("key").distinct()
 
@@ -54,10 +54,11 @@ def in_targets(files: DataFrame, targets: DataFrame, source: str = "local") -> D
     """Files below a chosen root.
 
     Only outermost roots are compared, so a file meets at most one of them and the
-    semi-join on its exploded ancestors keeps each file once.
+    semi-join on its exploded ancestors keeps each file once. (``explode_outer``, here and
+    elsewhere: for ``explode`` the optimizer adds a filter that computes the list twice.)
     """
     roots = top_roots(chosen_targets(targets, source)).withColumnRenamed("key", "above")
-    exploded = files.withColumn("above", F.explode(px.ancestor_keys(F.col("normalized_path"))))
+    exploded = files.withColumn("above", F.explode_outer(px.ancestor_keys(F.col("normalized_path"))))
     return exploded.join(roots, "above", "left_semi").drop("above")
 
 
@@ -126,7 +127,7 @@ def covering_root(paths: DataFrame, targets: DataFrame, path: str = "path") -> D
     )
     keyed = paths.select(path, "source_type").distinct()
     own = F.array(px.root_key(F.col(path)))
-    candidates = keyed.withColumn("key", F.explode(F.array_union(px.ancestor_keys(F.col(path)), own)))
+    candidates = keyed.withColumn("key", F.explode_outer(F.array_union(px.ancestor_keys(F.col(path)), own)))
     best = (
         candidates.join(roots, ["key", "source_type"])
         .groupBy(path, "source_type")
@@ -144,7 +145,7 @@ def overlapping_roots(paths: DataFrame, targets: DataFrame, path: str = "path")
 
     def upwards(df: DataFrame, key: str) -> DataFrame:
         chain = F.array_union(px.ancestor_keys(F.col(key)), F.array(key))
-        return df.withColumn("up", F.explode(chain))
+        return df.withColumn("up", F.explode_outer(chain))
 
     below = upwards(left, "pk").join(right, F.col("up") == F.col("rk")).select(path, "root")
     above = upwards(right, "rk").join(left, F.col("up") == F.col("pk")).select(path, "root")

@@ -35,46 +35,54 @@ def mark_terms(escaped: Column, terms: list[str]) -> Column:
     return F.regexp_replace(escaped, f"(?iu)({'|'.join(literals)})", "<mark>$1</mark>")
 
 
-def literal_snippet(text: Column, terms: list[str], radius: int = RADIUS) -> Column:
-    """A window over the first place of every term; NULL when none occurs."""
-    lowered = tx.length_keeping_lower(text)
+def _window(text: Column, begin: Column, end: Column, terms: list[str]) -> Column:
+    return F.concat(
+        F.when(begin > 0, F.lit("...")).otherwise(""),
+        mark_terms(tx.html_escape(F.substring(text, begin + 1, end - begin)), terms),
+        F.when(end < F.length(text), F.lit("...")).otherwise(""),
+    )
 
-    def start(term: str) -> Column:
-        return F.nullif(F.instr(lowered, F.lit(term.lower())), F.lit(0))
 
+def literal_snippet(text: Column, terms: list[str], radius: int = RADIUS) -> Column:
+    """A window over the first place of every term; NULL when none occurs."""
     if not terms:
         return F.lit(None).cast("string")
-    first = F.array_min(F.array(*[start(t) for t in terms])) - 1
-    last = F.array_max(F.array(*[start(t) - 1 + len(t) for t in terms]))
-    begin = F.greatest(first - radius, F.lit(0))
-    end = F.least(last + radius, F.length(text))
-    cut = mark_terms(tx.html_escape(F.substring(text, begin + 1, end - begin)), terms)
-    return F.when(
-        first.isNotNull(),
-        F.concat(
-            F.when(begin > 0, F.lit("...")).otherwise(""),
-            cut,
-            F.when(end < F.length(text), F.lit("...")).otherwise(""),
-        ),
-    )
+
+    def spans(lowered: Column) -> Column:
+        """(start, end) of the first place of each term that occurs."""
+        found = [F.instr(lowered, F.lit(t.lower())) for t in terms]
+        pairs = [F.struct((at - 1).alias("s"), (at - 1 + len(t)).alias("e")) for at, t in zip(found, terms)]
+        return F.filter(F.array(*pairs), lambda p: p["s"] >= 0)
+
+    def cut(places: Column) -> Column:
+        begin = F.greatest(F.array_min(places["s"]) - radius, F.lit(0))
+        end = F.least(F.array_max(places["e"]) + radius, F.length(text))
+        return tx.let(F.struct(begin.alias("b"), end.alias("e")), lambda w: _window(text, w["b"], w["e"], terms))
+
+    return tx.let(tx.let(tx.length_keeping_lower(text), spans), lambda p: F.when(F.size(p) > 0, cut(p)))
 
 
 def token_snippet(text: Column, terms: list[str], width: int = CONTEXT_TOKENS) -> Column:
     """``width`` white-space separated words around the first one that holds a term."""
-    pieces = F.split(text, r"\s+")
-    # Position of the first word that contains some term.
-    hit = F.lit(False)
-    folded = F.transform(pieces, lambda p: F.lower(p))
-    marks = F.transform(
-        folded,
-        lambda p: F.array_max(F.array(*[p.contains(t.lower()) for t in terms])),
-    )
-    first = F.array_position(marks, F.lit(True))
-    begin = F.greatest(first - width // 2, F.lit(1))
-    cut = mark_terms(tx.html_escape(F.array_join(F.slice(pieces, begin.cast("int"), width), " ")), terms)
-    left = F.when(begin > 1, F.lit(" ... ")).otherwise("")
-    right = F.when(begin + width - 1 < F.size(pieces), F.lit(" ... ")).otherwise("")
-    return F.when(first > 0, F.concat(left, cut, right)) if terms else hit.cast("string")
+    if not terms:
+        return F.lit(None).cast("string")
+
+    def holds(word: Column) -> Column:
+        return F.array_max(F.array(*[F.lower(word).contains(t.lower()) for t in terms]))
+
+    def cut(pieces: Column, first: Column) -> Column:
+        begin = F.greatest(first - width // 2, F.lit(1)).cast("int")
+        return F.concat(
+            F.when(begin > 1, F.lit(" ... ")).otherwise(""),
+            mark_terms(tx.html_escape(F.array_join(F.slice(pieces, begin, width), " ")), terms),
+            F.when(begin + width - 1 < F.size(pieces), F.lit(" ... ")).otherwise(""),
+        )
+
+    def around(pieces: Column) -> Column:
+        first = F.array_position(F.transform(pieces, holds), F.lit(True))
+        return tx.let(first, lambda at: F.when(at > 0, cut(pieces, at)))
+
+    return tx.let(F.split(text, r"\s+"), around)
 
 
 def name_snippet(file_name: Column) -> Column:
@@ -90,32 +98,30 @@ def term_snippet(kind: Column, segment: Column, text: Column, folder: Column, na
     return F.coalesce(shown, name_snippet(name))
 
 
-def _split_at_match(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Text before the first match, and the match itself."""
-    before = F.get(F.split(text, f"(?iu){pattern}", 2), 0)
-    found = F.regexp_substr(F.substring(text, F.length(before) + 1, F.length(text)), F.lit(f"(?iu){pattern}"))
-    return before, found
-
-
 def regex_snippet(text: Column, pattern: str, radius: int | None = RADIUS) -> Column:
     """First match of the pattern with its surroundings; NULL without a match."""
-    before, found = _split_at_match(text, pattern)
-    at, size = F.length(before), F.length(found)
-    after_start = at + size
-    if radius is None:
-        begin, end = F.lit(0), F.length(text)
-    else:
-        begin = F.greatest(at - radius, F.lit(0))
-        end = F.least(after_start + radius, F.length(text))
-    return F.concat(
-        F.when(begin > 0, F.lit("...")).otherwise(""),
-        tx.html_escape(F.substring(text, begin + 1, at - begin)),
-        F.lit("<mark>"),
-        tx.html_escape(found),
-        F.lit("</mark>"),
-        tx.html_escape(F.substring(text, after_start + 1, end - after_start)),
-        F.when(end < F.length(text), F.lit("...")).otherwise(""),
-    )
+    java = f"(?iu){pattern}"
+
+    def cut(before: Column) -> Column:
+        at = F.length(before)
+        found = F.regexp_substr(F.substring(text, at + 1, F.length(text)), F.lit(java))
+        return tx.let(F.struct(at.alias("at"), found.alias("m")), lambda h: shown(h["at"], h["m"]))
+
+    def shown(at: Column, found: Column) -> Column:
+        after = at + F.length(found)
+        begin = F.lit(0) if radius is None else F.greatest(at - radius, F.lit(0))
+        end = F.length(text) if radius is None else F.least(after + radius, F.length(text))
+        return F.concat(
+            F.when(begin > 0, F.lit("...")).otherwise(""),
+            tx.html_escape(F.substring(text, begin + 1, at - begin)),
+            F.lit("<mark>"),
+            tx.html_escape(found),
+            F.lit("</mark>"),
+            tx.html_escape(F.substring(text, after + 1, end - after)),
+            F.when(end < F.length(text), F.lit("...")).otherwise(""),
+        )
+
+    return tx.let(F.get(F.split(text, java, 2), 0), cut)
 
 
 def regex_row_snippet(kind: Column, text: Column, name: Column, folder: Column, pattern: str, body: bool, names: bool) -> Column:

@@ -41,16 +41,18 @@ def connect(sf_dir: str):
 
 
 def compare(spark, con, sf_dir: str, function, sql: str | None) -> tuple[bool, str]:
+    start = time.time()
     df = function(spark, sf_dir)
     got = rows_of(df.columns, df.collect())
+    took = f"spark {time.time() - start:.2f}s, {len(got)} rows"
     if sql is None:
-        return True, f"{len(got)} rows, no SQL"
+        return True, f"{took}, no SQL"
     relation = con.sql(sql)
     if sorted(relation.columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} / {sorted(relation.columns)}"
     want = rows_of(relation.columns, relation.fetchall())
     if got == want:
-        return True, f"{len(got)} rows"
+        return True, took
     only_got = [r for r in got if r not in set(want)][:3]
     only_want = [r for r in want if r not in set(got)][:3]
     return False, f"{len(got)} / {len(want)} rows\n   spark {only_got}\n   sql   {only_want}"

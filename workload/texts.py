@@ -254,7 +254,7 @@ def union_records_capped(spark, sf):
     " substr(file_name, 1, length(file_name) - length(file_ext)) as stem, 2 as depth from files"))
 def path_functions(spark, sf):
     files = v.corpus(spark, sf).files
-    messy = F.concat(F.replace(F.regexp_replace("normalized_path", "/[^/]*$", ""), F.lit("/"), F.lit("//")), F.lit("/x/.././"), "file_name", F.lit("/"))
+    messy = F.concat(F.regexp_replace("normalized_path", "(?<=.)/", "//"), F.lit("/../x/.././"), "file_name", F.lit("/"))
     folder = px.parent_folder(F.col("normalized_path"), F.col("file_name"))
     return files.select("file_id", px.normalize_path(messy).alias("path"), folder.alias("folder"), px.folder_name(folder).alias("folder_name"),
                         px.name_stem(F.col("file_name"), F.col("file_ext")).alias("stem"), px.relative_depth(F.lit("/CORPUS/"), folder).alias("depth"))

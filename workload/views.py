@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import scratch_path, spread
+from lodestone.session import cut_lineage, scratch_path, spread
 from lodestone.sources.corpus import Corpus, read_corpus, write_corpus
 from lodestone.sources.documents import from_documents
 
@@ -16,7 +16,8 @@ ALPHABET, KANA = "abcdefghijklmnopqrst", "あいうえおかきくけこさし
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def epoch(ts: str = "ts"):
@@ -29,7 +30,23 @@ def extension():
     return F.when(n == 0, ".md").when(n == 1, ".txt").when(n == 2, ".excalidraw.md").otherwise(".json")
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make):
+    """``make()`` once per application: queries share what was derived from the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rows, derived once and then read from the shared folder."""
+    return kept(spark, sf_dir, "documents", lambda: cut_lineage(derived_documents(spark, sf_dir)))
+
+
+def derived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document rows of the ``documents`` table, with clicks of events and pins of labels."""
     docs = table(spark, sf_dir, "documents")
     clicks = (
@@ -100,9 +117,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
 def stored_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus written to the shared folder with its index, and read back."""
-    path = scratch_path(spark, "corpus")
-    write_corpus(corpus(spark, sf_dir), path)
-    return read_corpus(spark, path)
+
+    def make() -> Corpus:
+        path = scratch_path(spark, "corpus")
+        write_corpus(corpus(spark, sf_dir), path)
+        return read_corpus(spark, path)
+
+    return kept(spark, sf_dir, "corpus", make)
 
 
 def kana_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
