@@ -95,6 +95,15 @@ def length_keeping_lower(text: Column) -> Column:
     return F.lower(F.translate(text, "İ", "I"))
 
 
+def once(value: Column) -> Column:
+    """A value that filters on it do not compute again.
+
+    A filter on a plain expression is moved below the projection, which then evaluates
+    it a second time for the rows that pass. It cannot be moved below a generator.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once per row, however often it is used.
 

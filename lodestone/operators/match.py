@@ -102,7 +102,8 @@ def _frequency_columns(units: list[Unit]) -> list[Column]:
 def scan_frequencies(segments: DataFrame, units: list[Unit]) -> DataFrame:
     """Occurrences of every unit in every body that has one, by a pass over the bodies."""
     rows = segments.select("file_id", "n_tokens", F.lower("content").alias("text"))
-    return rows.select("file_id", "n_tokens", *_frequency_columns(units)).where(
+    counted = rows.select("file_id", "n_tokens", tx.once(F.struct(*_frequency_columns(units))).alias("c"))
+    return counted.select("file_id", "n_tokens", "c.*").where(
         _any([F.col(f"tf_{k}") > 0 for k in range(len(units))])
     )
 
@@ -128,16 +129,24 @@ def posting_frequencies(postings: DataFrame, units: list[Unit]) -> DataFrame:
         ]
     )
     rows = postings.where(test)
+    # Counts suffice for a single token; positions are read for phrases only.
+    sides = [_unit_tokens(u) for u in units]
+    counted = {(kind, ts[0]) for kind, ts in sides if len(ts) == 1}
+    placed = {(kind, t) for kind, ts in sides if len(ts) > 1 for t in ts}
     at = {pair: f"at_{i}" for i, pair in enumerate(wanted)}
     if len(wanted) == 1:
-        found = rows.select("file_id", "n_tokens", F.col("positions").alias("at_0"))
+        found = rows.select(
+            "file_id", "n_tokens", F.col("tf").alias("n_at_0"), F.col("positions").alias("at_0")
+        )
     else:
+
+        def of(pair: tuple[str, str], column: str) -> Column:
+            return F.max(F.when((F.col("kind") == pair[0]) & (F.col("term") == pair[1]), F.col(column)))
+
         found = rows.groupBy("file_id").agg(
             F.max("n_tokens").alias("n_tokens"),
-            *[
-                F.max(F.when((F.col("kind") == k) & (F.col("term") == t), F.col("positions"))).alias(name)
-                for (k, t), name in at.items()
-            ],
+            *[of(pair, "tf").alias(f"n_{at[pair]}") for pair in sorted(counted)],
+            *[of(pair, "positions").alias(at[pair]) for pair in sorted(placed)],
         )
 
     def shifted(name: str, offset: int) -> Column:
@@ -145,6 +154,8 @@ def posting_frequencies(postings: DataFrame, units: list[Unit]) -> DataFrame:
 
     def tf(unit: Unit) -> Column:
         kind, tokens = _unit_tokens(unit)
+        if len(tokens) == 1:
+            return F.coalesce(f"n_{at[(kind, tokens[0])]}", F.lit(0))
         starts = F.col(at[(kind, tokens[0])])
         for offset, token in enumerate(tokens[1:], start=1):
             starts = F.array_intersect(starts, shifted(at[(kind, token)], offset))
@@ -155,12 +166,28 @@ def posting_frequencies(postings: DataFrame, units: list[Unit]) -> DataFrame:
     ).where(_any([F.col(f"tf_{k}") > 0 for k in range(len(units))]))
 
 
+def _known_counts(terms: DataFrame, units: list[Unit]) -> DataFrame:
+    """Document counts of single-token units, looked up instead of counted."""
+    sides = [_unit_tokens(u) for u in units]
+    tokens = sorted({ts[0] for _, ts in sides})
+
+    def of(kind: str, token: str) -> Column:
+        mine = (F.col("kind") == kind) & (F.col("term") == token)
+        return F.coalesce(F.max(F.when(mine, F.col("df"))), F.lit(0))
+
+    columns = [of(kind, ts[0]).alias(f"df_{k}") for k, (kind, ts) in enumerate(sides)]
+    return terms.where(F.col("term").isin(*tokens)).agg(*columns)
+
+
 def _totals(corpus, frequencies: DataFrame | None, units: list[Unit]) -> DataFrame:
     """One row: corpus size, mean length, and the document count of every unit."""
     counts = [F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(units))]
     if frequencies is not None:
         row = corpus.statistics().agg(F.first("n_docs").alias("n_docs"), F.first("avg_tokens").alias("avg_tokens"))
-        return row.withColumn("df", frequencies.agg(F.struct(*counts).alias("v")).scalar()).select(
+        counted = frequencies.agg(*counts)
+        if corpus.terms is not None and all(u.mode != "literal" and len(_unit_tokens(u)[1]) == 1 for u in units):
+            counted = _known_counts(corpus.terms, units)
+        return row.withColumn("df", counted.select(F.struct("*").alias("v")).scalar()).select(
             "n_docs", "avg_tokens", "df.*"
         )
     # Without stored statistics one pass over the bodies yields them all.

@@ -260,15 +260,16 @@ def registered_roots(spark, sf):
 
 
 @query("synonym_conflicts",
-    "with r as (select item_id as group_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:4])) as term from benchmark)"
-    " select term, count(distinct group_id) as groups, min(group_id) as winning_group, term in ('the', 'old', 'in') as is_excluded from r group by term"
-    " having count(distinct group_id) > 1 or term in ('the', 'old', 'in')")
+    "with r as (select item_id as group_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:4])) as term from benchmark),"
+    " x as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as w from conversations)"
+    " select term, count(distinct group_id) as groups, min(group_id) as winning_group, term in (select w from x) as is_excluded from r group by term"
+    " having count(distinct group_id) > 1 or term in (select w from x)")
 def synonym_conflicts(spark, sf):
     from lodestone.sources.rules import exclusion_rules
     from workload.searching import synonym_table
 
-    lines = v.table(spark, sf, "benchmark").where("item_id < 3").select(
-        F.col("item_id").alias("position"), F.element_at(F.array(*map(F.lit, ["The", "old", " in "])), (F.col("item_id") + 1).cast("int")).alias("value"))
+    first_word = F.regexp_extract("text", "^[A-Za-z]+", 0)
+    lines = v.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("position"), first_word.alias("value"))
     return rp.synonym_conflicts(synonym_table(spark, sf), exclusion_rules(lines))
 
 
