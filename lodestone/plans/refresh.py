@@ -56,7 +56,7 @@ def refresh(
     else:
         work = work.withColumn("error", F.lit(None).cast("string"))
     # Extraction is the costly step and three tables follow from it.
-    extracted = cut_lineage(work)
+    extracted = cut_lineage(work.drop("bytes"))
     docs, failed = split_failures(extracted, as_of)
     fresh = ix.build_files(docs.withColumn("indexed_at", F.lit(as_of)))
     gone = mn.missing_rows(corpus.files, listing, **scope).select("normalized_path")

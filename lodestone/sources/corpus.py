@@ -58,6 +58,10 @@ class Corpus:
             stats=ix.corpus_stats(segments),
         )
 
+    def rebuilt(self) -> Corpus:
+        """Postings, counts and statistics made anew from the stored bodies."""
+        return replace(self, postings=None, terms=None, stats=None).indexed()
+
     def with_(self, **tables) -> Corpus:
         return replace(self, **tables)
 

@@ -14,6 +14,7 @@ from lodestone.functions import rules as rl
 from lodestone.functions import urls as ux
 from lodestone.operators.extract import extract_pages, extract_text, pin_tag_and_names
 from lodestone.schemas import FAILURES, FILES, conform
+from lodestone.session import cut_lineage
 
 
 def from_documents(df: DataFrame, mapping: Mapping[str, Column | str]) -> DataFrame:
@@ -115,8 +116,13 @@ def read_files(
     extensions: Iterable[str] | None = None,
     rules: Iterable[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Documents and failures of a folder tree."""
-    return split_failures(extract_text(list_files(spark, root, depth, extensions, rules)))
+    """Documents and failures of a folder tree.
+
+    The extracted rows are kept as a table, as both results (and every filter on them)
+    would otherwise run the readers again.
+    """
+    extracted = extract_text(list_files(spark, root, depth, extensions, rules)).drop("bytes")
+    return split_failures(cut_lineage(extracted))
 
 
 def split_failures(extracted: DataFrame, failed_at: float | Column | None = None) -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,8 @@ def from_json_records(df: DataFrame, column: str = "payload") -> DataFrame:
         is_list = F.schema_of_variant(inner).startswith("ARRAY")
         listed = F.coalesce(listed, F.when(is_list, F.try_variant_get(payload, f"$.{key}", as_list)))
     rest = [c for c in df.columns if c != column]
-    return df.select(*rest, F.posexplode(listed).alias("position", "v")).select(
+    records = df.select(*rest, F.posexplode_outer(listed).alias("position", "v")).where("position is not null")
+    return records.select(
         *rest, (F.col("position") + 1).alias("position"), F.to_json("v").alias("record")
     )
 
@@ -55,24 +56,29 @@ def read_access_metrics(df: DataFrame, root: str, column: str = "payload") -> Da
 
     found = [branch(n) for n in ("fileMetrics", "files", "metrics")]
     metrics = F.coalesce(*[F.when(F.size(m) > 0, m) for m in found])
-    counts = branch("accessCounts")
-    rows = df.select(
-        F.explode(F.coalesce(metrics, counts)).alias("relative", "value"), counts.alias("counts")
+    docs = df.select(
+        F.xxhash64(doc).alias("doc"), metrics.alias("metrics"), branch("accessCounts").alias("counts")
+    )
+    key = ["doc", "relative"]
+    rich = docs.select("doc", F.explode_outer("metrics").alias("relative", "value")).where("relative is not null")
+    plain = docs.select(
+        "doc", F.col("metrics").isNull().alias("alone"), F.explode_outer("counts").alias("relative", "count")
+    ).where("relative is not null")
+    # A map never travels with its rows: counts meet metrics in a join by path.
+    rows = rich.join(plain.drop("alone"), key, "left").select("relative", "value", "count")
+    rows = rows.unionByName(
+        plain.where("alone").select("relative", F.col("count").alias("value"), F.lit(None).cast("string").alias("count"))
     )
     is_struct = F.col("value").startswith("{")
-    plain = F.coalesce(F.try_element_at("counts", F.col("relative")), F.lit("0"))
-    access = F.when(is_struct, F.coalesce(_counter(F.col("value"), "accessCount"), plain)).otherwise(
+    fallback = F.coalesce("count", F.lit("0"))
+    access = F.when(is_struct, F.coalesce(_counter(F.col("value"), "accessCount"), fallback)).otherwise(
         F.col("value")
     )
     prefix = root if root.endswith("/") else root + "/"
     return rows.select(
         F.concat(F.lit(prefix), F.col("relative")).alias("normalized_path"),
         access.alias("accessCount"),
-        *[
-            F.when(is_struct, _counter(F.col("value"), m)).alias(m)
-            for m in METRICS
-            if m != "accessCount"
-        ],
+        *[F.when(is_struct, _counter(F.col("value"), m)).alias(m) for m in METRICS if m != "accessCount"],
     )
 
 
