@@ -23,6 +23,7 @@ def page_links(pages: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     else:
         rows = rows.withColumn("scope_url", F.concat(ux.url_site(F.col("src_url")), F.lit("/")))
     edges = rows.select("src_url", "scope_url", F.explode_outer("links").alias("link"))
+    edges = edges.where("link is not null")
     target = ux.normalize_url(ux.resolve_link(F.col("src_url"), F.col("link")))
     edges = edges.withColumn("dst_url", target)
     inside = (ux.url_site(F.col("dst_url")) == ux.url_site(F.col("scope_url"))) & F.startswith(

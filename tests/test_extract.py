@@ -93,12 +93,12 @@ def test_files_on_disk(spark, tmp_path):
     assert [r.error_message for r in failed.collect()] == ["Unsupported extension: .pdf"]
     shallow = list_files(spark, str(tmp_path), depth=0, extensions=[".md", ".txt"]).collect()
     assert [r.file_name for r in shallow] == ["a.md"]
-    register_extractor("log", lambda b: b.decode().upper() if b else 1 / 0)
+    register_extractor("log", lambda b: b.decode().upper() if b != b"bad" else 1 / 0)
     try:
         listed = list_files(spark, str(tmp_path), extensions=[".log"])
         good, bad = split_failures(xt.extract_text(listed, extra_content=[".log"]), 0.0)
         assert [r.content for r in good.collect()] == ["CUSTOM TEXT"] and bad.count() == 0
-        (tmp_path / "i.log").write_text("")
+        (tmp_path / "i.log").write_text("bad")
         listed = list_files(spark, str(tmp_path), extensions=[".log"])
         good, bad = split_failures(xt.extract_text(listed, extra_content=[".log"]), 0.0)
         assert good.count() == 0 and bad.first().error_message == "division by zero"

@@ -151,9 +151,9 @@ def page_links(spark, sf):
     return edges.where(path.isNotNull())
 
 
-@query("page_scope", f"select {URL} as url, case page_id % 3 when 0 then concat(regexp_extract(url, '^https?://[^/]*'), '/', regexp_extract(url, '^https?://[^/]*/([^/]*)/', 1), '/')"
+@query("page_scope", f"select url, arg_max(scope_url, [2, 1, 0][(page_id % 3 + 1)::int]) as scope_url from (select page_id, {URL} as url, case page_id % 3 when 0 then concat(regexp_extract(url, '^https?://[^/]*'), '/', regexp_extract(url, '^https?://[^/]*/([^/]*)/', 1), '/')"
     " when 1 then concat(regexp_extract(url, '^https?://[^/]*'), '/')"
-    " else case when ends_with(regexp_replace(url, '[?#].*$', ''), '/') then " + URL + " else regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(https?://.*/)[^/]*$', 1) end end as scope_url from pages")
+    " else case when ends_with(regexp_replace(url, '[?#].*$', ''), '/') then " + URL + " else regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(https?://.*/)[^/]*$', 1) end end as scope_url from pages) group by url")
 def page_scope(spark, sf):
     """Every third page has JSON-LD breadcrumbs, every third markup ones, the rest none."""
     pages = v.table(spark, sf, "pages")
