@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe
+from lodestone.llm import bpe, near, token_counts
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -31,3 +31,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = bpe.read_ranks(public_tokenizers.path(BPE_RANKS))
     return bpe.digests(docs, ranks, public_tokenizers.PATTERN).drop("text")
+
+
+WORD_TOKENIZER, TOKEN_LIMIT = "word_bpe_49k.json", 2048
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(WORD_TOKENIZER), encoding="utf-8") as file:
+        definition = file.read()
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), definition)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op9_near_copies")
+def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", near.hex_of("fp").alias("fingerprint"), "component_id")
