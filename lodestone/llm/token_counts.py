@@ -94,16 +94,17 @@ def vocabulary(docs: DataFrame, definition: str, text: str = "text") -> DataFram
     return kept(counted.mapInArrow(sizes, "piece string, n bigint, n_tokens bigint"))
 
 
+GRADE = "floor(log2(n) * 16)"
+
+
 def floor_of(words: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` pre-tokens reach. The histogram has a row for each count up to a bound."""
-    low = words.where(F.col("n") <= most).groupBy("n").agg(F.count("*").alias("k"))  # <= most rows
-    above = words.where(F.col("n") > most).count()
-    floor = most + 1
-    for n, k in sorted(low.collect(), reverse=True):
+    """The least grade (sixteenth of a doubling of the count) that at most ``most`` pre-tokens reach."""
+    floor, above = 64 * 16, 0
+    for grade, k in sorted(words.groupBy(F.expr(GRADE).alias("grade")).agg(F.count("*")).collect(), reverse=True):  # <= 1024 rows
         above += k
         if above > most:
             break
-        floor = n
+        floor = grade
     return floor
 
 
@@ -112,7 +113,7 @@ def count_tokens(docs: DataFrame, definition: str, key: str = "doc_id", text: st
     spark = docs.sparkSession
     words = vocabulary(docs, definition, text)
     floor = floor_of(words, FREQUENT)
-    frequent = words.where(F.col("n") >= floor).select("piece", "n_tokens").toPandas()  # <= FREQUENT rows
+    frequent = words.where(f"{GRADE} >= {floor}").select("piece", "n_tokens").toPandas()  # <= FREQUENT rows
     shared = spark.sparkContext.broadcast((definition, dict(zip(frequent["piece"], frequent["n_tokens"].tolist(), strict=True))))
     key_type = docs.schema[key].dataType.simpleString()
 
@@ -144,7 +145,7 @@ def count_tokens(docs: DataFrame, definition: str, key: str = "doc_id", text: st
 
     source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
     rows = map_slices(source, split, f"key {key_type}, digest binary, n_bytes bigint, known bigint, piece string, times bigint", 1)
-    rare = rows.where("piece is not null").join(words.where(F.col("n") < floor), "piece").select("key", "digest", (F.col("times") * F.col("n_tokens")).alias("known"))
+    rare = rows.where("piece is not null").join(words.where(f"{GRADE} < {floor}"), "piece").select("key", "digest", (F.col("times") * F.col("n_tokens")).alias("known"))
     whole = rows.where("piece is null").select("key", "digest", "known", "n_bytes")
     sums = whole.unionByName(rare, allowMissingColumns=True).groupBy("key", "digest")
     sums = sums.agg(F.sum("known").alias("known"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("rows"))
