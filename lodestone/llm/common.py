@@ -43,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Recor
 
 
 def map_slices(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, text_at: int
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, text_at: int
 ) -> DataFrame:
     """``mapInArrow`` over slices bounded in rows and bytes; ``text_at`` is the text's position."""
 

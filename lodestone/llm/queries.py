@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, near, token_counts
+from lodestone.llm import bpe, contamination, near, token_counts
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -48,3 +48,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", near.hex_of("fp").alias("fingerprint"), "component_id")
+
+
+@query("op2_contamination")
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination.contained(docs, table(spark, sf_dir, "benchmark"))
