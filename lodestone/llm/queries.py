@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, contamination, near, token_counts
+from lodestone.llm import bpe, contamination, near, quality, token_counts
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,9 @@ def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination.contained(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
