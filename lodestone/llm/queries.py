@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, contamination, near, quality, token_counts, toxicity
+from lodestone.llm import bpe, contamination, near, quality, simhash, token_counts, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.rate(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited(table(spark, sf_dir, "documents"))
