@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,13 +29,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+def slices(
+    batches: Iterable[pa.RecordBatch], text_at: int, most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of few rows and few bytes of text; a single long text is a piece."""
     for batch in batches:
         start, size = 0, 0
         for row, length in enumerate(pc.binary_length(batch.column(text_at)).to_pylist()):
             size += length or 0
-            if size >= SLICE_BYTES or row - start + 1 >= SLICE_ROWS:
+            if size >= most_bytes or row - start + 1 >= most_rows:
                 yield batch.slice(start, row + 1 - start)
                 start, size = row + 1, 0
         if start < batch.num_rows:
