@@ -21,7 +21,6 @@ carried; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import unicodedata
 from collections import Counter
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -134,17 +134,17 @@ def count_tokens(docs: DataFrame, definition: str, key: str = "doc_id", text: st
                 raw = value.encode("utf-8")
                 lines = 1 + len(rare)
                 at += [row] * lines
-                digests += [hashlib.blake2b(raw, digest_size=16).digest()] * lines
+                digests += [xxhash.xxh3_64_intdigest(raw) - (1 << 63)] * lines
                 n_bytes += [len(raw)] + [None] * len(rare)
                 tokens += [known] + [None] * len(rare)
                 pieces += [None, *rare]
                 times += [None, *rare.values()]
-            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(digests, pa.binary())]
+            columns = [batch.column(0).take(pa.array(at, pa.int32())), pa.array(digests, pa.int64())]
             columns += [pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(pieces, pa.string()), pa.array(times, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "digest", "n_bytes", "known", "piece", "times"])
 
     source = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-    rows = map_slices(source, split, f"key {key_type}, digest binary, n_bytes bigint, known bigint, piece string, times bigint", 1)
+    rows = kept(map_slices(source, split, f"key {key_type}, digest bigint, n_bytes bigint, known bigint, piece string, times bigint", 1))
     rare = rows.where("piece is not null").join(words.where(f"{GRADE} < {floor}"), "piece").select("key", "digest", (F.col("times") * F.col("n_tokens")).alias("known"))
     whole = rows.where("piece is null").select("key", "digest", "known", "n_bytes")
     sums = whole.unionByName(rare, allowMissingColumns=True).groupBy("key", "digest")
