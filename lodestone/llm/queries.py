@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, contamination, near, pages, quality, simhash, token_counts, toxicity
+from lodestone.llm import bpe, chat, contamination, near, pages, quality, simhash, token_counts, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -76,3 +76,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_page_text")
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op7_chat")
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
