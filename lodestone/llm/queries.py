@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, contamination, near, pages, quality, simhash, token_counts, toxicity
+from lodestone.llm import bpe, chat, contamination, near, pages, quality, scoring, simhash, token_counts, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_chat")
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"))
+
+
+@query("op1_pseudo_likelihood")
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
