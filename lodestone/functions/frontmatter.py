@@ -5,23 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = r"(?s)\A---[ \t]*\r?\n(.*?)(?:\r?\n---[ \t]*(?:\r?\n|\z))"
-
-
-def _properties(text: Column, keys: str) -> Column:
-    """Every ``key: value`` with the dashed lines that follow it, as raw text."""
-    pattern = rf"(?im)(^[ \t]*(?:{keys})[ \t]*:[^\r\n]*+(?:\r?\n[ \t]+-[^\r\n]*+)*+)"
-    return F.regexp_extract_all(F.regexp_extract(text, _BLOCK, 1), F.lit(pattern), F.lit(1))
+def _head(text: Column) -> Column:
+    """Lines between the two dashed lines a text may begin with; NULL without them."""
+    lines = F.split(text, r"\r?\n")
+    bare = F.transform(lines, lambda line: F.rtrim(line, F.lit(" \t")))
+    end = F.array_position(F.slice(bare, F.lit(2), F.size(lines)), F.lit("---"))
+    return F.when(text.startswith("---"), F.when((F.get(bare, 0) == "---") & (end > 1), F.slice(lines, F.lit(2), end - 1)))
+
+
+def _is_item(line: Column) -> Column:
+    """An indented line with a dash carries on the property above it."""
+    return (F.ltrim(line, F.lit(" \t")) != line) & F.ltrim(line, F.lit(" \t")).startswith("-")
+
+
+def _properties(text: Column, *keys: str) -> Column:
+    """Each property of one of the keys as its lines: ``key: value``, then its items."""
+    head = _head(text)
+    numbered = F.sequence(F.lit(1), F.greatest(F.size(head), F.lit(1)))
+    starts = F.filter(numbered, lambda i: ~_is_item(F.get(head, i - 1)))
+    runs = F.transform(
+        starts, lambda s, k: F.slice(head, s, F.coalesce(F.get(starts, k + 1), F.size(head) + 1) - s)
+    )
+    return F.filter(runs, lambda run: F.get(run, 0).contains(":") & _key(run).isin(*keys))
 
 
-def _key(prop: Column) -> Column:
-    return F.lower(F.regexp_extract(prop, r"^[ \t]*([A-Za-z]+)", 1))
+def _key(run: Column) -> Column:
+    return F.lower(F.btrim(F.substring_index(F.get(run, 0), ":", 1), F.lit(" \t")))
 
 
-def _tokens(prop: Column) -> Column:
-    """Comma-separated values of a property, quotes and brackets stripped."""
-    lines = F.split(F.regexp_replace(prop, r"^[ \t]*[A-Za-z]+[ \t]*:", ""), r"\r?\n[ \t]+-")
-    pieces = F.flatten(F.transform(lines, lambda line: F.split(line, ",")))
+def _tokens(run: Column) -> Column:
+    """Comma-separated values of a property and of its items, quotes and brackets stripped."""
+    first = F.get(run, 0)
+    value = F.substring(first, F.locate(":", first) + 1, F.length(first))
+    items = F.transform(
+        F.slice(run, F.lit(2), F.size(run)),
+        lambda line: F.substring(F.ltrim(line, F.lit(" \t")), F.lit(2), F.length(line)),
+    )
+    pieces = F.flatten(F.transform(F.concat(F.array(value), items), lambda p: F.split(p, ",")))
     return F.transform(
         pieces, lambda p: F.btrim(F.regexp_replace(p, r"^\s+|\s+$", ""), F.lit("[]'\" "))
     )
@@ -40,11 +60,11 @@ def front_matter_title(text: Column) -> Column:
 
 
 def front_matter_aliases(text: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(_properties(text, "aliases|alias"), _values)))
+    return F.array_distinct(F.flatten(F.transform(_properties(text, "aliases", "alias"), _values)))
 
 
 def has_pin_tag(text: Column) -> Column:
     """The first ``tag``/``tags`` property holds ``top``."""
-    first = F.get(_properties(text, "tags|tag"), 0)
+    first = F.get(_properties(text, "tags", "tag"), 0)
     hit = F.exists(_tokens(first), lambda t: F.lower(F.ltrim(t, F.lit("#"))) == "top")
     return F.coalesce(hit, F.lit(False))

@@ -96,7 +96,7 @@ def excluded_result(path: Column, rules: Iterable[str], root: str = "") -> Colum
         return F.lit(False)
     prefix = root if root.endswith("/") else root + "/"
     relative = (
-        F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1_000_000)).otherwise(path)
+        F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
         if root
         else path
     )

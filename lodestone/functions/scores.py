@@ -44,8 +44,13 @@ def utility(clicks: Column, importance: Column, mtime: Column, as_of) -> Column:
 
 
 def non_negative(value: Column, kind: str = "bigint") -> Column:
-    """Number of the given kind, at least 0; 0 for anything unreadable."""
-    return F.coalesce(F.greatest(value.try_cast(kind), F.lit(0).cast(kind)), F.lit(0).cast(kind))
+    """Number of the given kind, at least 0; 0 for anything unreadable.
+
+    Fractions lose what is behind the point, true counts as 1.
+    """
+    loose = F.when(F.lower(value.cast("string")) == "true", 1.0).otherwise(value.try_cast("double"))
+    number = F.coalesce(value.try_cast(kind), F.when(~F.isnan(loose), loose).try_cast(kind))
+    return F.coalesce(F.greatest(number, F.lit(0).cast(kind)), F.lit(0).cast(kind))
 
 
 def log_score(value: Column) -> Column:

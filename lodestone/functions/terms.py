@@ -24,7 +24,7 @@ def include_terms(q: Column) -> Column:
     terms = raw_terms(q)
     kept = F.transform(
         F.filter(terms, lambda t: ~_is_exclusion(t)),
-        lambda t: F.when(t.startswith("\\-"), F.substring(t, 2, 1_000_000)).otherwise(t),
+        lambda t: F.when(t.startswith("\\-"), F.substring(t, F.lit(2), F.length(t))).otherwise(t),
     )
     return F.when(F.size(kept) > 0, kept).otherwise(terms)
 
@@ -34,7 +34,7 @@ def exclude_terms(q: Column) -> Column:
     dropped = F.filter(terms, _is_exclusion)
     return F.when(
         F.size(dropped) < F.size(terms),
-        F.transform(dropped, lambda t: F.substring(t, 2, 1_000_000)),
+        F.transform(dropped, lambda t: F.substring(t, F.lit(2), F.length(t))),
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -53,32 +53,36 @@ def history_key(q: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", q).casefold().split())
 
 
+@F.pandas_udf(T.StringType())
+def casefold(terms: pd.Series) -> pd.Series:
+    """Case folding of terms, in which ``ß`` equals ``ss``; ``lower`` would keep them apart."""
+    return terms.map(lambda s: None if s is None else s.casefold())
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def distinct_variants(typed: pd.Series, members: pd.Series) -> pd.Series:
+    """The typed term and the members of its group, one spelling of each folded form."""
+    return pd.Series([fold_unique([t, *(() if m is None else m)]) for t, m in zip(typed, members)], dtype=object)
+
+
 def expand_terms(terms: DataFrame, rules: DataFrame) -> DataFrame:
     """Synonym variants of each (query_id, term_index, term).
 
     ``rules`` holds (group_id, position, term). The lowest group that lists the
-    term wins; the typed spelling comes first. Folding is ``lower``.
+    term wins; the typed spelling comes first. Terms are compared case folded.
     """
-    folded = terms.withColumn("folded", F.lower("term"))
-    claim = (
-        rules.groupBy(F.lower("term").alias("folded"))
-        .agg(F.min("group_id").alias("group_id"))
-    )
+    folded = terms.withColumn("folded", casefold("term"))
+    claim = rules.groupBy(casefold("term").alias("folded")).agg(F.min("group_id").alias("group_id"))
     groups = rules.groupBy("group_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("position", "term"))), lambda s: s["term"]
         ).alias("members")
     )
-    variants = F.array_union(F.array("term"), F.coalesce("members", F.array().cast("array<string>")))
-    keep = F.filter(
-        F.transform(variants, lambda v: F.struct(v.alias("term"), F.lower(v).alias("folded"))),
-        lambda v: (v["folded"] != F.col("folded")) | (v["term"] == F.col("term")),
-    )
     return (
         folded.join(claim, "folded", "left")
         .join(groups, "group_id", "left")
-        .select("query_id", "term_index", F.posexplode(keep).alias("variant_index", "v"))
-        .select("query_id", "term_index", "variant_index", F.col("v.term").alias("term"))
+        .withColumn("variants", distinct_variants("term", "members"))
+        .select("query_id", "term_index", F.posexplode_outer("variants").alias("variant_index", "term"))
     )
 
 

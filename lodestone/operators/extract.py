@@ -12,6 +12,7 @@ import json
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
+from itertools import accumulate, groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -230,56 +231,57 @@ def extract_text(files: DataFrame, extra_content=(), extra_names=()) -> DataFram
     ).drop("decoded", "parsed", "custom")
 
 
-class _PageReader(HTMLParser):
-    """Collects the title, the visible text, the links and JSON-LD of one page."""
+# Elements whose text is not shown, and marks of a breadcrumb.
+UNSEEN = ("script", "style", "noscript", "svg")
+CRUMB_WORDS = ("breadcrumb", "bread-crumb", "パンくず")
 
-    HIDDEN = ("script", "style", "noscript", "svg")
-    CRUMB_WORDS = ("breadcrumb", "bread-crumb", "パンくず")
 
-    def __init__(self):
+class _Events(HTMLParser):
+    """The markup as a flat list of (tag, attributes or None at its end, text)."""
+
+    def __init__(self, markup: str):
         super().__init__(convert_charrefs=True)
-        self.open, self.hidden, self.crumb_nav = [], 0, 0
-        self.title, self.body, self.links, self.crumbs = [], [], [], []
-        self.blocks, self.block = [], None
+        self.found: list[tuple[str, dict | None, str | None]] = []
+        self.feed(markup)
 
     def handle_starttag(self, tag, attrs):
-        values = {name.lower(): value or "" for name, value in attrs}
-        marks = " ".join(values.get(n, "") for n in ("aria-label", "class", "id")).lower()
-        crumb = any(word in marks for word in self.CRUMB_WORDS)
-        self.open.append(tag)
-        self.hidden += tag in self.HIDDEN
-        self.crumb_nav += tag == "nav" and crumb
-        if tag == "script" and "ld+json" in values.get("type", "").lower():
-            self.block = []
-        if tag == "a" and values.get("href"):
-            self.links.append(values["href"])
-            if crumb or self.crumb_nav:
-                self.crumbs.append(values["href"])
+        self.found.append((tag, {k.lower(): v or "" for k, v in attrs}, None))
 
     def handle_endtag(self, tag):
-        if tag == "script" and self.block is not None:
-            self.blocks.append("".join(self.block))
-            self.block = None
-        self.hidden -= tag in self.HIDDEN and self.hidden > 0
-        self.crumb_nav -= tag == "nav" and self.crumb_nav > 0
-        del self.open[-1:]
+        self.found.append((tag, None, None))
 
     def handle_data(self, data):
-        if self.block is not None:
-            self.block.append(data)
-        elif not self.hidden and (text := " ".join(data.split())):
-            (self.title if self.open[-1:] == ["title"] else self.body).append(text)
+        self.found.append(("", None, data))
+
+
+def _open_counts(events, tags, opens=lambda attributes: True) -> list[int]:
+    """At each event, how many elements of these tags are open; an end without a start counts for nothing."""
+    steps = (
+        0 if tag not in tags else -1 if attributes is None else int(opens(attributes)) for tag, attributes, _ in events
+    )
+    return list(accumulate(steps, lambda count, step: max(0, count + step)))
+
+
+def _is_crumb(attributes: dict) -> bool:
+    marks = " ".join(attributes.get(n, "") for n in ("aria-label", "class", "id")).lower()
+    return any(word in marks for word in CRUMB_WORDS)
 
 
 def _read_page(markup: str):
-    reader = _PageReader()
-    reader.feed(markup)
+    events = _Events(markup).found
+    unseen, titled = _open_counts(events, UNSEEN), _open_counts(events, ("title",))
+    trail = _open_counts(events, ("nav",), _is_crumb)
+    data = _open_counts(events, ("script",), lambda attributes: "ld+json" in attributes.get("type", "").lower())
+    texts = [(k, " ".join(text.split())) for k, (_, _, text) in enumerate(events) if text and not unseen[k]]
+    links = [(k, a["href"], _is_crumb(a)) for k, (tag, a, _) in enumerate(events) if tag == "a" and a and a.get("href")]
+    runs = groupby(zip(data, events), lambda pair: pair[0] > 0)
+    blocks = ["".join(text or "" for _, (_, _, text) in run) for inside, run in runs if inside]
     return (
-        " ".join(reader.title),
-        " ".join(reader.body),
-        reader.links,
-        reader.crumbs,
-        reader.blocks,
+        " ".join(t for k, t in texts if t and titled[k]),
+        " ".join(t for k, t in texts if t and not titled[k]),
+        [link for _, link, _ in links],
+        [link for k, link, marked in links if marked or trail[k]],
+        blocks,
     )
 
 

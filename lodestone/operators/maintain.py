@@ -64,6 +64,25 @@ def responsible(
     return test
 
 
+def responsible_by_target(path: Column, rule_lists: Iterable[Iterable[str]]) -> Column:
+    """The same test with the settings of each path's root as columns: covering_root,
+    index_depth, selected_extensions (NULL or empty: all) and exclude_rules, whose
+    values are ``rule_lists``."""
+    root, allowed = F.col("covering_root"), F.col("selected_extensions")
+    prefix = F.concat(px.root_key(root), F.lit("/"))
+    shallow = F.col("index_depth").isNull() | (path == root) | (px.slash_count(path) - px.slash_count(prefix) <= F.col("index_depth"))
+    wanted = (F.size(F.coalesce(allowed, F.array().cast("array<string>"))) == 0) | F.exists(
+        allowed, lambda ext: F.endswith(F.lower(path), F.lower(ext))
+    )
+    hidden = F.lit(False)
+    for rules in rule_lists:
+        rules = list(rules)
+        listed = F.array(*map(F.lit, rules)).cast("array<string>")
+        mine = F.coalesce("exclude_rules", F.array().cast("array<string>")) == listed
+        hidden = hidden | (mine & (rl.excluded_by_path(path, rules) | rl.excluded_by_name(path, rules)))
+    return shallow & F.coalesce(wanted, F.lit(False)) & ~hidden
+
+
 def missing_rows(existing: DataFrame, seen: DataFrame, **scope) -> DataFrame:
     """Stored rows inside the refreshed scope that the listing no longer has."""
     ext = F.col("file_ext") if "file_ext" in existing.columns else None

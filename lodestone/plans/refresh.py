@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import schemas as sch
-from lodestone.functions import paths as px
 from lodestone.operators import index as ix
 from lodestone.operators import maintain as mn
 from lodestone.operators import reports as rp
+from lodestone.operators import scope as so
 from lodestone.operators.extract import extract_text
 from lodestone.session import cut_lineage
 from lodestone.sources.corpus import Corpus, read_corpus, write_corpus
@@ -44,11 +44,25 @@ def refresh(
     without ``delete_missing``: the listing is then only a part of what exists.
     """
     scope = {"root": root, "depth": depth, "extensions": extensions, "rules": list(rules)}
-    path = F.col("normalized_path")
-    inside = corpus.files.where(px.under(path, root, include_root=True))
+    return _refresh(corpus, listing, as_of, lambda rows: _of_scope(rows, scope), delete_missing)
+
+
+def _of_scope(rows: DataFrame, scope: dict) -> DataFrame:
+    ext = F.col("file_ext") if "file_ext" in rows.columns else None
+    return rows.where(mn.responsible(F.col("normalized_path"), file_ext=ext, **scope))
+
+
+def _refresh(
+    corpus: Corpus, listing: DataFrame, as_of: float, mine: Callable[[DataFrame], DataFrame], delete_missing: bool = True
+) -> Refresh:
+    """``mine`` keeps the rows (of files or failures) that the refresh is responsible for."""
+    seen = listing.select("normalized_path")
+    gone = mine(corpus.files).join(seen, "normalized_path", "left_anti").select("normalized_path")
     if not delete_missing:
-        inside = corpus.files.join(listing.select("normalized_path"), "normalized_path", "left_semi")
-    diff = cut_lineage(mn.diff_snapshot(inside, listing))
+        gone = gone.where(F.lit(False))
+    # What is listed, and what is missing inside the scope; nothing else is compared.
+    compared = corpus.files.join(seen.unionByName(gone), "normalized_path", "left_semi")
+    diff = cut_lineage(mn.diff_snapshot(compared, listing))
     todo = diff.where(F.col("change").isin("new", "changed"))
     work = listing.join(todo.select("normalized_path"), "normalized_path", "left_semi")
     if "bytes" in listing.columns:
@@ -59,9 +73,7 @@ def refresh(
     extracted = cut_lineage(work.drop("bytes"))
     docs, failed = split_failures(extracted, as_of)
     fresh = ix.build_files(docs.withColumn("indexed_at", F.lit(as_of)))
-    gone = mn.missing_rows(corpus.files, listing, **scope).select("normalized_path")
-    if not delete_missing:
-        gone = gone.where(F.lit(False))
+    gone = diff.where("change = 'missing'").select("normalized_path")
     files = cut_lineage(mn.record_errors(mn.apply_diff(corpus.files, fresh, gone), failed))
 
     # Bodies follow their file by id: an updated file keeps the id it had.
@@ -77,9 +89,8 @@ def refresh(
 
     failures = failed
     if corpus.failures is not None:
-        remaining = mn.clear_failures(corpus.failures, failed, **scope)
-        if not delete_missing:
-            remaining = corpus.failures.join(listing.select("normalized_path"), "normalized_path", "left_anti")
+        cleared = mine(corpus.failures).select("normalized_path") if delete_missing else seen
+        remaining = corpus.failures.join(cleared, "normalized_path", "left_anti")
         failures = mn.latest_failures(remaining.unionByName(failed))
     new = corpus.with_(
         files=files,
@@ -104,21 +115,25 @@ def refresh_targets(corpus: Corpus, targets: DataFrame, listings: DataFrame, as_
     """Refresh every enabled root in one job.
 
     ``listings`` is the union of the roots' listings with a ``root`` column; roots do
-    not overlap. The scope of a row is its own root, so deletion is one anti-join.
+    not overlap. Each stored row is judged by the depth, extensions and rules of its own
+    root, so deletion is one anti-join; rows and failures of no enabled root stay.
     """
-    from lodestone.operators import scope as so
-
     enabled = targets.where("is_enabled")
     roots = enabled.select(F.col("full_path").alias("root"))
-    mine = listings.join(roots, "root", "left_semi").drop("root")
-    covered = so.covering_root(
-        corpus.files.select(F.col("normalized_path").alias("path"), "source_type"), enabled
-    ).where("is_covered")
-    inside = corpus.files.join(
-        covered.select(F.col("path").alias("normalized_path")), "normalized_path", "left_semi"
-    )
-    outside = corpus.files.join(inside.select("normalized_path"), "normalized_path", "left_anti")
-    done = refresh(corpus.with_(files=cut_lineage(inside)), mine, "/", as_of)
-    return Refresh(
-        done.corpus.with_(files=done.corpus.files.unionByName(outside)), done.diff, done.statistics
+    listed = listings.join(roots, "root", "left_semi").drop("root")
+    return _refresh(corpus, listed, as_of, lambda rows: _of_targets(rows, enabled))
+
+
+def _of_targets(rows: DataFrame, enabled: DataFrame) -> DataFrame:
+    """Rows that a refresh of their own root would visit."""
+    settings = enabled.select(
+        F.col("full_path").alias("covering_root"), "index_depth", "selected_extensions", "exclude_rules"
     )
+    keyed = rows.select(F.col("normalized_path").alias("path"), F.lit("local").alias("source_type"))
+    if "source_type" in rows.columns:
+        keyed = rows.select(F.col("normalized_path").alias("path"), "source_type")
+    covered = so.covering_root(keyed.distinct(), enabled).where("is_covered").join(settings, "covering_root")
+    # Rule lists are settings: a few distinct ones, tested as columns.
+    lists = [r[0] for r in enabled.select(F.coalesce("exclude_rules", F.array().cast("array<string>"))).distinct().collect()]
+    visited = covered.where(mn.responsible_by_target(F.col("path"), lists))
+    return rows.join(visited.select(F.col("path").alias("normalized_path")), "normalized_path", "left_semi")

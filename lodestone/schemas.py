@@ -124,6 +124,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
             value = F.col(field.name).cast(field.dataType)
             if field.name in _DEFAULTS:
                 value = F.coalesce(value, F.lit(_DEFAULTS[field.name]).cast(field.dataType))
+            elif field.name == "aliases":
+                value = F.coalesce(value, F.array().cast(field.dataType))
         elif field.name == "aliases":
             value = F.array().cast(field.dataType)
         else:

@@ -46,10 +46,22 @@ def _with_content(docs: DataFrame, content: Column) -> DataFrame:
 
 
 def from_pages(pages: DataFrame, fetched_at: float | Column) -> DataFrame:
-    """Document rows of stored pages (url, html): named by title, extension ``.html``."""
+    """Document rows of stored pages (url, html): named by title, extension ``.html``.
+
+    Pages whose URLs are the same when normalised (they differ by fragment, say) are one
+    document: the latest by ``page_id`` where there is such a column, else the one with
+    the least html.
+    """
     at = fetched_at if isinstance(fetched_at, Column) else F.lit(fetched_at)
-    read = extract_pages(pages.where(ux.is_web_url(F.col("url"))))
     url = ux.normalize_url(F.col("url"))
+    newest = -F.col("page_id") if "page_id" in pages.columns else F.xxhash64("html")
+    # Only a number and a hash of each page meet, and the texts follow by a semi-join.
+    ranked = pages.where(ux.is_web_url(F.col("url"))).withColumns(
+        {"_url": url, "_rank": F.struct(newest.alias("newest"), F.xxhash64("url", "html").alias("hash"))}
+    )
+    first = ranked.groupBy("_url").agg(F.min("_rank").alias("_rank"))
+    chosen = ranked.join(first, ["_url", "_rank"], "left_semi").dropDuplicates(["_url", "_rank"])
+    read = extract_pages(chosen)
     docs = read.select(
         F.xxhash64(url).alias("file_id"),
         F.lit("web").alias("source_type"),
@@ -93,7 +105,7 @@ def list_files(
         listing = listing.where(px.within_depth(F.col("normalized_path"), root, depth))
     rules = list(rules)
     if rules:
-        below = F.substring("normalized_path", len(px.path_prefix(root)) + 1, 1_000_000)
+        below = F.substring("normalized_path", F.lit(len(px.path_prefix(root)) + 1), F.length("normalized_path"))
         listing = listing.where(
             ~rl.excluded_by_name(below, rules) & ~rl.excluded_by_path(F.col("normalized_path"), rules)
         )

@@ -42,10 +42,11 @@ def _counter(text: Column, name: str) -> Column:
 
 
 def read_access_metrics(df: DataFrame, root: str, column: str = "payload") -> DataFrame:
-    """(normalized_path, one column per metric) of a metrics document.
+    """(normalized_path, clicks, one column per metric) of a metrics document.
 
     Metrics lie under ``fileMetrics``, ``files`` or ``metrics``; without them the plain
-    counts of ``accessCounts`` are used. Paths are relative to ``root``.
+    counts of ``accessCounts`` are used. Paths are relative to ``root``. A plain count also
+    stands in for the clicks of a structure that has none, never for its importance.
     """
     doc = F.col(column)
     as_map = "map<string,string>"
@@ -71,13 +72,13 @@ def read_access_metrics(df: DataFrame, root: str, column: str = "payload") -> Da
     )
     is_struct = F.col("value").startswith("{")
     fallback = F.coalesce("count", F.lit("0"))
-    access = F.when(is_struct, F.coalesce(_counter(F.col("value"), "accessCount"), fallback)).otherwise(
-        F.col("value")
-    )
+    own = F.when(is_struct, _counter(F.col("value"), "accessCount")).otherwise(F.col("value"))
+    clicks = F.when(is_struct, F.coalesce(own, fallback)).otherwise(own)
     prefix = root if root.endswith("/") else root + "/"
     return rows.select(
         F.concat(F.lit(prefix), F.col("relative")).alias("normalized_path"),
-        access.alias("accessCount"),
+        clicks.alias("clicks"),
+        own.alias("accessCount"),
         *[F.when(is_struct, _counter(F.col("value"), m)).alias(m) for m in METRICS if m != "accessCount"],
     )
 
@@ -89,9 +90,12 @@ def import_metrics(files: DataFrame, metrics: DataFrame, root: str, as_of: float
     """
     from lodestone.functions import paths as px
 
-    scored = metrics.groupBy("normalized_path").agg(*[F.last(m).alias(m) for m in METRICS]).select(
+    if "clicks" not in metrics.columns:
+        metrics = metrics.withColumn("clicks", F.col("accessCount"))
+    last = [F.last(m).alias(m) for m in ("clicks", *METRICS)]
+    scored = metrics.groupBy("normalized_path").agg(*last).select(
         "normalized_path",
-        sc.non_negative(F.col("accessCount")).alias("new_clicks"),
+        sc.non_negative(F.col("clicks")).alias("new_clicks"),
         sc.importance(F.col, as_of).alias("new_importance"),
     )
     joined = files.join(scored, "normalized_path", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules as rl
+from lodestone.functions.terms import distinct_variants
 
 
 def synonym_rules(lines: DataFrame) -> DataFrame:
@@ -15,11 +16,9 @@ def synonym_rules(lines: DataFrame) -> DataFrame:
     """
     pieces = F.transform(F.split(F.translate("value", "，", ","), ","), lambda t: F.btrim(t))
     terms = F.filter(pieces, lambda t: t != "")
-    unique = F.filter(
-        terms,
-        lambda t, i: F.array_position(F.transform(terms, lambda u: F.lower(u)), F.lower(t)) == i + 1,
-    )
-    return lines.select("group_id", F.posexplode(unique).alias("position", "term"))
+    unique = distinct_variants(F.get(terms, 0), terms)
+    rows = lines.where("value is not null").withColumn("members", F.when(F.size(terms) > 0, unique))
+    return rows.select("group_id", F.posexplode_outer("members").alias("position", "term")).where("term is not null")
 
 
 def read_synonym_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -16,11 +16,11 @@ TABLES = (
 
 def _cell(value):
     if value is None:
-        return ""
+        return "NULL"
     if isinstance(value, bool):
         return str(int(value))
     if isinstance(value, float):
-        return "" if math.isnan(value) else f"{value:.7g}"
+        return "NULL" if math.isnan(value) else f"{value:.7g}"
     if hasattr(value, "as_tuple"):
         return f"{float(value):.7g}"
     if isinstance(value, int):
