@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _head(text: Column) -> Column:
     """Lines between the two dashed lines a text may begin with; NULL without them."""
-    lines = F.split(text, r"\r?\n")
-    bare = F.transform(lines, lambda line: F.rtrim(line, F.lit(" \t")))
-    end = F.array_position(F.slice(bare, F.lit(2), F.size(lines)), F.lit("---"))
-    return F.when(text.startswith("---"), F.when((F.get(bare, 0) == "---") & (end > 1), F.slice(lines, F.lit(2), end - 1)))
+
+    def between(lines: Column) -> Column:
+        bare = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.rtrim(line, F.lit(" \t")))
+        end = F.array_position(bare, F.lit("---"))
+        opens = F.rtrim(F.get(lines, 0), F.lit(" \t")) == "---"
+        return F.when(opens, _let(end, lambda n: F.when(n > 1, F.slice(lines, F.lit(2), n - 1))))
+
+    return F.when(text.startswith("---"), _let(F.split(text, r"\r?\n"), between))
 
 
 def _is_item(line: Column) -> Column:
@@ -20,13 +29,17 @@ def _is_item(line: Column) -> Column:
 
 def _properties(text: Column, *keys: str) -> Column:
     """Each property of one of the keys as its lines: ``key: value``, then its items."""
-    head = _head(text)
-    numbered = F.sequence(F.lit(1), F.greatest(F.size(head), F.lit(1)))
-    starts = F.filter(numbered, lambda i: ~_is_item(F.get(head, i - 1)))
-    runs = F.transform(
-        starts, lambda s, k: F.slice(head, s, F.coalesce(F.get(starts, k + 1), F.size(head) + 1) - s)
-    )
-    return F.filter(runs, lambda run: F.get(run, 0).contains(":") & _key(run).isin(*keys))
+
+    def runs(head: Column) -> Column:
+        numbered = F.sequence(F.lit(1), F.greatest(F.size(head), F.lit(1)))
+        starts = F.filter(numbered, lambda i: ~_is_item(F.get(head, i - 1)))
+
+        def cut(at: Column) -> Column:
+            return F.transform(at, lambda s, k: F.slice(head, s, F.coalesce(F.get(at, k + 1), F.size(head) + 1) - s))
+
+        return _let(starts, cut)
+
+    return F.filter(_let(_head(text), runs), lambda run: F.get(run, 0).contains(":") & _key(run).isin(*keys))
 
 
 def _key(run: Column) -> Column:

@@ -501,11 +501,11 @@ def text_fragments(spark, sf):
 
 
 @query("html_round_trip", "select page_id, trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) as heading,"
-    " " + ESCAPED.format("substr(html, 1, 200)") + " as escaped from pages")
+    " " + ESCAPED.format("html") + " as escaped from pages")
 def html_round_trip(spark, sf):
     pages = v.table(spark, sf, "pages")
     heading = tx.strip_html(tx.html_escape(F.regexp_replace(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), "<[^>]+>", "")))
-    return pages.select("page_id", heading.alias("heading"), tx.html_escape(F.substring("html", 1, 200)).alias("escaped"))
+    return pages.select("page_id", heading.alias("heading"), tx.html_escape(F.col("html")).alias("escaped"))
 
 
 # --- query preparation -------------------------------------------------------
@@ -529,20 +529,19 @@ def term_routes(spark, sf):
     return terms.select("term", tm.needs_literal_match(F.col("term")).alias("is_literal"))
 
 
-@query("query_keys", "select conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as normalized_query from conversations where not contains(text, 'ß')")
+@query("query_keys", "select conv_id, turn, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') as normalized_query from conversations")
 def query_keys(spark, sf):
-    rows = v.table(spark, sf, "conversations").where(~F.col("text").contains("ß"))
-    return rows.select("conv_id", "turn", tm.normalize_query("text").alias("normalized_query"))
+    return v.table(spark, sf, "conversations").select("conv_id", "turn", tm.normalize_query("text").alias("normalized_query"))
 
 
-SYNONYM_LINES_SQL = "select item_id as group_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:4]) as members from benchmark"
+SYNONYM_LINES_SQL = "select item_id as group_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) as members from benchmark"
 
 
 def synonym_table(spark, sf):
-    """First words of every benchmark text as a synonym group."""
+    """The words of every benchmark text as a synonym group."""
     from lodestone.sources.rules import synonym_rules
 
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), 1, 4)
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
     lines = v.table(spark, sf, "benchmark").select(F.col("item_id").alias("group_id"), F.array_join(words, " ,").alias("value"))
     return synonym_rules(lines)
 

@@ -323,27 +323,28 @@ def search_views(groups: list[list[str]], scope: str = "true", body: bool = True
     n = len(groups)
     low_q = q.lower().replace("'", "''")
     views["hits"] = "\nunion all\n".join(branches)
+    # one row for each file and term, with the fields that hold the term
+    views["fields"] = """
+      select file_id, term_index, bool_or(match_rank = 2) as in_name, bool_or(match_rank = 3) as in_title,
+        bool_or(match_rank = 4) as in_alias from hits group by file_id, term_index"""
+    views["terms_in"] = """
+      select file_id, count(*) as terms, count_if(in_name) as names, count_if(in_title) as titles, count_if(in_alias) as others
+      from fields group by file_id"""
+    stem = "lower(left(f.file_name, length(f.file_name) - length(f.file_ext)))"
     views["qualified"] = f"""
-      select h.file_id,
-        case when count(distinct case when match_rank = 2 then term_index end) = {n}
-               and lower(substr(any_value(f.file_name), 1, length(any_value(f.file_name)) - length(any_value(f.file_ext)))) = '{low_q}' then 8
-             when count(distinct case when match_rank = 2 then term_index end) = {n}
-               and contains(lower(any_value(f.file_name)), '{low_q}') then 7
-             when count(distinct case when match_rank = 2 then term_index end) = {n} then 6
-             when count(distinct case when match_rank = 3 then term_index end) = {n} and lower(any_value(f.title)) = '{low_q}' then 5
-             when count(distinct case when match_rank = 3 then term_index end) = {n} then 4
-             when count(distinct case when match_rank = 4 then term_index end) = {n} then 3
-             when count(distinct case when match_rank = 2 then term_index end) > 0 then 2
-             when count(distinct case when match_rank in (3, 4) then term_index end) > 0 then 1 else 0 end as filename_match_level
-      from hits h join scoped f on f.file_id = h.file_id
-      group by h.file_id having count(distinct term_index) = {n}"""
+      select f.file_id, greatest(
+        if(names = {n}, 6 + contains(lower(f.file_name), '{low_q}')::int + ({stem} = '{low_q}')::int, 0),
+        if(titles = {n}, 4 + (lower(f.title) = '{low_q}')::int, 0),
+        if(others = {n}, 3, 0), if(names > 0, 2, 0), if(titles + others > 0, 1, 0)) as filename_match_level
+      from terms_in t join scoped f on f.file_id = t.file_id where terms = {n}"""
     views["best"] = """
-      select *, cast(11 - floor(cume_dist() over (order by match_rank, score) * 10 + 0.999999) as int) as relevance_bucket from (
-        select h.file_id, h.match_rank, h.score, q.filename_match_level,
-          row_number() over (partition by h.file_id order by h.match_rank, h.score) as rn
-        from hits h join qualified q on q.file_id = h.file_id) where rn = 1"""
+      select file_id, top.match_rank as match_rank, top.score as score, filename_match_level,
+        11 - cast(floor(10.0 * count(*) over (order by top.match_rank, top.score) / count(*) over () + 0.999999) as int) as relevance_bucket
+      from (select q.file_id, any_value(filename_match_level) as filename_match_level,
+              min({'match_rank': h.match_rank, 'score': h.score}) as top
+            from hits h join qualified q on q.file_id = h.file_id group by q.file_id)"""
     views["affinity"] = f"""
-      select file_id, (1.0 * click_count / (click_count + 2.0)) * (1.0 / (1.0 + greatest({AS_OF} - last_clicked_at, 0.0) / 2592000.0)) as query_click_score
+      select file_id, (click_count / (click_count + 2.0)) / (1.0 + greatest({AS_OF} - last_clicked_at, 0.0) / (30 * 86400.0)) as query_click_score
       from ({QUERY_CLICKS_SQL}) where normalized_query = '{low_q}'"""
     views["ranked"] = f"""
       select b.*, f.* exclude (file_id, click_count), f.click_count + f.imported_click_count as clicks,
