@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, contamination, near, pages, quality, scoring, simhash, token_counts, toxicity
+from lodestone.llm import bpe, chat, contamination, near, oracle, pages, quality, scoring, simhash, token_counts, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -50,7 +50,7 @@ def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", near.hex_of("fp").alias("fingerprint"), "component_id")
 
 
-@query("op2_contamination")
+@query("op2_contamination", oracle.CONTAMINATION)
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination.contained(docs, table(spark, sf_dir, "benchmark"))
@@ -78,7 +78,7 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-@query("op7_chat")
+@query("op7_chat", oracle.CHAT)
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"))
 
