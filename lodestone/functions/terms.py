@@ -62,7 +62,8 @@ def casefold(terms: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def distinct_variants(typed: pd.Series, members: pd.Series) -> pd.Series:
     """The typed term and the members of its group, one spelling of each folded form."""
-    return pd.Series([fold_unique([t, *(() if m is None else m)]) for t, m in zip(typed, members)], dtype=object)
+    groups = ([t, *(() if m is None else m)] for t, m in zip(typed, members))
+    return pd.Series([fold_unique(x for x in group if x is not None) for group in groups], dtype=object)
 
 
 def expand_terms(terms: DataFrame, rules: DataFrame) -> DataFrame:

@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.terms import casefold
 from lodestone.operators.folders import folder_rollup
 
 
+def _order(*keys: str):
+    """Sort keys by column name, made when a session exists; a minus sign turns one round."""
+    return lambda: [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in keys]
+
+
+FOLDERS_LATEST = _order("-last_indexed_at", "-full_path")
+FOLDERS_LARGEST = _order("-indexed_file_count", "full_path")
+PAGES_LATEST = _order("-last_indexed_at", "full_path")
+ROOTS = _order("-is_enabled", "full_path")
+FAILURES_NEWEST = _order("-last_failed_at", "normalized_path")
+
+
 def indexed_folders(files: DataFrame, targets: DataFrame) -> DataFrame:
     """Folders with their own file count, latest first."""
-    return folder_rollup(files, targets).orderBy(F.desc("last_indexed_at"), F.desc("full_path"))
+    return folder_rollup(files, targets).orderBy(*FOLDERS_LATEST())
 
 
 def indexed_pages(files: DataFrame) -> DataFrame:
@@ -22,21 +35,21 @@ def indexed_pages(files: DataFrame) -> DataFrame:
             F.col("indexed_at").alias("last_indexed_at"),
             F.lit(1).cast("bigint").alias("indexed_file_count"),
         )
-        .orderBy(F.desc("last_indexed_at"), "full_path")
+        .orderBy(*PAGES_LATEST())
     )
 
 
 def folder_list_order(folders: DataFrame) -> DataFrame:
-    return folders.orderBy(F.desc("indexed_file_count"), "full_path")
+    return folders.orderBy(*FOLDERS_LARGEST())
 
 
 def registered_roots(targets: DataFrame) -> DataFrame:
     columns = ("full_path", "source_type", "is_enabled", "last_indexed_at", "indexed_file_count")
-    return targets.select(*columns).orderBy(F.desc("is_enabled"), "full_path")
+    return targets.select(*columns).orderBy(*ROOTS())
 
 
 def failure_list(failures: DataFrame) -> DataFrame:
-    return failures.orderBy(F.desc("last_failed_at"), "normalized_path")
+    return failures.orderBy(*FAILURES_NEWEST())
 
 
 def corpus_status(files: DataFrame) -> DataFrame:
@@ -66,10 +79,10 @@ def run_statistics(diff: DataFrame, failures: DataFrame) -> DataFrame:
 
 def synonym_conflicts(rules: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Terms that more than one group claims, or that are exclusion rules as well."""
-    claims = rules.groupBy(F.lower("term").alias("term")).agg(
+    claims = rules.groupBy(casefold("term").alias("term")).agg(
         F.count_distinct("group_id").alias("groups"), F.min("group_id").alias("winning_group")
     )
-    excluded = exclusions.select(F.lower("rule").alias("term")).distinct().withColumn("is_excluded", F.lit(True))
+    excluded = exclusions.select(casefold("rule").alias("term")).distinct().withColumn("is_excluded", F.lit(True))
     return (
         claims.join(excluded, "term", "left")
         .withColumn("is_excluded", F.coalesce("is_excluded", F.lit(False)))

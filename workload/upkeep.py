@@ -82,8 +82,7 @@ LATEST_SQL = f"select normalized_path, max(last_failed_at) as last_failed_at fro
 @query("failure_list", f"select row_number() over (order by last_failed_at desc, normalized_path) as position, normalized_path from ({LATEST_SQL})")
 def failure_list(spark, sf):
     ordered = rp.failure_list(mn.latest_failures(v.failures(spark, sf)))
-    keys = [F.desc("last_failed_at"), F.col("normalized_path")]
-    return rk.number_rows(ordered, keys, "position").select("position", "normalized_path")
+    return rk.number_rows(ordered, rp.FAILURES_NEWEST(), "position").select("position", "normalized_path")
 
 
 @query("clear_failures", f"select normalized_path from ({LATEST_SQL}) where not (starts_with(normalized_path, '/corpus/src1/') and not ends_with(normalized_path, '1.md'))")
@@ -243,8 +242,19 @@ def folder_rollup(spark, sf):
     "select row_number() over (order by n desc, folder_path) as position, folder_path as full_path from (select folder_path, count(*) as n from files group by 1)"))
 def indexed_folders(spark, sf):
     folders = rp.folder_list_order(rp.indexed_folders(files_of(spark, sf), v.targets(spark, sf).where("false")))
-    keys = [F.desc("indexed_file_count"), F.col("full_path")]
-    return rk.number_rows(folders, keys, "position").select("position", "full_path")
+    return rk.number_rows(folders, rp.FOLDERS_LARGEST(), "position").select("position", "full_path")
+
+
+@query("indexed_pages",
+    "select row_number() over (order by url) as position, url as full_path, 1 as indexed_file_count from"
+    " (select distinct regexp_replace(regexp_replace(url, '#.*$', ''), '\\s', '') as url from pages)")
+def indexed_pages(spark, sf):
+    from lodestone.operators.index import build_files
+    from lodestone.sources.documents import from_pages
+
+    files = build_files(from_pages(v.table(spark, sf, "pages"), v.AS_OF).withColumn("indexed_at", F.lit(v.AS_OF)))
+    pages = rp.indexed_pages(files)
+    return rk.number_rows(pages, rp.PAGES_LATEST(), "position").select("position", "full_path", "indexed_file_count")
 
 
 @query("corpus_status", v.with_views(
@@ -255,12 +265,11 @@ def corpus_status(spark, sf):
 
 @query("registered_roots", f"select row_number() over (order by is_enabled desc, full_path) as position, full_path, indexed_file_count from ({v.TARGETS_SQL})")
 def registered_roots(spark, sf):
-    keys = [F.desc("is_enabled"), F.col("full_path")]
-    return rk.number_rows(rp.registered_roots(v.targets(spark, sf)), keys, "position").select("position", "full_path", "indexed_file_count")
+    return rk.number_rows(rp.registered_roots(v.targets(spark, sf)), rp.ROOTS(), "position").select("position", "full_path", "indexed_file_count")
 
 
 @query("synonym_conflicts",
-    "with r as (select item_id as group_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:4])) as term from benchmark),"
+    "with r as (select item_id as group_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) as term from benchmark),"
     " x as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as w from conversations)"
     " select term, count(distinct group_id) as groups, min(group_id) as winning_group, term in (select w from x) as is_excluded from r group by term"
     " having count(distinct group_id) > 1 or term in (select w from x)")
