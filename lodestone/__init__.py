@@ -12,11 +12,12 @@ from lodestone.plans.search import (
     to_results,
 )
 from lodestone.request import SearchRequest
-from lodestone.sources.corpus import Corpus, read_corpus, write_corpus
+from lodestone.sources.corpus import Corpus, compact, read_corpus, write_corpus
 from lodestone.sources.documents import from_documents, from_pages, list_files, read_files
 
 __all__ = [
     "Corpus",
+    "compact",
     "SearchRequest",
     "SearchResult",
     "from_documents",

@@ -113,18 +113,17 @@ def apply_diff(existing: DataFrame, fresh: DataFrame, gone: DataFrame) -> DataFr
     ``fresh`` replaces rows of the same path but keeps their id, clicks, imported clicks
     and importance; ``gone`` (normalized_path) is removed.
     """
+    replaced = fresh.select("normalized_path").unionByName(gone.select("normalized_path"))
+    return existing.join(replaced, "normalized_path", "left_anti").unionByName(carried_over(existing, fresh))
+
+
+def carried_over(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``fresh`` rows with the id, clicks and importance of the stored row of their path."""
     kept_columns = ("file_id", "click_count", "imported_click_count", "importance")
-    carried = existing.select(
-        "normalized_path", *[F.col(c).alias(f"old_{c}") for c in kept_columns]
+    old = existing.select("normalized_path", *[F.col(c).alias(f"old_{c}") for c in kept_columns])
+    return fresh.join(old, "normalized_path", "left").select(
+        *[F.coalesce(f"old_{c}", c).alias(c) if c in kept_columns else F.col(c) for c in existing.columns]
     )
-    updated = fresh.join(carried, "normalized_path", "left").select(
-        *[
-            F.coalesce(f"old_{c}", c).alias(c) if c in kept_columns else F.col(c)
-            for c in existing.columns
-        ]
-    )
-    replaced = fresh.select("normalized_path").unionByName(gone.select("normalized_path"))
-    return existing.join(replaced, "normalized_path", "left_anti").unionByName(updated)
 
 
 def record_errors(files: DataFrame, failures: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Refresh of one or more roots: diff, extract what changed, rewrite the corpus."""
+"""Refresh of one or more roots: diff, extract what changed, and bring the corpus in line or append a delta."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from lodestone.operators import reports as rp
 from lodestone.operators import scope as so
 from lodestone.operators.extract import extract_text
 from lodestone.session import cut_lineage
-from lodestone.sources.corpus import Corpus, read_corpus, write_corpus
+from lodestone.sources.corpus import Corpus, Delta, latest_version, read_corpus, write_delta
 from lodestone.sources.documents import split_failures
 
 
@@ -52,9 +52,23 @@ def _of_scope(rows: DataFrame, scope: dict) -> DataFrame:
     return rows.where(mn.responsible(F.col("normalized_path"), file_ext=ext, **scope))
 
 
-def _refresh(
-    corpus: Corpus, listing: DataFrame, as_of: float, mine: Callable[[DataFrame], DataFrame], delete_missing: bool = True
-) -> Refresh:
+@dataclass(frozen=True)
+class Changes:
+    """What a refresh found and read; every table is small beside the corpus."""
+
+    diff: DataFrame
+    updated: DataFrame  # file rows, new ones and changed ones under the id they had
+    errors: DataFrame  # stored file rows that failed now
+    gone: DataFrame
+    dropped: DataFrame  # ids whose stored bodies go
+    bodies: DataFrame
+    failed: DataFrame
+    failures: DataFrame
+
+
+def _changes(
+    corpus: Corpus, listing: DataFrame, as_of: float, mine: Callable[[DataFrame], DataFrame], delete_missing: bool
+) -> Changes:
     """``mine`` keeps the rows (of files or failures) that the refresh is responsible for."""
     seen = listing.select("normalized_path")
     gone = mine(corpus.files).join(seen, "normalized_path", "left_anti").select("normalized_path")
@@ -74,41 +88,86 @@ def _refresh(
     docs, failed = split_failures(extracted, as_of)
     fresh = ix.build_files(docs.withColumn("indexed_at", F.lit(as_of)))
     gone = diff.where("change = 'missing'").select("normalized_path")
-    files = cut_lineage(mn.record_errors(mn.apply_diff(corpus.files, fresh, gone), failed))
+    updated = cut_lineage(mn.record_errors(mn.carried_over(corpus.files, fresh), failed))
+    known = corpus.files.join(failed.select("normalized_path"), "normalized_path", "left_semi")
+    errors = mn.record_errors(known.join(updated.select("normalized_path"), "normalized_path", "left_anti"), failed)
 
     # Bodies follow their file by id: an updated file keeps the id it had.
-    replaced = docs.join(files.select("normalized_path", F.col("file_id").alias("kept_id")), "normalized_path")
-    bodies = ix.build_segments(replaced.withColumn("file_id", F.col("kept_id")))
-    touched = replaced.select(F.col("kept_id").alias("file_id"))
+    replaced = docs.join(updated.select("normalized_path", F.col("file_id").alias("kept_id")), "normalized_path")
     removed = corpus.files.join(gone, "normalized_path", "left_semi").select("file_id")
-    dropped = touched.unionByName(removed)
-    segments = mn.delete_files(corpus.segments.select(*sch.SEGMENTS.fieldNames()), dropped).unionByName(bodies)
-    postings = None
-    if corpus.postings is not None:
-        postings = mn.delete_files(corpus.postings, dropped).unionByName(ix.build_postings(bodies))
-
     failures = failed
     if corpus.failures is not None:
         cleared = mine(corpus.failures).select("normalized_path") if delete_missing else seen
-        remaining = corpus.failures.join(cleared, "normalized_path", "left_anti")
-        failures = mn.latest_failures(remaining.unionByName(failed))
+        failures = mn.latest_failures(corpus.failures.join(cleared, "normalized_path", "left_anti").unionByName(failed))
+    return Changes(
+        diff, updated, errors, gone,
+        dropped=cut_lineage(replaced.select(F.col("kept_id").alias("file_id")).unionByName(removed)),
+        bodies=ix.build_segments(replaced.withColumn("file_id", F.col("kept_id"))),
+        failed=failed,
+        failures=failures,
+    )
+
+
+def _refresh(
+    corpus: Corpus, listing: DataFrame, as_of: float, mine: Callable[[DataFrame], DataFrame], delete_missing: bool = True
+) -> Refresh:
+    found = _changes(corpus, listing, as_of, mine, delete_missing)
+    again = found.updated.unionByName(found.errors)
+    touched = again.select("normalized_path").unionByName(found.gone)
+    files = cut_lineage(corpus.files.join(touched, "normalized_path", "left_anti").unionByName(again))
+    segments = mn.delete_files(corpus.segments.select(*sch.SEGMENTS.fieldNames()), found.dropped).unionByName(found.bodies)
+    postings = None
+    if corpus.postings is not None:
+        postings = mn.delete_files(corpus.postings, found.dropped).unionByName(ix.build_postings(found.bodies))
     new = corpus.with_(
         files=files,
         segments=segments,
         postings=postings,
         terms=None if postings is None else ix.term_stats(postings),
         stats=None if corpus.stats is None else ix.corpus_stats(segments),
-        failures=failures,
+        failures=found.failures,
+    )
+    return Refresh(new, found.diff, rp.run_statistics(found.diff, found.failed))
+
+
+def _delta(corpus: Corpus, found: Changes) -> Delta:
+    """The changes as tables to be stored: new rows, replaced ids, signed counts."""
+    again = cut_lineage(found.updated.unionByName(found.errors))
+    removed = corpus.files.join(found.gone, "normalized_path", "left_semi").select("file_id")
+    bodies = cut_lineage(found.bodies)
+    postings = cut_lineage(ix.build_postings(bodies))
+    signed = F.col("df") * F.col("sign")
+    old = corpus.postings.join(found.dropped, "file_id", "left_semi")
+    terms = ix.term_stats(postings).withColumn("sign", F.lit(1)).unionByName(ix.term_stats(old).withColumn("sign", F.lit(-1)))
+    was = corpus.segments.join(found.dropped, "file_id", "left_semi").select("n_tokens", F.lit(-1).alias("sign"))
+    counted = bodies.select("n_tokens", F.lit(1).alias("sign")).unionByName(was)
+    return Delta(
+        files=again,
+        replaced_files=again.select("file_id").unionByName(removed),
+        segments=bodies.withColumn("bucket", ix.id_bucket(F.col("file_id"))),
+        replaced_bodies=found.dropped,
+        postings=postings,
+        terms=terms.groupBy("kind", "term").agg(F.sum(signed).alias("df")).where("df <> 0"),
+        totals=counted.agg(
+            F.coalesce(F.sum("sign"), F.lit(0)).cast("bigint").alias("n_docs"),
+            F.coalesce(F.sum(F.col("sign") * F.col("n_tokens")), F.lit(0)).cast("double").alias("tokens"),
+        ),
+        failures=found.failures,
     )
-    return Refresh(new, diff, rp.run_statistics(diff, failed))
 
 
-def refresh_stored(path: str, listing: DataFrame, root: str, as_of: float, **scope) -> Refresh:
-    """Refresh a stored corpus: the result becomes its newest snapshot."""
+def refresh_stored(
+    path: str, listing: DataFrame, root: str, as_of: float, delete_missing: bool = True, depth: int | None = None,
+    extensions: Iterable[str] | None = None, rules: Iterable[str] = (),
+) -> Refresh:
+    """Refresh a stored corpus. Only what changed is written, as a delta."""
     spark = listing.sparkSession
-    done = refresh(read_corpus(spark, path), listing, root, as_of, **scope)
-    write_corpus(done.corpus, path)
-    return Refresh(read_corpus(spark, path), done.diff, done.statistics)
+    scope = {"root": root, "depth": depth, "extensions": extensions, "rules": list(rules)}
+    since = latest_version(spark, path)
+    corpus = read_corpus(spark, path)
+    found = _changes(corpus, listing, as_of, lambda rows: _of_scope(rows, scope), delete_missing)
+    write_delta(_delta(corpus, found), path, since)
+    return Refresh(read_corpus(spark, path), found.diff, rp.run_statistics(found.diff, found.failed))
 
 
 def refresh_targets(corpus: Corpus, targets: DataFrame, listings: DataFrame, as_of: float) -> Refresh:

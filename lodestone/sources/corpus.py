@@ -1,13 +1,17 @@
 """The tables of a corpus, and how they are stored.
 
-A stored corpus is a folder of immutable snapshots and a small log. A writer fills a
-new snapshot folder and then appends one log row, so readers always see a whole one.
+A stored corpus is a folder of immutable generations and a small log. A writer fills a
+new folder and then appends one log row, so readers always see whole generations. A
+generation is a base (all rows) or a delta: only the rows that a refresh changed, with
+the ids that they replace. Readers merge the newest base with the deltas after it;
+``compact`` writes the merged rows as a new base.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +105,7 @@ def write_corpus(corpus: Corpus, path: str, parts: int | None = None) -> str:
     """
     spark = corpus.files.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    version = (latest_version(spark, path) or 0) + 1
+    version = claim_version(spark, path)
     root = f"{path}/snapshot={version:06d}-{uuid.uuid4().hex[:8]}"
     _write(corpus.files, "files", root, parts)
     _write(corpus.segments, "segments", root, parts)
@@ -115,20 +119,72 @@ def write_corpus(corpus: Corpus, path: str, parts: int | None = None) -> str:
         table = getattr(corpus, name)
         if table is not None:
             _write(table, name, root, parts)
+    given = [f.name for f in fields(corpus) if getattr(corpus, f.name) is not None]
+    _append(spark, path, version, root, given, "base")
+    return root
+
+
+@dataclass(frozen=True)
+class Delta:
+    """What a refresh changed. ``terms`` and ``totals`` (n_docs, tokens) are signed changes."""
+
+    files: DataFrame
+    replaced_files: DataFrame
+    segments: DataFrame
+    replaced_bodies: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    failures: DataFrame | None = None
+
+
+def write_delta(delta: Delta, path: str, since: int) -> str:
+    """Append a delta to the generations up to version ``since`` and return its folder."""
+    spark = delta.files.sparkSession
+    version = claim_version(spark, path)
+    root = f"{path}/delta={version:06d}-{uuid.uuid4().hex[:8]}"
+    given = [f.name for f in fields(delta) if getattr(delta, f.name) is not None]
+    for name in given:
+        writer = getattr(delta, name).write.mode("errorifexists")
+        if name in ("files", "segments"):
+            writer = writer.partitionBy("source_type" if name == "files" else "bucket")
+        writer.parquet(f"{root}/{name}")
+    if latest_version(spark, path) != since:
+        raise RuntimeError(f"{path} was written by another job since version {since}")
+    _append(spark, path, version, root, given, "delta")
+    return root
+
+
+def compact(spark: SparkSession, path: str, parts: int | None = None) -> str:
+    """Write the merged generations as a new base. Older folders stay for readers that use them."""
+    return write_corpus(read_corpus(spark, path), path, parts)
+
+
+def _append(spark: SparkSession, path: str, version: int, root: str, given: list[str], kind: str) -> None:
     entry = spark.range(1).select(
         F.lit(version).cast("bigint").alias("version"),
         F.lit(root).alias("root"),
-        F.array(*[F.lit(f.name) for f in fields(corpus) if getattr(corpus, f.name) is not None]).alias("given"),
+        F.array(*map(F.lit, given)).alias("given"),
+        F.lit(kind).alias("kind"),
     )
     entry.coalesce(1).write.mode("append").parquet(f"{path}/{LOG}")
-    return root
+
+
+def claim_version(spark: SparkSession, path: str) -> int:
+    """The next free version, claimed by a file that only one writer can create."""
+    version = (latest_version(spark, path) or 0) + 1
+    while True:
+        claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{version:06d}")
+        if claim.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(claim):
+            return version
+        version += 1
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame | None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{LOG}")
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
-    return spark.read.schema("version bigint, root string, given array<string>").parquet(f"{path}/{LOG}")
+    return spark.read.schema("version bigint, root string, given array<string>, kind string").parquet(f"{path}/{LOG}")
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
@@ -136,26 +192,62 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
     return None if log is None else log.agg(F.max("version")).first()[0]
 
 
+LAYOUTS = {
+    "files": sch.FILES,
+    "segments": sch.STORED_SEGMENTS,
+    "postings": sch.POSTINGS,
+    "terms": sch.TERM_STATS,
+    "stats": sch.CORPUS_STATS,
+    "failures": sch.FAILURES,
+    "query_clicks": sch.QUERY_CLICKS,
+    "targets": sch.TARGETS,
+}
+
+
 def read_corpus(spark: SparkSession, path: str) -> Corpus:
-    """The newest whole snapshot."""
+    """The newest base, merged with the deltas after it."""
     log = _log(spark, path)
     if log is None:
         raise FileNotFoundError(f"no corpus at {path}")
-    row = log.agg(F.max_by(F.struct("root", "given"), "version").alias("e")).first()["e"]
-    layouts = {
-        "files": sch.FILES,
-        "segments": sch.STORED_SEGMENTS,
-        "postings": sch.POSTINGS,
-        "terms": sch.TERM_STATS,
-        "stats": sch.CORPUS_STATS,
-        "failures": sch.FAILURES,
-        "query_clicks": sch.QUERY_CLICKS,
-        "targets": sch.TARGETS,
-    }
+    base = log.where("kind is null or kind = 'base'").agg(F.max("version")).first()[0]
+    # one row for each generation since the last compaction
+    generations = log.where(F.col("version") >= base).orderBy("version").collect()
     always = {"files", "segments", "postings", "terms", "stats"}
+    first, deltas = generations[0], generations[1:]
     tables = {
-        name: spark.read.schema(schema).parquet(f"{row['root']}/{name}")
-        for name, schema in layouts.items()
-        if name in always or name in row["given"]
+        name: spark.read.schema(schema).parquet(f"{first.root}/{name}")
+        for name, schema in LAYOUTS.items()
+        if name in always or name in first.given
     }
-    return Corpus(**tables)
+    return Corpus(**(_merged(spark, tables, deltas) if deltas else tables))
+
+
+def _merged(spark: SparkSession, tables: dict[str, DataFrame], deltas: list) -> dict[str, DataFrame]:
+    """Rows of the base and of each delta that no later generation replaces."""
+
+    def of(row, name: str, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{row.root}/{name}")
+
+    def every(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    merged = dict(tables)
+    replaced_by = {"files": "replaced_files", "segments": "replaced_bodies", "postings": "replaced_bodies"}
+    for name, replaced in replaced_by.items():
+        since = F.lit(0).cast("bigint").alias("_since")
+        parts = [tables[name].select("*", since)]
+        parts += [of(d, name, LAYOUTS[name]).select("*", F.lit(d.version).alias("_since")) for d in deltas]
+        gone = every([of(d, replaced, "file_id bigint").select("file_id", F.lit(d.version).alias("_gone")) for d in deltas])
+        gone = gone.groupBy("file_id").agg(F.max("_gone").alias("_gone"))
+        rows = every(parts).join(gone, "file_id", "left").where("_gone is null or _since >= _gone")
+        merged[name] = rows.select(*tables[name].columns)
+    counts = every([tables["terms"], *(of(d, "terms", sch.TERM_STATS) for d in deltas)])
+    merged["terms"] = counts.groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    totals = tables["stats"].select("n_docs", F.coalesce(F.col("n_docs") * F.col("avg_tokens"), F.lit(0.0)).alias("tokens"))
+    totals = every([totals, *(of(d, "totals", "n_docs bigint, tokens double") for d in deltas)])
+    sums = totals.agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
+    merged["stats"] = sums.select("n_docs", F.try_divide("tokens", "n_docs").alias("avg_tokens"))
+    failing = [d for d in deltas if "failures" in d.given]
+    if failing:
+        merged["failures"] = of(failing[-1], "failures", sch.FAILURES)
+    return merged

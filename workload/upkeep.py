@@ -11,9 +11,10 @@ from lodestone.operators import maintain as mn
 from lodestone.operators import rank as rk
 from lodestone.operators import reports as rp
 from lodestone.operators import scope as so
-from lodestone.plans.refresh import refresh, refresh_targets
+from lodestone.plans.refresh import refresh, refresh_stored, refresh_targets
 from lodestone.plans.search import search
 from lodestone.session import scratch_path
+from lodestone.sources.corpus import read_corpus, write_corpus
 from lodestone.streaming import clicks as ck
 from workload import views as v
 from workload.registry import query
@@ -106,8 +107,41 @@ def apply_diff(spark, sf):
     return mn.apply_diff(files, fresh, gone).select("normalized_path", "mtime", "size", "click_count", "imported_click_count")
 
 
-@query("refresh_incremental", v.with_views(
-    f"select term, count(distinct normalized_path) as df from (select normalized_path, unnest(regexp_extract_all(lower(content), {v.WORDS})) as term from listing) group by term", **LISTED))
+LISTED_TERMS_SQL = v.with_views(
+    f"select term, count(distinct normalized_path) as df from (select normalized_path, unnest(regexp_extract_all(lower(content), {v.WORDS})) as term from listing) group by term", **LISTED)
+
+
+def refreshed_path(spark, sf):
+    """A stored corpus with the later listing on top of it as a delta."""
+
+    def make():
+        path = scratch_path(spark, "delta")
+        write_corpus(v.corpus(spark, sf), path)
+        refresh_stored(path, _as_text(v.listing(spark, sf)), "/corpus", v.AS_OF)
+        return path
+
+    return v.kept(spark, sf, "delta", make)
+
+
+@query("refresh_stored_delta", LISTED_TERMS_SQL)
+def refresh_stored_delta(spark, sf):
+    """Term counts of a base merged with a delta."""
+    return read_corpus(spark, refreshed_path(spark, sf)).terms.where("kind = 'word'").select("term", "df")
+
+
+@query("refresh_stored_files", v.with_views(
+    "select l.normalized_path, l.mtime, l.size, coalesce(f.click_count, 0) as click_count from listing l left join files f on f.normalized_path = l.normalized_path", **LISTED))
+def refresh_stored_files(spark, sf):
+    return read_corpus(spark, refreshed_path(spark, sf)).files.select("normalized_path", "mtime", "size", "click_count")
+
+
+@query("rebuilt_index", LISTED_TERMS_SQL)
+def rebuilt_index(spark, sf):
+    """Term counts of an index made anew from the merged bodies."""
+    return read_corpus(spark, refreshed_path(spark, sf)).rebuilt().terms.where("kind = 'word'").select("term", "df")
+
+
+@query("refresh_incremental", LISTED_TERMS_SQL)
 def refresh_incremental(spark, sf):
     """Term counts after a refresh: those of the listing, though most rows were kept."""
     done = refresh(v.corpus(spark, sf).indexed(), _as_text(v.listing(spark, sf)), "/corpus", v.AS_OF)
@@ -119,12 +153,25 @@ def _as_text(listing):
     return listing.withColumn("source_type", F.lit("local"))
 
 
+#: Stored rows that a refresh of their own enabled root answers for: its depth, extensions and rules.
+MINE_SQL = """
+  starts_with(normalized_path, '/corpus/src1/') and ends_with(normalized_path, '.md')
+  or starts_with(normalized_path, '/corpus/src2/en/') and not contains(normalized_path, '/the-')
+"""
+
+
 @query("refresh_targets", v.with_views(
-    "select l.normalized_path, l.size from listing l where starts_with(l.normalized_path, '/corpus/src1/')"
-    " union all select f.normalized_path, f.size from files f where not starts_with(f.normalized_path, '/corpus/src1/')", **LISTED))
+    f"""select l.normalized_path, l.size from listing l where starts_with(l.normalized_path, '/corpus/src1/') or starts_with(l.normalized_path, '/corpus/src2/en/')
+    union all select f.normalized_path, f.size from files f
+    where not (starts_with(normalized_path, '/corpus/src1/') or starts_with(normalized_path, '/corpus/src2/en/'))
+      or (not ({MINE_SQL}) and {GONE})""", **LISTED))
 def refresh_targets_query(spark, sf):
-    targets = v.targets(spark, sf).where("full_path = '/corpus/src1'").withColumn("is_enabled", F.lit(True))
-    listing = _as_text(v.listing(spark, sf)).where("startswith(normalized_path, '/corpus/src1/')").withColumn("root", F.lit("/corpus/src1"))
+    """Three roots: extensions, rules and depth of their own, one disabled, one too shallow to see a file."""
+    rows = [("/corpus/src1", True, [], 5, [".md"]), ("/corpus/src2/en", True, ["the"], 5, None), ("/corpus/src4", True, [], 0, None), ("/corpus/src3", False, [], 5, None)]
+    layout = "full_path string, is_enabled boolean, exclude_rules array<string>, index_depth int, selected_extensions array<string>"
+    targets = spark.createDataFrame(rows, layout).withColumn("source_type", F.lit("local"))
+    root = F.when(F.col("normalized_path").startswith("/corpus/src1/"), "/corpus/src1").when(F.col("normalized_path").startswith("/corpus/src2/en/"), "/corpus/src2/en")
+    listing = _as_text(v.listing(spark, sf)).withColumn("root", root).where("root is not null")
     done = refresh_targets(v.corpus(spark, sf), targets, listing, v.AS_OF)
     return done.corpus.files.select("normalized_path", "size")
 
