@@ -14,6 +14,8 @@ from lodestone.session import cut_lineage
 
 #: Rows that a worker handles at once, and bytes of text after which a slice ends early.
 SLICE_ROWS, SLICE_BYTES = 512, 4_000_000
+#: Rows of an Arrow batch between Spark and a worker.
+BATCH_ROWS = 1_024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +49,18 @@ def slices(
 def map_slices(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, text_at: int
 ) -> DataFrame:
-    """``mapInArrow`` over slices bounded in rows and bytes; ``text_at`` is the text's position."""
+    """``mapInArrow`` over slices bounded in rows and bytes; ``text_at`` is the text's position.
+
+    The session's Arrow batches are made no larger than ``BATCH_ROWS`` rows, so that several
+    workers beside an executor hold few texts at a time, and give back what they held.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
 
     def run(batches):
         yield from function(slices(batches, text_at))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

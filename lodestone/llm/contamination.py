@@ -44,7 +44,7 @@ WORDS = re.compile(r"\w+")
 #: Odd multipliers that make a shingle's hash depend on the order of its words.
 STEP = 0x9E3779B97F4A7C15
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 class WordHashes(dict):

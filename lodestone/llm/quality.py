@@ -34,7 +34,7 @@ from lodestone.llm.common import map_slices, text_or_empty, word_tokens
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 #: Buckets in a row of partial sums; tokens counted before they are added up; buckets of words remembered.
-BLOCK, COUNTED, REMEMBERED = 32, 1 << 18, 1 << 19
+BLOCK, COUNTED, REMEMBERED = 32, 1 << 18, 1 << 17
 FOLDS, SAMPLE, HIDDEN, EPOCHS, RATE, SEED, CUT = 5, 20_000, 32, 40, 0.01, 11, 0.3
 
 

@@ -39,7 +39,7 @@ from lodestone.llm.quality import held_out
 GRADES, LIFT, LEAST_ROWS, CUT = 4, 3.0, 5, 0.5
 SAMPLE, FEATURES, STEPS, RATE, SHRINK = 10_000, 20_000, 400, 0.1, 1e-5
 PREFIXES = (4, 5, 6)
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 WORDS = re.compile(r"\w+")
 
 
