@@ -265,21 +265,23 @@ def field_tests(groups: list[list[str]], column: Column) -> list[Column]:
 
 
 def match_files(corpus, scoped: DataFrame, request: SearchRequest) -> DataFrame:
-    """Scoped files that satisfy every term, with rank, score, type and level."""
+    """Scoped files that satisfy every term, with rank, score, type and level.
+
+    Names are tested in the scan of the files, and body hits of a file meet before the
+    files do. So only two kinds of file rows take part in a join: those with some hit in a
+    name, and, in an inner join with a narrow table of ids, those whose body has all terms.
+    """
     groups = variants(request)
     n = len(groups)
     if n == 0 or not (request.wants_body or request.wants_name):
         return _no_match(scoped)
     units = body_units(groups) if request.wants_body else []
     tables = match_body(corpus, units)
-    rows = scoped
-    for table in tables:
-        must_hit = not request.wants_name and len(tables) == 1
-        rows = rows.join(table, "file_id", "inner" if must_hit else "left")
+    body_hits = reduce(lambda a, b: a.join(b, "file_id", "full_outer"), tables) if tables else None
     no, never = F.lit(None).cast("double"), [F.lit(False)] * n
 
     def slot(kind: str, i: int) -> Column:
-        names = [c for c in (f"{kind}_{i}", f"literal_{kind}_{i}") if c in rows.columns]
+        names = [c for c in (f"{kind}_{i}", f"literal_{kind}_{i}") if body_hits is not None and c in body_hits.columns]
         return _least([F.col(c) for c in names]) if names else no
 
     bodies = [slot("body", i) for i in range(n)]
@@ -306,6 +308,13 @@ def match_files(corpus, scoped: DataFrame, request: SearchRequest) -> DataFrame:
     satisfied = [
         bodies[i].isNotNull() | bigrams[i].isNotNull() | names[i] | titles[i] | aliases[i] for i in range(n)
     ]
+    rows = scoped
+    if body_hits is not None:
+        all_in_body = reduce(lambda a, b: a & b, [bodies[i].isNotNull() | bigrams[i].isNotNull() for i in range(n)])
+        named = F.coalesce(_any([*names, *titles, *aliases]), F.lit(False)) if request.wants_name else F.lit(False)
+        rows = scoped.where(~named).join(body_hits.where(all_in_body), "file_id")
+        if request.wants_name:
+            rows = rows.unionByName(scoped.where(named).join(body_hits, "file_id", "left"))
     matched = rows.where(reduce(lambda a, b: a & b, satisfied))
     kinds = F.array(*[F.lit(t) for t in SEGMENT_TYPES])
     return (

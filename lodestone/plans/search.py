@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,11 +134,12 @@ def search_regex(corpus: Corpus, request: SearchRequest) -> SearchResult:
     """Pattern search over bodies, names and folders: one scan, no index."""
     included, excluded = tm.split_query(request.q)
     pattern = " ".join(included)
+    java = f"(?iu){pattern}"
     try:
-        re.compile(pattern)
-    except re.error as error:
+        # the engine that runs the pattern also judges it
+        corpus.files.sparkSession._jvm.java.util.regex.Pattern.compile(java)
+    except IllegalArgumentException as error:
         raise ValueError(f"bad pattern: {error}") from error
-    java = f"(?iu){pattern}"
     scoped = so.scope_files(corpus.files, request, corpus.targets)
     path = F.col("normalized_path")
     is_url = path.startswith("http://") | path.startswith("https://")

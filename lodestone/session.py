@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +38,58 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process has kept and not yet removed.
+_tables: list[str] = []
+
+
+def clear_scratch(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the tables that ``cut_lineage`` has kept, but for the first ``keep``; say how many went.
+
+    For callers that are done with every result read from them.
+    """
+    gone = _tables[keep:]
+    for name in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _tables[keep:]
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables kept inside the block go at its end; collect or write results before."""
+    before = len(_tables)
+    try:
+        yield
+    finally:
+        clear_scratch(spark, keep=before)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the workers, once for each application.
+
+    The archive goes through the shared folder, so a cluster needs no copy of it.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{package.name}-{application}.zip")
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(target.toString())
+    _shipped.add(application)
+
+
+_shipped: set[str] = set()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, kept as a table in the shared folder.
 
@@ -42,6 +98,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
