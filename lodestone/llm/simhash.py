@@ -28,7 +28,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_or_empty
+from lodestone.llm.common import kept, text_or_empty
 
 WEIGHT, WORDS, BITS = 12, 2, 128
 BUCKETS, BUCKET_ROWS = 65_536, 1_024
@@ -100,10 +100,12 @@ def next_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return ranged.select("key", "text", F.coalesce(following, F.lit("")).alias("next_text"), "bucket", F.row_number().over(place).alias("place"), "guest")
 
 
-def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
+def edited(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = 50, radius: int = 3) -> DataFrame:
+    """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near) of each document.
 
     The edited text has its last half (rounded down) replaced by as much of the beginning of the next text.
+    ``n_near`` counts the other documents whose fingerprints are within the radius, found by ``near``;
+    only the rows whose key is divisible by ``every`` ask, for others it is null.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = next_texts(docs, key, text).withColumn("n_chars", F.length("text").cast("bigint"))
@@ -120,6 +122,11 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     for w in range(WORDS):
         own = own.withColumn(f"n{w}", F.when(F.col("bucket") >= 0, F.col(f"n{w}")).otherwise(F.lit(0).cast("bigint")))
     words = {c: [F.col(f"{c}{w}") for w in range(WORDS)] for c in "fen"}
+    own = kept(own.select("key", "n_chars", "edited_sha256", *(f"{c}{w}" for c in "fen" for w in range(WORDS))))
+    asks = F.col("key").cast("bigint") % every == 0
+    sizes = own.groupBy("f0", "f1").agg(F.count("*").alias("n"))
+    found = near(own.where(asks), own, radius).join(sizes, ["f0", "f1"]).groupBy("q0", "q1").agg((F.sum("n") - 1).alias("n_near"))
+    own = own.join(found, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1")), "left")
     return own.select(
         F.col("key").alias(key),
         "n_chars",
@@ -128,6 +135,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         text_of([f"e{w}" for w in range(WORDS)]).alias("edited_fingerprint"),
         likeness(words["f"], words["e"]).alias("near_edited"),
         likeness(words["f"], words["n"]).alias("near_next"),
+        F.when(asks, F.col("n_near")).alias("n_near"),
     )
 
 
@@ -136,12 +144,13 @@ def _table_keys(f: list[str], radius: int) -> Column:
 
     Fingerprints within the radius differ in at most ``radius`` blocks, so two blocks are equal.
     """
-    bits = [F.substring(F.concat(*(F.lpad(F.bin(w), 64, "0") for w in f)), 1 + a, b - a) for a, b in _edges(radius + 2)]
-    return F.array(*(F.struct(F.lit(n).alias("table"), bits[i].alias("x"), bits[j].alias("y")) for n, (i, j) in enumerate(combinations(range(radius + 2), 2))))
+    digits = [F.substring(text_of(f), 1 + a, b - a) for a, b in _edges(radius + 2)]
+    return F.array(*(F.struct(F.lit(n).alias("table"), digits[i].alias("x"), digits[j].alias("y")) for n, (i, j) in enumerate(combinations(range(radius + 2), 2))))
 
 
 def _edges(blocks: int) -> list[tuple[int, int]]:
-    at = [BITS * k // blocks for k in range(blocks + 1)]
+    """Where blocks of hexadecimal digits begin and end."""
+    at = [BITS // 4 * k // blocks for k in range(blocks + 1)]
     return list(zip(at, at[1:], strict=False))
 
 
