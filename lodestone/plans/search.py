@@ -17,6 +17,7 @@ from lodestone.operators import match as mt
 from lodestone.operators import rank as rk
 from lodestone.operators import scope as so
 from lodestone.operators import snippets as sn
+from lodestone.operators.records import union_records
 from lodestone.request import SearchRequest
 from lodestone.session import cut_lineage
 from lodestone.sources.corpus import Corpus
@@ -186,14 +187,41 @@ def search_existing(corpus: Corpus, q: str, folder: str = "", **options) -> Sear
     return search(corpus, SearchRequest(q=q, full_path=folder, search_all=True, **options))
 
 
-def search_names(corpus: Corpus, q: str, path: str = "", sort_by: str = "default", sort_order: str = "desc", limit: int = 100, offset: int = 0, **options) -> DataFrame:
-    """Names and folders only, in a compact form."""
-    request = SearchRequest(
-        q=q, full_path=path, search_all=not path, target="filename_and_folder", sort_by=sort_by,
-        sort_order=sort_order, limit=limit, offset=offset, include_snippets=False,
-        max_depth=0 if path else None, **options,
+@dataclass(frozen=True)
+class MergedResult:
+    """Documents and records in one order, whole; a page and its totals come from it."""
+
+    request: SearchRequest
+    matches: DataFrame
+
+    def page(self) -> DataFrame:
+        keys = rk.order_keys(self.request.sort_by, self.request.sort_order, merged=True)
+        return rk.page(self.matches, keys, self.request.limit, self.request.offset)
+
+    def info(self) -> DataFrame:
+        return rk.page_info(self.matches, self.request.limit, self.request.offset)
+
+
+def search_with_records(corpus: Corpus, request: SearchRequest, records: DataFrame) -> MergedResult:
+    """Documents that match, and the rows that ``search_records`` found, as one result."""
+    return MergedResult(request, union_records(search(corpus, request).matches, records))
+
+
+def _names_request(q: str, path: str = "", limit: int = 100, **options) -> SearchRequest:
+    return SearchRequest(
+        q=q, full_path=path, search_all=not path, target="filename_and_folder", limit=limit,
+        include_snippets=False, max_depth=0 if path else None, **options,
     )
-    page = search(corpus, request).page()
+
+
+def search_names_info(corpus: Corpus, q: str, path: str = "", **options) -> DataFrame:
+    """Total of a name search, rows on its page, whether more follow."""
+    return search(corpus, _names_request(q, path, **options)).info()
+
+
+def search_names(corpus: Corpus, q: str, path: str = "", **options) -> DataFrame:
+    """Names and folders only, in a compact form."""
+    page = search(corpus, _names_request(q, path, **options)).page()
     return page.select(
         "position",
         F.col("file_name").alias("name"),

@@ -440,6 +440,15 @@ def name_only_search(spark, sf):
     return search_names(v.corpus(spark, sf), "en", sort_by="modified").select("position", "name", "path", "type", "date_modified")
 
 
+@query("name_search_total", v.with_views(
+    "select count(*) as total from (select file_id from ranked union all select -1 from files where contains(folder_path, 'en') group by folder_path)",
+    **v.search_views([["en"]], q="en", body=False)))
+def name_search_total(spark, sf):
+    from lodestone.plans.search import search_names_info
+
+    return search_names_info(v.corpus(spark, sf), "en").select("total")
+
+
 # --- snippets ----------------------------------------------------------------
 
 ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"

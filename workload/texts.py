@@ -235,6 +235,31 @@ def union_records(spark, sf):
     return rc.union_records(found, rc.search_records(records(spark, sf), "error")).select("source_type", "file_id")
 
 
+BOTH_SQL = f"""select file_id, clicks from ranked union all
+  select -greatest(event_id, 1), 0 from ({RECORDS_SQL}) where contains(t, 'error')"""
+
+
+def documents_and_records(spark, sf):
+    from lodestone.plans.search import search_with_records
+
+    asked = request("error", sort_by="click_count", limit=30, offset=10)
+    return search_with_records(v.corpus(spark, sf), asked, rc.search_records(records(spark, sf), "error"))
+
+
+@query("merged_records_page", v.with_views(
+    f"select row_number() over (order by clicks desc, file_id desc) as position, file_id from ({BOTH_SQL}) qualify position between 11 and 40",
+    **v.search_views([["error"]], q="error")))
+def merged_records_page(spark, sf):
+    """Documents and records in one order, and a page of it."""
+    return documents_and_records(spark, sf).page().select("position", "file_id")
+
+
+@query("merged_records_total", v.with_views(
+    f"select count(*) as total, 30 as returned, true as has_more, 40 as next_offset from ({BOTH_SQL})", **v.search_views([["error"]], q="error")))
+def merged_records_total(spark, sf):
+    return documents_and_records(spark, sf).info()
+
+
 @query("union_records_capped", v.with_views(
     "select source_type, count(*) as n from (select 'local' as source_type from (select * from ranked limit 1000)"
     f" union all select 'record' from (select * from ({RECORDS_SQL}) where contains(t, 'error') limit 1000)) group by 1",
