@@ -6,6 +6,7 @@ best hit are plain column arithmetic: no union of branches and no grouping.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,14 +57,8 @@ def body_units(groups: list[list[str]]) -> list[Unit]:
     return units
 
 
-_CJK_RANGES = ((0x3040, 0x309F), (0x30A0, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
-
-
 def is_cjk(term: str) -> bool:
-    def listed(c: str) -> bool:
-        return c in "々〆〻" or any(low <= ord(c) <= high for low, high in _CJK_RANGES)
-
-    return len(term) >= 2 and all(map(listed, term))
+    return re.fullmatch(f"[{tx.CJK_CLASS}]{{2,}}", term) is not None
 
 
 def _any(tests: list[Column]) -> Column:

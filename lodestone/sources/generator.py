@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 CREATED_AT = 1776556800.0
 
 
+# Size, hit pattern, paths and wording of the generated corpus, here and below.
 @dataclass(frozen=True)
 class Shape:
     total_files: int = 3_000_000
