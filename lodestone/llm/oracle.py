@@ -47,7 +47,7 @@ with recursive split as (
   threads as (
     select conv_id, turn, reply_to as root from replies
     union all select t.conv_id, t.turn, r.reply_to from threads t join replies r on r.conv_id = t.conv_id and r.turn = t.root)
-select s.conv_id, s.turn, s.role, s.text, s.n_quotes, coalesce(r.n_linked, 0) as n_linked, r.reply_to,
+select s.conv_id, s.turn, s.role, s.text, s.n_quotes, cast(coalesce(r.n_linked, 0) as bigint) as n_linked, r.reply_to,
   coalesce((select min(root) from threads t where t.conv_id = s.conv_id and t.turn = s.turn), s.turn) as thread,
   concat('<|', coalesce(s.role, ''), '|>', chr(10), s.text) as formatted
 from said s left join replies r using (conv_id, turn)
