@@ -17,6 +17,14 @@ fingerprint is skipped, and a visitor brings back one edge for each component it
 
 The edges, at fingerprint level, are joined to components by star contraction in Spark.
 
+With a ``likeness``, texts that have so much of their shingles of ``LIKE_WIDTH`` words in common
+(shared to all distinct ones) are linked as well; two bits of the fingerprint reach few of them, and
+at the distance of a likeness of 0.8 (17 bits seen) the index can't prune. Candidates agree on the
+least hashes of all permutations in one of ``BANDS`` bands, which a pair of likeness 0.8 misses in
+one of ten thousand cases, and every link is verified on the 64-bit hashes of its shingles. In a
+band's bucket all members meet one member, then two others, then four, until the bucket is one
+component or all its pairs were judged; pairs that are already in one component are left out.
+
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other; null keys take part, a component of null keys only has the id null; repeated rows
 stay repeated; other columns pass through; a column named like an output raises ``ValueError``;
@@ -31,12 +39,15 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import kept, map_slices, text_or_empty
+from lodestone.llm.contamination import WordHashes, shingle_hashes
 
 WIDTH, RADIUS, SEED = 3, 2, 42
+#: Words in a shingle that likeness is judged by, bands and permutations in a band.
+LIKE_WIDTH, BANDS, ROWS = 5, 24, 5
 FANOUT = 16
 #: Top groups: at least MIN_GROUPS, more so that a group has at most GROUP_SIZE members, never more than MAX_GROUPS.
 MIN_GROUPS, GROUP_SIZE, MAX_GROUPS = 64, 1 << 20, 4096
@@ -278,23 +289,109 @@ def connect(links: DataFrame) -> DataFrame:
         before = now
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+# -- likeness ------------------------------------------------------------------------------------
+
+
+def like_hashes(text: str, hashes: WordHashes) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``LIKE_WIDTH`` words; a shorter text is one shingle."""
+    words = np.fromiter(map(hashes.__getitem__, text.encode("utf-8").lower().split()), np.uint64)
+    return np.unique(shingle_hashes(words, min(LIKE_WIDTH, len(words)))) if len(words) else words
+
+
+def band_keys(found: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> list[int]:
+    """A hash of each band's least hashes; none for a text without words."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for start in range(0, len(found), 4096):
+        least = np.minimum(least, ((found[start : start + 4096] ^ masks) * factors).min(axis=1))
+    return [xxhash.xxh3_64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _bands(texts: DataFrame) -> DataFrame:
+    """(id, bucket) of the bands of ``texts`` (id, text), only buckets of several ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, hashes = np.random.default_rng(SEED), WordHashes()
+        factors = rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
+        masks = rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False)
+        for batch in batches:
+            keys = [band_keys(like_hashes(t, hashes), factors, masks) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "buckets"])
+
+    made = kept(map_slices(texts, run, "id bigint, buckets array<bigint>", 1))
+    rows = made.dropDuplicates(["id"]).select("id", F.explode("buckets").alias("bucket"))
+    return rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """The pairs (a, b, fa, fb) whose ``sets`` (id, hashes) have the likeness, as fingerprints (a, b)."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, other = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                alike.append(shared >= likeness * (len(one) + len(other) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return map_slices(both.select("fa", "fb", "ha", "hb"), run, "a bigint, b bigint", 2)
+
+
+def like_edges(texts: DataFrame, ids: DataFrame, links: DataFrame, likeness: float) -> DataFrame:
+    """``links`` (a, b) and those of ``texts`` (id, text; fingerprints in ``ids``) of so much likeness, enough to connect every component."""
+    banded = _bands(texts).join(ids, "id")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+    rows = kept(banded.withColumn("place", place))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [like_hashes(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
+
+    members = texts.join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sets = kept(map_slices(members, hashed, "id bigint, hashes binary", 1))
+    first = 1
+    while True:
+        roots = connect(links)
+        named = rows.join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "id", "fp", "place", F.coalesce("root", "fp").alias("root"))
+        # the pairs of earlier places are judged
+        unsettled = named.where(F.col("place") >= first).groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        rows = kept(named.join(unsettled.select("bucket"), "bucket").where(F.col("place") >= first))
+        if rows.isEmpty():
+            return links
+        met = rows.where(F.col("place") < 2 * first).select("bucket", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("place").alias("at"), F.col("root").alias("ra"))
+        pairs = rows.join(met, "bucket").where("place > at and root <> ra").select("a", F.col("id").alias("b"), "fa", F.col("fp").alias("fb")).distinct()
+        links = kept(links.unionByName(_alike(pairs, sets, likeness)))
+        rows, first = rows.drop("root"), 2 * first
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, likeness: float | None = None) -> DataFrame:
     """The columns of ``docs`` but the text, with fp, root (a fingerprint that names the component) and component_id."""
     if {"fp", "root", "component_id"} & set(docs.columns):
         raise ValueError("the columns fp, root and component_id are the operator's")
-    marked = kept(fingerprints(docs, text))
+    marked = fingerprints(docs.withColumn("_id", F.xxhash64(text_or_empty(text))) if likeness else docs, text)
+    marked = kept(marked)
     distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = connect(edges(distinct.select("fp"), radius))
+    links = edges(distinct.select("fp"), radius)
+    if likeness:
+        ids = marked.select(F.col("_id").alias("id"), "fp").distinct()
+        texts = docs.select(F.xxhash64(text_or_empty(text)).alias("id"), text_or_empty(text).alias("text"))
+        links, marked = like_edges(texts, ids, kept(links), likeness), marked.drop("_id")
+    roots = connect(links)
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, likeness: float | None = None) -> DataFrame:
     """One row of each component of ``docs``: the least key, of rows without keys the least text."""
     columns = docs.columns
     hashed = docs.withColumn("_hash", F.xxhash64(text_or_empty(text)))
-    found = components(hashed.select(key, text, "_hash"), key, text, radius)
+    found = components(hashed.select(key, text, "_hash"), key, text, radius, likeness)
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_hash").alias("hash"))
     first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_first"))
     chosen = hashed.join(first, hashed[key].eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_first")), "left_semi")

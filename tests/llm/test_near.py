@@ -121,3 +121,29 @@ def test_connect_long_chain_and_star(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(40)]
     roots = {r.node: r.root for r in near.connect(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert roots == {**{i: 0 for i in range(51)}, 100: 100, **{200 + i: 100 for i in range(40)}}
+
+
+def test_likeness_links_what_fingerprints_miss(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, None), (1, ""), (2, "two words"), (3, "two WORDS")]
+    for g in range(20):
+        base = [f"w{i}" for i in rng.integers(0, 3000, 300)]
+        for c in range(6):
+            copy = list(base)
+            for k in rng.choice(300, (0, 1, 4, 6, 9, 25)[c], replace=False):
+                copy[k] = f"changed{c}"
+            rows.append((10 * g + 10 + c, " ".join(copy)))
+    sets = [set(near.shingles(t or "", 5)) for _, t in rows]
+    label = plain_components(list(range(len(rows))), [plain_fingerprint(t or "") for _, t in rows])
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    least = {x: min(k for (k, _), y in zip(rows, label, strict=True) if y == x) for x in label}
+    found = {r.doc_id: r.component_id for r in near.components(df, likeness=0.8).collect()}
+    assert found == {k: least[x] for (k, _), x in zip(rows, label, strict=True)}
+    assert {r.doc_id for r in near.representatives(df, likeness=0.8).collect()} == set(least.values())
+    assert near.representatives(df).count() > len(least)
+    assert near.representatives(df.limit(0), likeness=0.8).count() == 0

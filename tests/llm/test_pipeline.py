@@ -9,6 +9,7 @@ from test_contamination import plain as plain_containment
 from test_near import plain_components, plain_fingerprint
 
 import corpus_pipeline
+from lodestone.llm import near
 from lodestone.llm.common import table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -75,3 +76,8 @@ def test_odd_rows_pass_every_stage(spark):
     for df in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, SF_DIR).count() <= df.count()
+
+
+def test_near_dedup_leaves_no_two_texts_of_likeness(stages):
+    sets = [set(near.shingles(t or "", 5)) for _, t in rows(stages[3])]
+    assert not [1 for i, a in enumerate(sets) for b in sets[:i] if a and len(a & b) >= 0.8 * len(a | b)]
