@@ -1,6 +1,6 @@
-"""SQL for the queries that SQL can express over whole tables: containment of test items, quotation links."""
+"""SQL for the queries that SQL can express over whole tables: containment, quotation links, vector codes, negatives, licenses."""
 
-from lodestone.llm import chat, contamination
+from lodestone.llm import chat, contamination, vector_codes
 
 CONTAMINATION = rf"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as w from documents),
@@ -52,3 +52,40 @@ select s.conv_id, s.turn, s.role, s.text, s.n_quotes, cast(coalesce(r.n_linked,
   concat('<|', coalesce(s.role, ''), '|>', chr(10), s.text) as formatted
 from said s left join replies r using (conv_id, turn)
 """
+
+
+def _vector_codes() -> str:
+    """Rounds are chained table expressions: assignment to book k, then book k + 1."""
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+  far{k} as materialized (
+    select x.id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) as distance
+    from x join book{k} b using (part, position) group by x.id, x.part, b.entry),
+  near{k} as materialized (
+    select id, part, cast(arg_min(entry, (distance, entry)) as bigint) as entry, cast(min(distance) as bigint) as distance from far{k} group by id, part)""")
+        if k < rounds:
+            steps.append(f"""
+  book{k + 1} as materialized (
+    select b.part, b.entry, b.position, coalesce(m.v, b.v) as v from book{k} b left join (
+      select n.part, n.entry, x.position, cast(floor(sum(x.v)::double / count(*)) as bigint) as v
+      from near{k} n join x using (id, part) group by n.part, n.entry, x.position) m using (part, entry, position))""")
+    return f"""
+with used as (
+    select row_number() over (order by vec_id nulls last, embedding) - 1 as id, vec_id, label, embedding from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+  numbers as (
+    select id, unnest(embedding) as e, generate_subscripts(embedding, 1) - 1 as d, len(embedding) // {parts} as size from used),
+  x as materialized (
+    select id, d // size as part, d % size as position, cast(floor({vector_codes.SCALE} * e::double) as bigint) as v from numbers),
+  book0 as materialized (select part, id as entry, position, v from x where id < {entries}),{",".join(steps)},
+  codes as (
+    select id, string_agg(printf('%02x', entry), '' order by part) as code, sum(distance) as error from near{rounds} group by id),
+  said as (select sha256(string_agg(cast(v as varchar), ',' order by part, entry, position)) as digest from book{rounds})
+select u.vec_id, c.code, cast(c.error as bigint) as error, cast(sum(c.error) over (partition by u.label) as bigint) as label_error, s.digest as codebooks_sha256
+from codes c join used u using (id) cross join said s
+"""
+
+
+VECTOR_CODES = _vector_codes()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, contamination, near, oracle, pages, quality, scoring, simhash, token_counts, toxicity
+from lodestone.llm import bpe, chat, contamination, near, oracle, pages, quality, scoring, simhash, token_counts, toxicity, vector_codes
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -86,3 +86,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_pseudo_likelihood")
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op11_vector_codes", oracle.VECTOR_CODES)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
