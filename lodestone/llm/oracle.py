@@ -1,6 +1,7 @@
 """SQL for the queries that SQL can express over whole tables: containment, quotation links, vector codes, negatives, licenses."""
 
-from lodestone.llm import chat, contamination, vector_codes
+from lodestone.llm import chat, contamination, licenses, vector_codes
+from lodestone.llm.license_rules import RULES
 
 CONTAMINATION = rf"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as w from documents),
@@ -89,3 +90,52 @@ from codes c join used u using (id) cross join said s
 
 
 VECTOR_CODES = _vector_codes()
+
+
+def _licenses() -> str:
+    """All patterns over all texts that hold their keywords; containment by a self-join of a document's detections."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ",\n    ".join(
+        f"({r.number}, {quoted(r.label)}, {r.rank}, {r.confidence}, {r.base}, {quoted(licenses.pattern_of(r))}, [{', '.join(quoted(licenses.spaced(k)) for k in r.keyword.split('|'))}])" for r in RULES
+    )
+    return rf"""
+with rules(rule, label, rank, confidence, base, pattern, phrases) as (values
+    {rules}),
+  folded as (
+    select doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.BETWEEN}', '  ', 'g')) as f
+    from documents),
+  docs as materialized (
+    select row_number() over () as row, doc_id, case when f = '' then '' else ' ' || f || ' ' end as padded,
+      case when f = '' then 0 else len(string_split(f, '  ')) end as n_words from folded),
+  phrases as (select unnest(phrases) as phrase, rule from rules),
+  tried as (select distinct d.row, p.rule from docs d join phrases p on contains(d.padded, p.phrase)),
+  marked as (
+    select row, rule, label, rank, confidence, base, string_split(trim(regexp_replace(padded, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g')), '  ') as w
+    from tried join rules using (rule) join docs using (row)),
+  words as (
+    select row, rule, label, rank, confidence, base, unnest(w) as word, generate_subscripts(w, 1) as n from marked where len(list_filter(w, lambda x: contains(x, chr(1)))) > 0),
+  edges as (
+    select row, rule, label, rank, confidence, base, n, word, lead(n) over (partition by row, rule order by n) as ahead
+    from words where starts_with(word, chr(1)) or ends_with(word, chr(2))),
+  found as materialized (
+    select row, rule, label, rank, confidence, base, n - 1 as start, case when ends_with(word, chr(2)) then n else ahead end as stop
+    from edges where starts_with(word, chr(1))),
+  stays as materialized (
+    select * from found d where not exists (
+      select 1 from found e where e.row = d.row and e.start <= d.start and e.stop >= d.stop and e.rank <= d.rank and e.rule <> d.rule
+        and (e.start < d.start or e.stop > d.stop or e.rank < d.rank or e.rule < d.rule))),
+  based as (
+    select row, count(*) as n_base, min(start) as first_word, max(start) as last_word, string_agg(distinct label, ',' order by label) as base_labels
+    from found where base group by row),
+  said as (
+    select row, string_agg(distinct label, ',' order by label) as labels from (
+      select row, label from stays union all select row, label from found where base) group by row),
+  counts as (select row, count(*) as n from found group by row),
+  scores as (select row, max(confidence) as score, count(*) as n from stays group by row)
+select d.doc_id, cast(d.n_words as bigint) as n_words, coalesce(b.n_base, 0) as n_base, b.first_word, b.last_word, coalesce(b.base_labels, '') as base_labels,
+  coalesce(s.labels, '') as labels, cast(coalesce(p.score, 0) as double) as score, coalesce(c.n, 0) - coalesce(p.n, 0) as n_suppressed
+from docs d left join based b using (row) left join said s using (row) left join counts c using (row) left join scores p using (row)
+"""
+
+
+LICENSES = _licenses()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, contamination, near, oracle, pages, quality, scoring, simhash, token_counts, toxicity, vector_codes
+from lodestone.llm import bpe, chat, contamination, licenses, near, oracle, pages, quality, scoring, simhash, token_counts, toxicity, vector_codes
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -91,3 +91,8 @@ def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_vector_codes", oracle.VECTOR_CODES)
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_license_scan", oracle.LICENSES)
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
