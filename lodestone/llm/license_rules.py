@@ -20,7 +20,7 @@ CONFIDENCE = {SPDX: 1.0, NOTICE: 0.95, TEXT: 0.9, NAME: 0.8, ADDRESS: 0.7, PHRAS
 #: The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-V = "(?:version |v )?"
+V = "(?:version |v ?)?"
 L = "licen[sc]e"
 GPL = f"(?:gnu )?(?:general public {L}|gpl)"
 LGPL = f"(?:gnu )?(?:lesser|library) general public {L}"
@@ -30,7 +30,7 @@ AGPL = f"(?:gnu )?affero general public {L}"
 LICENSES: dict[str, tuple[str, list, list, list]] = {
     "mit": (
         "mit",
-        [("mit", f"(?:the )?mit {L}"), ("expat", f"(?:mit )?expat {L}"), ("mit x11", f"mit x11(?: {L})?")],
+        [("mit", f"mit {L}"), ("expat", f"(?:mit )?expat {L}"), ("mit x11", f"mit x11(?: {L})?")],
         [("opensource org", f"opensource org {L}s mit"), ("mit", f"mit {L} (?:org|txt|md)")],
         [
             ("is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?"),
@@ -42,7 +42,7 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     "apache-1.1": ("apache 1 1", [("apache", f"apache (?:software )?{L} {V}1 1")], [("apache org", f"apache org {L}s {L} 1 1")], []),
     "apache-2.0": (
         "apache 2 0",
-        [("apache", f"(?:the )?apache (?:software )?(?:{L} )?{V}2(?: 0)?(?: {L})?"), ("asl 2 0", "asl 2 0"), ("apache2", f"apache2(?: {L})?")],
+        [("apache", f"apache (?:software )?(?:{L} )?{V}2(?: 0)?(?: {L})?"), ("asl 2 0", "asl 2 0"), ("apache2", f"apache2(?: {L})?")],
         [("apache org", f"apache org {L}s {L} 2 0"), ("opensource org", f"opensource org {L}s apache 2 0")],
         [
             ("in compliance with", "you may not use this file except in compliance with the license"),
@@ -50,10 +50,10 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
             ("specific language governing", "see the license for the specific language governing permissions and limitations under the license"),
         ],
     ),
-    "gpl-1.0": ("gpl 1 0(?: only| or later)?", [("general public", f"(?:gnu )?general public {L} {V}1(?: 0)?"), ("gpl", "(?:gnu )?gpl ?v?1(?: 0)?")], [], []),
+    "gpl-1.0": ("gpl 1 0(?: only| or later)?", [("general public", f"(?:gnu )?general public {L} {V}1(?: 0)?"), ("gpl", "(?:gnu )?gpl (?:v ?)?1(?: 0)?")], [], []),
     "gpl-2.0": (
         "gpl 2 0(?: only)?",
-        [("general public", f"(?:gnu )?general public {L} {V}2(?: 0)?(?: only)?"), ("gplv2", "gplv2"), ("gpl 2", "(?:gnu )?gpl 2(?: 0)?"), ("gpl v", "(?:gnu )?gpl v(?:ersion )? ?2(?: 0)?")],
+        [("general public", f"(?:gnu )?general public {L} {V}2(?: 0)?(?: only)?"), ("gplv2", "gplv2"), ("gpl 2", "(?:gnu )?gpl 2(?: 0)?"), ("gpl", "(?:gnu )?gpl v(?:ersion )? ?2(?: 0)?")],
         [("gnu org", f"gnu org {L}s (?:old {L}s )?gpl 2 0"), ("opensource org", f"opensource org {L}s gpl 2 0")],
         [("version 2", f"under the terms of the gnu general public {L} as published by the free software foundation version 2")],
     ),
@@ -65,7 +65,7 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     ),
     "gpl-3.0": (
         "gpl 3 0(?: only)?",
-        [("general public", f"(?:gnu )?general public {L} {V}3(?: 0)?(?: only)?"), ("gplv3", "gplv3"), ("gpl 3", "(?:gnu )?gpl 3(?: 0)?"), ("gpl v", "(?:gnu )?gpl v(?:ersion )? ?3(?: 0)?")],
+        [("general public", f"(?:gnu )?general public {L} {V}3(?: 0)?(?: only)?"), ("gplv3", "gplv3"), ("gpl 3", "(?:gnu )?gpl 3(?: 0)?"), ("gpl", "(?:gnu )?gpl v(?:ersion )? ?3(?: 0)?")],
         [("gnu org", f"gnu org {L}s gpl 3 0"), ("opensource org", f"opensource org {L}s gpl 3 0")],
         [("version 3", f"under the terms of the gnu general public {L} as published by the free software foundation version 3"), ("copyleft", "is a free copyleft license for software and other kinds of works")],
     ),
@@ -77,38 +77,38 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     ),
     "gpl": (
         "gpl",
-        [("general public", f"(?:the )?gnu general public {L}"), ("gnu gpl", "(?:the )?gnu gpl"), ("gpl", f"gpl {L}d?")],
+        [("general public", f"gnu general public {L}"), ("gnu gpl", "gnu gpl"), ("gpl", f"gpl {L}d?")],
         [("gnu org", f"gnu org (?:copyleft gpl(?: html)?|{L}s gpl(?: html| txt)?)")],
         [("received a copy of the gnu general", f"you should have received a copy of the gnu general public {L}"), ("free software foundation", "as published by the free software foundation")],
     ),
     "lgpl-2.0": ("lgpl 2 0(?: only| or later)?", [("library general", f"(?:gnu )?library general public {L}(?: {V}2(?: 0)?)?"), ("lgpl 2 0", "lgpl 2 0")], [], []),
     "lgpl-2.1": (
         "lgpl 2 1(?: only| or later)?",
-        [("lesser general", f"(?:gnu )?lesser general public {L} {V}2 1"), ("lgplv2", "lgplv2(?: 1)?"), ("lgpl 2 1", "lgpl 2 1"), ("lgpl v", "lgpl v(?:ersion )? ?2 1")],
+        [("lesser general", f"(?:gnu )?lesser general public {L} {V}2 1"), ("lgplv2", "lgplv2(?: 1)?"), ("lgpl 2 1", "lgpl 2 1"), ("lgpl", "lgpl v(?:ersion )? ?2 1")],
         [("gnu org", f"gnu org {L}s (?:old {L}s )?lgpl 2 1")],
         [("either version 2 1", "either version 2 1 of the license or at your option any later version")],
     ),
     "lgpl-3.0": (
         "lgpl 3 0(?: only| or later)?",
-        [("lesser general", f"(?:gnu )?lesser general public {L} {V}3(?: 0)?"), ("lgplv3", "lgplv3"), ("lgpl 3", "lgpl 3(?: 0)?"), ("lgpl v", "lgpl v(?:ersion )? ?3(?: 0)?")],
+        [("lesser general", f"(?:gnu )?lesser general public {L} {V}3(?: 0)?"), ("lgplv3", "lgplv3"), ("lgpl 3", "lgpl 3(?: 0)?"), ("lgpl", "lgpl v(?:ersion )? ?3(?: 0)?")],
         [("gnu org", f"gnu org {L}s lgpl 3 0")],
         [],
     ),
     "lgpl": (
         "lgpl",
-        [("general public", LGPL), ("gnu lgpl", "(?:the )?gnu lgpl"), ("lgpl", f"lgpl {L}d?")],
+        [("general public", LGPL), ("gnu lgpl", "gnu lgpl"), ("lgpl", f"lgpl {L}d?")],
         [("gnu org", f"gnu org (?:copyleft lesser(?: html)?|{L}s lgpl(?: html| txt)?)")],
         [("copy of the gnu lesser", f"you should have received a copy of the gnu lesser general public {L}")],
     ),
     "agpl-3.0": (
         "agpl 3 0(?: only| or later)?",
-        [("affero", f"{AGPL} {V}3(?: 0)?"), ("agplv3", "agplv3"), ("agpl 3", "(?:gnu )?agpl 3(?: 0)?"), ("agpl v", "agpl v(?:ersion )? ?3(?: 0)?")],
+        [("affero", f"{AGPL} {V}3(?: 0)?"), ("agplv3", "agplv3"), ("agpl 3", "(?:gnu )?agpl 3(?: 0)?"), ("agpl", "agpl v(?:ersion )? ?3(?: 0)?")],
         [("gnu org", f"gnu org {L}s agpl 3 0")],
         [],
     ),
     "agpl": (
         "agpl",
-        [("affero", AGPL), ("gnu agpl", "(?:the )?gnu agpl"), ("agpl", f"agpl {L}d?")],
+        [("affero", AGPL), ("gnu agpl", "gnu agpl"), ("agpl", f"agpl {L}d?")],
         [("gnu org", f"gnu org {L}s agpl(?: html| txt)?")],
         [("copy of the gnu affero", f"you should have received a copy of the gnu affero general public {L}")],
     ),
@@ -120,13 +120,13 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     ),
     "bsd-2-clause": (
         "bsd 2 clause",
-        [("clause bsd|simplified bsd", f"(?:the )?(?:2|two) clause (?:simplified )?bsd(?: {L})?"), ("simplified bsd", f"simplified bsd(?: {L})?"), ("bsd 2", f"bsd 2 clause(?: {L})?"), ("freebsd", f"freebsd {L}")],
+        [("clause bsd|simplified bsd", f"(?:2|two) clause (?:simplified )?bsd(?: {L})?"), ("simplified bsd", f"simplified bsd(?: {L})?"), ("bsd 2", f"bsd 2 clause(?: {L})?"), ("freebsd", f"freebsd {L}")],
         [("opensource org", f"opensource org {L}s bsd 2 clause")],
         [],
     ),
     "bsd-3-clause": (
         "bsd 3 clause",
-        [("bsd", f"(?:the )?(?:3|three) clause (?:new |modified )?bsd(?: {L})?"), ("bsd", f"(?:new|modified|revised) bsd {L}"), ("bsd 3", f"bsd 3 clause(?: {L})?")],
+        [("bsd", f"(?:3|three) clause (?:new |modified )?bsd(?: {L})?"), ("bsd", f"(?:new|modified|revised) bsd {L}"), ("bsd 3", f"bsd 3 clause(?: {L})?")],
         [("opensource org", f"opensource org {L}s bsd 3 clause")],
         [("endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission")],
     ),
@@ -139,7 +139,7 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     "0bsd": ("0bsd", [("zero", f"(?:bsd )?zero clause bsd(?: {L})?"), ("bsd zero", f"bsd zero clause(?: {L})?"), ("0bsd", f"0bsd(?: {L})?")], [("opensource org", f"opensource org {L}s 0bsd")], []),
     "bsd": (
         "bsd",
-        [("bsd", f"(?:the )?bsd (?:style )?{L}"), ("berkeley", f"berkeley software distribution {L}")],
+        [("bsd", f"bsd (?:style )?{L}"), ("berkeley", f"berkeley software distribution {L}")],
         [("opensource org", f"opensource org {L}s bsd {L}(?: php)?")],
         [
             ("redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
@@ -149,21 +149,21 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     ),
     "isc": (
         "isc",
-        [("isc", f"(?:the )?isc {L}"), ("internet systems", f"internet systems consortium {L}")],
+        [("isc", f"isc {L}"), ("internet systems", f"internet systems consortium {L}")],
         [("opensource org", f"opensource org {L}s isc(?: {L}(?: txt)?)?")],
         [("with or without fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted")],
     ),
-    "mpl-1.1": ("mpl 1 1", [("mozilla", f"mozilla public {L} {V}1 1"), ("mpl", "mpl (?:v )?1 1")], [("mozilla org", "mozilla org mpl(?: mpl)? 1 1(?: html)?")], []),
+    "mpl-1.1": ("mpl 1 1", [("mozilla", f"mozilla public {L} {V}1 1"), ("mpl", "mpl (?:v ?)?1 1")], [("mozilla org", "mozilla org mpl(?: mpl)? 1 1(?: html)?")], []),
     "mpl-2.0": (
         "mpl 2 0",
-        [("mozilla", f"mozilla public {L} {V}2(?: 0)?"), ("mpl", "mpl (?:v )?2(?: 0)?"), ("mplv2", "mplv2(?: 0)?")],
+        [("mozilla", f"mozilla public {L} {V}2(?: 0)?"), ("mpl", "mpl (?:v ?)?2(?: 0)?"), ("mplv2", "mplv2(?: 0)?")],
         [("mozilla org", "mozilla org (?:en us )?mpl 2 0"), ("opensource org", f"opensource org {L}s mpl 2 0")],
         [("mozilla", f"subject to the terms of the mozilla public {L} v 2 0"), ("copy of the mpl", "if a copy of the mpl was not distributed with this file")],
     ),
-    "mpl": ("mpl", [("mozilla", f"(?:the )?mozilla public {L}")], [("mozilla org", "mozilla org mpl")], []),
-    "epl-1.0": ("epl 1 0", [("eclipse", f"eclipse public {L} {V}1(?: 0)?"), ("epl", "epl (?:v )?1 0")], [("eclipse org", f"eclipse org legal epl v10(?: html)?")], []),
-    "epl-2.0": ("epl 2 0", [("eclipse", f"eclipse public {L} {V}2(?: 0)?"), ("epl", "epl (?:v )?2 0")], [("eclipse org", "eclipse org legal epl (?:v20|2 0)(?: html)?")], []),
-    "epl": ("epl", [("eclipse", f"(?:the )?eclipse public {L}")], [("eclipse org", "eclipse org legal epl")], []),
+    "mpl": ("mpl", [("mozilla", f"mozilla public {L}")], [("mozilla org", "mozilla org mpl")], []),
+    "epl-1.0": ("epl 1 0", [("eclipse", f"eclipse public {L} {V}1(?: 0)?"), ("epl", "epl (?:v ?)?1 0")], [("eclipse org", f"eclipse org legal epl v10(?: html)?")], []),
+    "epl-2.0": ("epl 2 0", [("eclipse", f"eclipse public {L} {V}2(?: 0)?"), ("epl", "epl (?:v ?)?2 0")], [("eclipse org", "eclipse org legal epl (?:v20|2 0)(?: html)?")], []),
+    "epl": ("epl", [("eclipse", f"eclipse public {L}")], [("eclipse org", "eclipse org legal epl")], []),
     "edl-1.0": ("edl 1 0", [("eclipse", f"eclipse distribution {L}(?: {V}1 0)?")], [("eclipse org", "eclipse org org documents edl v10(?: php)?")], []),
     "cddl-1.0": ("cddl 1 0", [("development and", f"common development and distribution {L} {V}1 0"), ("cddl", "cddl 1 0")], [("opensource org", f"opensource org {L}s cddl 1 0")], []),
     "cddl-1.1": ("cddl 1 1", [("development and", f"common development and distribution {L} {V}1 1"), ("cddl", "cddl 1 1")], [], []),
@@ -171,22 +171,22 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     "cpl-1.0": ("cpl 1 0", [("common public", f"common public {L}(?: {V}1 0)?"), ("cpl", "cpl 1 0")], [("opensource org", f"opensource org {L}s cpl1 0(?: php)?")], []),
     "artistic-1.0": ("artistic 1 0", [("artistic", f"artistic {L} 1 0")], [("opensource org", f"opensource org {L}s artistic {L} 1 0")], []),
     "artistic-2.0": ("artistic 2 0", [("artistic", f"artistic {L} {V}2(?: 0)?")], [("opensource org", f"opensource org {L}s artistic {L} 2 0"), ("perlfoundation", f"perlfoundation org artistic {L} 2 0")], []),
-    "artistic": ("artistic", [("artistic", f"(?:the )?(?:perl )?artistic {L}")], [], [("same terms as perl", "under the same terms as perl(?: itself)?")]),
+    "artistic": ("artistic", [("artistic", f"(?:perl )?artistic {L}")], [], [("same terms as perl", "under the same terms as perl(?: itself)?")]),
     "bsl-1.0": ("bsl 1 0", [("boost", f"boost software {L}(?: {V}1 0)?")], [("boost org", f"boost org {L} 1 0(?: txt)?")], []),
     "busl-1.1": ("busl 1 1", [("business source", f"business source {L}(?: {V}1 1)?"), ("busl", "busl 1 1")], [("mariadb", "mariadb com bsl11")], [("production use", f"non production use of the licensed work")]),
     "elastic-2.0": ("elastic 2 0", [("elastic", f"elastic {L} {V}2(?: 0)?")], [("elastic co", f"elastic co licensing elastic {L}")], []),
     "sspl-1.0": ("sspl 1 0", [("server side", f"server side public {L}(?: {V}1)?"), ("sspl", "sspl(?: v1| 1 0)?")], [("mongodb com", f"mongodb com licensing server side public {L}")], []),
-    "zlib": ("zlib", [("zlib", f"(?:the )?zlib(?: libpng)? {L}")], [("opensource org", f"opensource org {L}s zlib")], [("altered source versions", "altered source versions must be plainly marked as such")]),
+    "zlib": ("zlib", [("zlib", f"zlib(?: libpng)? {L}")], [("opensource org", f"opensource org {L}s zlib")], [("altered source versions", "altered source versions must be plainly marked as such")]),
     "libpng": ("libpng(?: 2 0)?", [("libpng", f"libpng {L}")], [("libpng org", f"libpng org pub png src libpng {L}(?: txt)?")], []),
     "openssl": ("openssl", [("openssl", f"openssl {L}"), ("ssleay", f"ssleay {L}")], [], [("openssl toolkit", "software developed by the openssl project for use in the openssl toolkit")]),
     "unlicense": (
         "unlicense",
-        [("unlicense", "(?:the )?unlicense"), ("un license", "the un license")],
+        [("unlicense", "unlicense"), ("un license", "the un license")],
         [("unlicense org", "unlicense org")],
         [("released into the public domain", "this is free and unencumbered software released into the public domain")],
     ),
     "wtfpl": ("wtfpl", [("wtfpl", f"wtfpl(?: {L})?"), ("the fuck you want", f"do what the fuck you want to public {L}")], [("wtfpl net", "wtfpl net")], []),
-    "beerware": ("beerware", [("beer ware|beerware", f"(?:the )?beer ?ware {L}")], [], [("buy me a beer", "you can buy me a beer in return")]),
+    "beerware": ("beerware", [("beer ware|beerware", f"beer ?ware {L}")], [], [("buy me a beer", "you can buy me a beer in return")]),
     "cc0-1.0": (
         "cc0 1 0",
         [("cc0", f"(?:creative commons )?cc0(?: 1 0)?(?: universal)?"), ("commons zero", f"creative commons zero(?: {V}1 0)?(?: universal)?")],
@@ -210,17 +210,17 @@ LICENSES: dict[str, tuple[str, list, list, list]] = {
     "odbl-1.0": ("odbl 1 0", [("open database", f"open (?:data commons open )?database {L}(?: 1 0)?"), ("odbl", "odbl(?: v1| 1 0)?")], [("opendatacommons", f"opendatacommons org {L}s odbl(?: 1 0)?")], []),
     "odc-by-1.0": ("odc by 1 0", [("open data commons", f"open data commons attribution {L}"), ("odc by", "odc by(?: 1 0)?")], [("opendatacommons", f"opendatacommons org {L}s by(?: 1 0)?")], []),
     "pddl-1.0": ("pddl 1 0", [("public domain dedication", f"public domain dedication and {L}"), ("pddl", "pddl(?: 1 0)?")], [("opendatacommons", f"opendatacommons org {L}s pddl(?: 1 0)?")], []),
-    "eupl-1.1": ("eupl 1 1", [("european union", f"european union public {L} {V}1 1"), ("eupl", "eupl (?:v )?1 1")], [], []),
-    "eupl-1.2": ("eupl 1 2", [("european union", f"european union public {L} {V}1 2"), ("eupl", "eupl (?:v )?1 2")], [], []),
+    "eupl-1.1": ("eupl 1 1", [("european union", f"european union public {L} {V}1 1"), ("eupl", "eupl (?:v ?)?1 1")], [], []),
+    "eupl-1.2": ("eupl 1 2", [("european union", f"european union public {L} {V}1 2"), ("eupl", "eupl (?:v ?)?1 2")], [], []),
     "eupl": ("eupl", [("european union", f"european union public {L}"), ("eupl", f"eupl {L}")], [("joinup", "joinup ec europa eu software page eupl")], []),
-    "cecill-2.1": ("cecill 2 1", [("cecill", f"cecill (?:{L} )?(?:v )?2 1")], [], []),
+    "cecill-2.1": ("cecill 2 1", [("cecill", f"cecill (?:{L} )?(?:v ?)?2 1")], [], []),
     "cecill": ("cecill(?: 1 [01]| 2 0| b| c)?", [("cecill", f"cecill(?: [bc])? {L}"), ("cecill", f"(?:licence|licen[sc]e) cecill(?: [bc])?")], [("cecill info", f"cecill info {L}s")], []),
     "osl-3.0": ("osl 3 0", [("open software", f"open software {L}(?: {V}3 0)?"), ("osl", "osl 3 0")], [("opensource org", f"opensource org {L}s osl 3 0")], []),
     "afl-3.0": ("afl 3 0", [("academic free", f"academic free {L}(?: {V}[123] [01])?"), ("afl", "afl 3 0")], [("opensource org", f"opensource org {L}s afl 3 0")], []),
     "ofl-1.1": ("ofl 1 1", [("open font", f"(?:sil )?open font {L}(?: {V}1 1)?"), ("ofl", "sil ofl(?: 1 1)?")], [("scripts sil org", "scripts sil org ofl")], [("reserved font name", "with reserved font name")]),
     "python-2.0": ("python 2 0|psf 2 0", [("python", f"python software foundation {L}(?: {V}2)?"), ("psf", f"psf {L}"), ("python", f"python {L}")], [("docs python org", f"docs python org 3 {L}(?: html)?")], []),
     "php-3.01": ("php 3 01", [("php", f"php {L}(?: {V}3 0?1)?")], [("php net", f"php net {L} 3 01(?: txt)?")], []),
-    "ruby": ("ruby", [("ruby", f"(?:the )?ruby {L}"), ("ruby s", f"ruby s {L}")], [("ruby lang org", f"ruby lang org en (?:about )?{L}(?: txt)?")], []),
+    "ruby": ("ruby", [("ruby", f"ruby {L}"), ("ruby s", f"ruby s {L}")], [("ruby lang org", f"ruby lang org en (?:about )?{L}(?: txt)?")], []),
     "postgresql": ("postgresql", [("postgresql", f"postgresql {L}")], [("opensource org", f"opensource org {L}s postgresql")], []),
     "ncsa": ("ncsa", [("ncsa", f"(?:university of illinois )?ncsa open source {L}")], [("opensource org", f"opensource org {L}s ncsa")], []),
     "w3c": ("w3c(?: 20150513)?", [("w3c", f"w3c (?:software (?:notice and )?)?{L}")], [("w3 org", "w3 org consortium legal(?: [0-9]+)? copyright software(?: [0-9]+)?")], []),
