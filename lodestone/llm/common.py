@@ -46,6 +46,13 @@ def slices(
             yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Make the session's Arrow batches no larger than ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def map_slices(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, text_at: int
 ) -> DataFrame:
@@ -54,9 +61,7 @@ def map_slices(
     The session's Arrow batches are made no larger than ``BATCH_ROWS`` rows, so that several
     workers beside an executor hold few texts at a time, and give back what they held.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    small_batches(df.sparkSession)
 
     def run(batches):
         yield from function(slices(batches, text_at))

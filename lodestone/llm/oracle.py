@@ -1,6 +1,6 @@
 """SQL for the queries that SQL can express over whole tables: containment, quotation links, vector codes, negatives, licenses."""
 
-from lodestone.llm import chat, contamination, licenses, vector_codes
+from lodestone.llm import chat, contamination, licenses, negatives, vector_codes
 from lodestone.llm.license_rules import RULES
 
 CONTAMINATION = rf"""
@@ -139,3 +139,23 @@ from docs d left join based b using (row) left join said s using (row) left join
 
 
 LICENSES = _licenses()
+
+HARD_NEGATIVES = f"""
+with used as materialized (
+    select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+      list_transform(embedding, lambda e: floor({negatives.SCALE} * e::double)) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+  scores as materialized (
+    select a.row as anchor, a.vec_id as anchor_id, b.row, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+    from used a join used b on a.vec_id % {negatives.EVERY} = 0 and a.row <> b.row),
+  positives as (
+    select *, row_number() over (partition by anchor order by score desc, vec_id) as number from scores where same
+    qualify row_number() over (partition by anchor order by score desc, vec_id) <= {negatives.POSITIVES})
+select p.anchor_id, p.vec_id as positive_id,
+  cast(row_number() over (partition by p.anchor, p.number order by n.score desc, n.vec_id) as integer) as rank,
+  n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n on n.anchor = p.anchor and not n.same
+  and {negatives.LOW} * p.score <= 100 * n.score and 100 * n.score <= {negatives.HIGH} * p.score
+qualify row_number() over (partition by p.anchor, p.number order by n.score desc, n.vec_id) <= {negatives.NEGATIVES}
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, contamination, licenses, near, oracle, pages, quality, scoring, simhash, token_counts, toxicity, vector_codes
+from lodestone.llm import bpe, chat, contamination, licenses, near, negatives, oracle, pages, quality, scoring, simhash, token_counts, toxicity, vector_codes
 from lodestone.llm.common import table
 
 QUERIES: dict = {}
@@ -96,3 +96,9 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_license_scan", oracle.LICENSES)
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("detections")
+
+
+@query("op13_hard_negatives", oracle.HARD_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", shifted))
