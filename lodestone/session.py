@@ -57,12 +57,22 @@ def clear_scratch(spark: SparkSession, keep: int = 0) -> int:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables kept inside the block go at its end; collect or write results before."""
-    before = len(_tables)
+    """Tables kept inside the block go at its end; collect or write results before.
+
+    The block's value is a function that keeps a table beyond the end, up to that of the block around.
+    """
+    before, longer = len(_tables), []
+
+    def stays(df: DataFrame) -> DataFrame:
+        kept = cut_lineage(df)
+        longer.append(_tables.pop())
+        return kept
+
     try:
-        yield
+        yield stays
     finally:
         clear_scratch(spark, keep=before)
+        _tables.extend(longer)
 
 
 def ship(spark: SparkSession) -> None:
