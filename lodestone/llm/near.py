@@ -21,9 +21,11 @@ With a ``likeness``, texts that have so much of their shingles of ``LIKE_WIDTH``
 (shared to all distinct ones) are linked as well; two bits of the fingerprint reach few of them, and
 at the distance of a likeness of 0.8 (17 bits seen) the index can't prune. Candidates agree on the
 least hashes of all permutations in one of ``BANDS`` bands, which a pair of likeness 0.8 misses in
-one of ten thousand cases, and every link is verified on the 64-bit hashes of its shingles. In a
-band's bucket all members meet one member, then two others, then four, until the bucket is one
-component or all its pairs were judged; pairs that are already in one component are left out.
+one of ten thousand cases. Their number is linear in the texts, whatever a bucket holds: small buckets make all
+pairs; in large ones each member meets the few that have most company, which is what many are copies of, and
+its neighbours in the order of the sketches of the next bands. Sketches (a byte of each least hash) drop most
+pairs; every link that remains is verified on the 64-bit hashes of its shingles, unless both texts are
+in one component by then. What the large buckets leave out was measured against all pairs, see the README.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other; null keys take part, a component of null keys only has the id null; repeated rows
@@ -44,10 +46,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import kept, map_slices, text_or_empty
 from lodestone.llm.contamination import WordHashes, shingle_hashes
+from lodestone.session import scratch
 
 WIDTH, RADIUS, SEED = 3, 2, 42
 #: Words in a shingle that likeness is judged by, bands and permutations in a band.
 LIKE_WIDTH, BANDS, ROWS = 5, 24, 5
+#: Buckets of up to FULL members make all pairs; members of larger ones meet HUBS members and BESIDE neighbours.
+FULL, HUBS, BESIDE = 16, 3, 2
+#: Bits of the table that says which texts are wanted; digests that a task remembers.
+HINT_BITS, DONE = 1 << 22, 100_000
 FANOUT = 16
 #: Top groups: at least MIN_GROUPS, more so that a group has at most GROUP_SIZE members, never more than MAX_GROUPS.
 MIN_GROUPS, GROUP_SIZE, MAX_GROUPS = 64, 1 << 20, 4096
@@ -274,6 +281,11 @@ def connect(links: DataFrame) -> DataFrame:
     Star contraction: each round hangs the larger neighbours of a node on its least neighbour, then
     the smaller ones, until nothing moves. Only minima are gathered, so a node may have any degree.
     """
+    with scratch(links.sparkSession) as stays:
+        return stays(_contracted(links))
+
+
+def _contracted(links: DataFrame) -> DataFrame:
     both = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -298,34 +310,140 @@ def like_hashes(text: str, hashes: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(words, min(LIKE_WIDTH, len(words)))) if len(words) else words
 
 
-def band_keys(found: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> list[int]:
-    """A hash of each band's least hashes; none for a text without words."""
-    if not len(found):
-        return []
+def least_hashes(found: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The least hash under each permutation."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for start in range(0, len(found), 4096):
         least = np.minimum(least, ((found[start : start + 4096] ^ masks) * factors).min(axis=1))
-    return [xxhash.xxh3_64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return least
+
+
+def digest_of(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes(), SEED)
+
 
+LIKE_COLUMNS = {"_set": "binary", "_hint": "bigint", "_sketch": "binary", "_buckets": "array<bigint>"}
 
-def _bands(texts: DataFrame) -> DataFrame:
-    """(id, bucket) of the bands of ``texts`` (id, text), only buckets of several ids."""
+
+def like_marks(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the fingerprint (fp) and marks of the shingle set instead of the text: digest, a hash of the text, sketch, buckets.
+
+    The sketch has one byte of each least hash. The marks of a text without words are null.
+    """
+    rest = [c for c in docs.columns if c != text]
+    source = docs.select(*rest, F.xxhash64(text_or_empty(text)).alias("_hint"), text_or_empty(text).alias("_text"))
+    at, fields = len(rest), docs.select(*rest).schema.fields
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fp bigint", *(f"{n} {t}" for n, t in LIKE_COLUMNS.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng, hashes = np.random.default_rng(SEED), WordHashes()
         factors = rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
         masks = rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False)
         for batch in batches:
-            keys = [band_keys(like_hashes(t, hashes), factors, masks) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "buckets"])
+            fps, sets, sketches, buckets = [], [], [], []
+            for value in batch.column(at + 1).to_pylist():
+                fps.append(fingerprint(value))
+                found = like_hashes(value, hashes)
+                least = least_hashes(found, factors, masks)
+                sets.append(digest_of(found) if len(found) else None)
+                sketches.append((least >> np.uint64(56)).astype(np.uint8).tobytes() if len(found) else None)
+                buckets.append([xxhash.xxh3_64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))] if len(found) else None)
+            marks = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), batch.column(at), pa.array(sketches, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *marks], names=[*rest, "fp", *LIKE_COLUMNS])
+
+    return map_slices(source, run, schema, at + 1)
+
+
+def _neighbours(large: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket that stand up to ``BESIDE`` places apart in the order of their sketches, from the next band on."""
+    turned = F.concat(F.expr(f"substring(sketch, (band + 1) % {BANDS} * {ROWS} + 1)"), F.expr(f"substring(sketch, 1, (band + 1) % {BANDS} * {ROWS})"))
+    ordered = large.select("bucket", F.substring(turned, 1, 4 * ROWS).alias("turned"), "id").repartitionByRange("bucket", "turned", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple[int, bytes]] = []
+        for batch in batches:
+            pairs = []
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pairs += [(other[1], row[1]) for other in last if other[0] == row[0]]
+                last = [*last[-BESIDE + 1 :], row]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in range(2)], names=["a", "b"])
+
+    return ordered.sortWithinPartitions("bucket", "turned", "id").select("bucket", "id").mapInArrow(run, "a binary, b binary")
+
+
+def paired(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ``sets`` (id, sketch, buckets) that share a bucket, their number linear in the sets; (id, sketch) of those in any.
+
+    In a bucket of up to ``FULL`` members all pairs are made. In a larger one each member meets the ``HUBS`` members that
+    have the most company in all their buckets (what many are copies of) and its neighbours in the order of the sketches.
+    """
+    exploded = sets.select("id", F.posexplode("buckets").alias("band", "bucket"))
+    counts = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = kept(exploded.join(counts, "bucket"))
+    company = rows.groupBy("id").agg(F.sum("n").alias("company"))
+    known = kept(sets.select("id", "sketch").join(company, "id"))
+    small = rows.where(F.col("n") <= FULL).select("bucket", "id")
+    pairs = small.select("bucket", F.col("id").alias("a")).join(small.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
+    large = kept(rows.where(F.col("n") > FULL).join(known, "id"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("company"), "id"))
+    hubs = large.select("bucket", "id", "company").withColumn("place", place).where(F.col("place") <= HUBS)
+    met = large.select("bucket", F.col("id").alias("a")).join(hubs.select("bucket", F.col("id").alias("b")), "bucket").where("a <> b").select("a", "b")
+    every = pairs.unionByName(met).unionByName(_neighbours(large))
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known
+
+
+def candidates(sets: DataFrame, likeness: float) -> DataFrame:
+    """(a, b, agree): pairs whose sketches agree in as many bytes as the likeness less four standard deviations lets expect."""
+    pairs, known = paired(sets)
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    size = BANDS * ROWS
+    needed = size * likeness - 4 * (size * likeness * (1 - likeness)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, size) for k in (2, 3))
+            agree = (one == other).sum(axis=1).astype(np.int32)
+            part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], names=["a", "b", "agree"])
+            yield part.filter(pa.array(agree >= needed))
+
+    return kept(both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, agree int"))
 
-    made = kept(map_slices(texts, run, "id bigint, buckets array<bigint>", 1))
-    rows = made.dropDuplicates(["id"]).select("id", F.explode("buckets").alias("bucket"))
-    return rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket")
+
+def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(id, hashes) of the sets ``wanted`` (id, hint), each once.
+
+    Texts don't move: hints of what is wanted, as a table of ``HINT_BITS`` bits, tell each task which texts to read.
+    """
+    at = wanted.select(F.pmod("hint", F.lit(HINT_BITS)).cast("int").alias("at"))
+    word = at.selectExpr("at div 64 as word", "shiftleft(1L, at % 64) as bit")
+    found = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # <= HINT_BITS / 64 rows
+    table = np.zeros(HINT_BITS // 64, np.int64)
+    table[[r.word for r in found]] = [r.bits for r in found]
+    packed = table.view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, done = WordHashes(), set()
+        for batch in batches:
+            at = batch.column(0).to_numpy() % HINT_BITS
+            hit = np.flatnonzero(packed[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
+            rows = []
+            for value in batch.column(1).take(pa.array(hit)).to_pylist():
+                values = like_hashes(value, hashes)
+                key = digest_of(values)
+                if key not in done:
+                    rows.append((key, values.tobytes()))
+                    done.add(key)
+            if len(done) > DONE:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(2)], names=["id", "hashes"])
+
+    source = docs.select(F.xxhash64(text_or_empty(text)).alias("hint"), text_or_empty(text).alias("text"))
+    made = map_slices(source, run, "id binary, hashes binary", 1)
+    return kept(made.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """The pairs (a, b, fa, fb) whose ``sets`` (id, hashes) have the likeness, as fingerprints (a, b)."""
+    """The pairs (a, b) whose ``sets`` (id, hashes) have the likeness."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,62 +455,80 @@ def _alike(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
                 alike.append(shared >= likeness * (len(one) + len(other) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return map_slices(both.select("fa", "fb", "ha", "hb"), run, "a bigint, b bigint", 2)
+    return map_slices(both.select("a", "b", "ha", "hb"), run, "a binary, b binary", 2)
 
 
-def like_edges(texts: DataFrame, ids: DataFrame, links: DataFrame, likeness: float) -> DataFrame:
-    """``links`` (a, b) and those of ``texts`` (id, text; fingerprints in ``ids``) of so much likeness, enough to connect every component."""
-    banded = _bands(texts).join(ids, "id")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    rows = kept(banded.withColumn("place", place))
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further ``links`` (a, b): only the new links are contracted, over the roots known so far."""
+    name = lambda side: F.coalesce(F.col(f"r{side}.root"), F.col(side))
+    over = links.join(roots.alias("ra"), F.col("ra.node") == F.col("a"), "left").join(roots.alias("rb"), F.col("rb.node") == F.col("b"), "left")
+    new = connect(over.select(name("a").alias("a"), name("b").alias("b")))
+    moved = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return kept(old.unionByName(new.join(roots.select("node"), "node", "left_anti")))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            found = [like_hashes(t, hashes).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "hashes"])
 
-    members = texts.join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    sets = kept(map_slices(members, hashed, "id bigint, hashes binary", 1))
-    first = 1
-    while True:
-        roots = connect(links)
-        named = rows.join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "id", "fp", "place", F.coalesce("root", "fp").alias("root"))
-        # the pairs of earlier places are judged
-        unsettled = named.where(F.col("place") >= first).groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        rows = kept(named.join(unsettled.select("bucket"), "bucket").where(F.col("place") >= first))
-        if rows.isEmpty():
-            return links
-        met = rows.where(F.col("place") < 2 * first).select("bucket", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("place").alias("at"), F.col("root").alias("ra"))
-        pairs = rows.join(met, "bucket").where("place > at and root <> ra").select("a", F.col("id").alias("b"), "fa", F.col("fp").alias("fb")).distinct()
-        links = kept(links.unionByName(_alike(pairs, sets, likeness)))
-        rows, first = rows.drop("root"), 2 * first
+def like_roots(docs: DataFrame, text: str, marked: DataFrame, roots: DataFrame, likeness: float) -> DataFrame:
+    """``roots`` (node, root) of the fingerprints, joined by the texts of so much likeness. ``marked``: fp and ``like_marks`` of all rows.
+
+    First each set is judged with the candidate that agrees most, then those pairs that aren't in one component yet.
+    """
+    grouped = marked.where("_set is not null").groupBy(F.col("_set").alias("id")).agg(
+        F.min("fp").alias("fp"), F.max("fp").alias("high"), F.min("_hint").alias("hint"), F.first("_sketch").alias("sketch"), F.first("_buckets").alias("buckets")
+    )
+    sets = kept(grouped)
+    # equal sets with unlike fingerprints: the least one stands for all
+    unlike = sets.where("fp <> high").select(F.col("id").alias("_set"), F.col("fp").alias("b"))
+    roots = _joined(roots, marked.select("_set", F.col("fp").alias("a")).join(unlike, "_set").select("a", "b").where("a <> b").distinct())
+    pairs = candidates(sets, likeness)
+    wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "hint", "fp")
+    wanted = kept(wanted)
+    hashes = shingle_sets(docs, text, wanted)
+    of = lambda side: wanted.select(F.col("id").alias(side), F.col("fp").alias(f"f{side}"))
+    pairs = kept(pairs.join(of("a"), "a").join(of("b"), "b"))
+    turned = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
+    best = turned.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    first = kept(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def linked(some: DataFrame) -> DataFrame:
+        alike = _alike(some, hashes, likeness)
+        return alike.join(of("a"), "a").join(of("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    roots = _joined(roots, kept(linked(first)))
+    named = pairs.join(roots.select(F.col("node").alias("fa"), F.col("root").alias("ra")), "fa", "left").join(roots.select(F.col("node").alias("fb"), F.col("root").alias("rb")), "fb", "left")
+    apart = named.where(F.coalesce("ra", "fa") != F.coalesce("rb", "fb")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    return _joined(roots, kept(linked(kept(apart))))
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, likeness: float | None = None) -> DataFrame:
     """The columns of ``docs`` but the text, with fp, root (a fingerprint that names the component) and component_id."""
-    if {"fp", "root", "component_id"} & set(docs.columns):
-        raise ValueError("the columns fp, root and component_id are the operator's")
-    marked = fingerprints(docs.withColumn("_id", F.xxhash64(text_or_empty(text))) if likeness else docs, text)
-    marked = kept(marked)
-    distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    links = edges(distinct.select("fp"), radius)
-    if likeness:
-        ids = marked.select(F.col("_id").alias("id"), "fp").distinct()
-        texts = docs.select(F.xxhash64(text_or_empty(text)).alias("id"), text_or_empty(text).alias("text"))
-        links, marked = like_edges(texts, ids, kept(links), likeness), marked.drop("_id")
-    roots = connect(links)
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    taken = {"fp", "root", "component_id", *(LIKE_COLUMNS if likeness else ())}
+    if taken & set(docs.columns):
+        raise ValueError(f"the columns {', '.join(sorted(taken))} are the operator's")
+    with scratch(docs.sparkSession) as stays:
+        rest = [c for c in docs.columns if c != text]
+        marked = stays(like_marks(docs, text) if likeness else fingerprints(docs, text))
+        distinct = kept(marked.groupBy("fp").agg(F.min(key).alias("least")))
+        roots = connect(edges(distinct.select("fp"), radius))
+        if likeness:
+            roots = like_roots(docs, text, marked, roots, likeness)
+        named = kept(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+        ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+        found = stays(named.join(ids, "root").select("fp", "root", "component_id"))
+    return marked.select(*rest, "fp").join(found, "fp")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, likeness: float | None = None) -> DataFrame:
     """One row of each component of ``docs``: the least key, of rows without keys the least text."""
-    columns = docs.columns
-    hashed = docs.withColumn("_hash", F.xxhash64(text_or_empty(text)))
-    found = components(hashed.select(key, text, "_hash"), key, text, radius, likeness)
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_hash").alias("hash"))
-    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_key"), F.col("first.hash").alias("_first"))
-    chosen = hashed.join(first, hashed[key].eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_first")), "left_semi")
-    return chosen.dropDuplicates([key, "_hash"]).select(*columns)
+    columns, names = docs.columns, []
+    for name in ("_hash", "_key", "_first"):  # helpers that clash with no column
+        while name in columns:
+            name = f"_{name}"
+        names.append(name)
+    own, least, text_of_least = names
+    hashed = docs.withColumn(own, F.xxhash64(text_or_empty(text)))
+    found = components(hashed.select(key, text, own), key, text, radius, likeness)
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(own).alias("hash"))
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.key").alias(least), F.col("first.hash").alias(text_of_least))
+    chosen = hashed.join(first, hashed[key].eqNullSafe(F.col(least)) & (F.col(own) == F.col(text_of_least)), "left_semi")
+    return chosen.dropDuplicates([key, own]).select(*columns)

@@ -147,3 +147,44 @@ def test_likeness_links_what_fingerprints_miss(spark):
     assert {r.doc_id for r in near.representatives(df, likeness=0.8).collect()} == set(least.values())
     assert near.representatives(df).count() > len(least)
     assert near.representatives(df.limit(0), likeness=0.8).count() == 0
+
+
+def family(n, changes, length=200):
+    """Texts that share a base, each with so many words of its own."""
+    rng = np.random.default_rng(n)
+    base = [f"w{i}" for i in range(length)]
+    rows = []
+    for c in range(n):
+        copy = list(base)
+        for k in rng.choice(length, changes, replace=False):
+            copy[k] = f"own{c}x{k}"
+        rows.append((c, " ".join(copy)))
+    return rows
+
+
+def test_pairs_of_a_family_grow_with_the_texts(spark):
+    """Texts that share many bands but don't reach the likeness: pairs are linear, not all of them."""
+    counts = []
+    for n in (600, 1200, 2400):
+        rows = family(n, 5)
+        sets = near.like_marks(spark.createDataFrame(rows, "doc_id bigint, text string"), "text")
+        named = sets.select(F.col("_set").alias("id"), F.col("_sketch").alias("sketch"), F.col("_buckets").alias("buckets"))
+        counts.append(near.paired(named)[0].count())
+    assert counts[1] <= 2.4 * counts[0] and counts[2] <= 2.4 * counts[1] and counts[2] < 200 * 2400 < 2400 * 2399 / 2
+
+
+def test_a_family_around_one_text_is_found(spark):
+    """Copies that reach the likeness with their source only, in buckets that don't make all pairs."""
+    rows = [(10_000, " ".join(f"w{i}" for i in range(200))), *family(300, 4)]
+    found = near.components(spark.createDataFrame(rows, "doc_id bigint, text string"), likeness=0.8).collect()
+    sets = {k: set(near.shingles(t, 5)) for k, t in rows}
+    reach = [k for k in sets if len(sets[k] & sets[10_000]) >= 0.8 * len(sets[k] | sets[10_000])]
+    least = min(r.component_id for r in found)
+    assert len(reach) > 250 and sum(r.component_id == least for r in found if r.doc_id in reach) >= 0.99 * len(reach)
+
+
+def test_marks_clash(spark):
+    with pytest.raises(ValueError, match="_set"):
+        near.components(spark.createDataFrame([], "doc_id bigint, text string, _set binary"), likeness=0.8)
+    odd = spark.createDataFrame([(1, "one text", b"x", 5), (2, "one text", b"y", 6)], "doc_id bigint, text string, _hash binary, _key int")
+    assert [tuple(r) for r in near.representatives(odd, likeness=0.8).collect()] == [(1, "one text", b"x", 5)]
