@@ -32,7 +32,8 @@ def build_segments(docs: DataFrame) -> DataFrame:
 
 
 def id_bucket(file_id: Column) -> Column:
-    return F.pmod(F.xxhash64(file_id), F.lit(ID_BUCKETS)).cast("int")
+    # a literal id may be an int, whose hash is another one
+    return F.pmod(F.xxhash64(file_id.cast("bigint")), F.lit(ID_BUCKETS)).cast("int")
 
 
 def bodies_of(segments: DataFrame, ids: list[int]) -> DataFrame:

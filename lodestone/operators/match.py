@@ -7,6 +7,7 @@ best hit are plain column arithmetic: no union of branches and no grouping.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,7 +19,9 @@ from lodestone.functions import scores as sc
 from lodestone.functions import terms as tm
 from lodestone.functions import text as tx
 from lodestone.operators import scope as so
+from lodestone.operators.grams import named_files
 from lodestone.request import SearchRequest
+from lodestone.session import cut_lineage
 
 # Rank of a hit by where it was found; the lower the better.
 BODY, BIGRAM, NAME, TITLE, ALIAS = range(5)
@@ -110,26 +113,61 @@ def _unit_tokens(unit: Unit) -> tuple[str, list[str]]:
     return "word", unit.words
 
 
-def posting_frequencies(postings: DataFrame, units: list[Unit]) -> DataFrame:
+#: A word that is so many times as frequent as a phrase's rarest one waits for the rarest one's files.
+FOLLOWS = 4
+
+
+def _of_tokens(pairs: Iterable[tuple[str, str]]) -> Column:
+    kinds: dict[str, list[str]] = {}
+    for kind, token in sorted(pairs):
+        kinds.setdefault(kind, []).append(token)
+    return _any([(F.col("kind") == kind) & F.col("term").isin(*tokens) for kind, tokens in kinds.items()])
+
+
+def followers(units: list[Unit], counts: dict[tuple[str, str], int]) -> tuple[set, set]:
+    """(leads, followers) of the phrases: their rarest tokens, and frequent ones that only matter beside those."""
+    phrases = [[(kind, t) for t in ts] for kind, ts in map(_unit_tokens, units) if len(ts) > 1]
+    alone = {(kind, ts[0]) for kind, ts in map(_unit_tokens, units) if len(ts) == 1}
+    of = lambda pair: (counts.get(pair, 0), pair)
+    leads = {min(p, key=of) for p in phrases}
+    needed = {pair: [counts.get(min(p, key=of), 0) for p in phrases if pair in p] for p in phrases for pair in p}
+    slow = {pair for pair, least in needed.items() if counts.get(pair, 0) >= FOLLOWS * max(1, *least)}
+    return leads, slow - leads - alone
+
+
+def _rare_first(postings: DataFrame, terms: DataFrame | None, units: list[Unit], wanted: list[tuple[str, str]]) -> DataFrame:
+    """Postings of the wanted tokens; frequent words of a phrase only in files that hold its rarest word.
+
+    The counts of the request's own tokens come to the driver, the files of the rarest ones are kept as a table, so
+    that Spark knows its size: if it is small the frequent words' rows are dropped where they are read.
+    """
+    rows = postings.where(_of_tokens(wanted))
+    if terms is None or all(len(_unit_tokens(u)[1]) == 1 for u in units):
+        return rows
+    counts = {(r.kind, r.term): r.df for r in terms.where(_of_tokens(wanted)).select("kind", "term", "df").collect()}
+    leads, slow = followers(units, counts)
+    if not slow:
+        return rows
+    holding = cut_lineage(postings.where(_of_tokens(leads)).select("file_id").distinct())
+    first = postings.where(_of_tokens(set(wanted) - slow))
+    return first.unionByName(postings.where(_of_tokens(slow)).join(holding, "file_id", "left_semi"))
+
+
+def posting_frequencies(postings: DataFrame, units: list[Unit], terms: DataFrame | None = None) -> DataFrame:
     """The same as :func:`scan_frequencies`, read from postings.
 
     The term filter reaches the sorted Parquet files, so only the row groups of the
-    wanted terms are read. A phrase is a run of positions.
+    wanted terms are read. A phrase is a run of positions; with ``terms`` (document counts) it
+    starts from its rarest word.
     """
     wanted = sorted({(kind, t) for kind, ts in map(_unit_tokens, units) for t in ts})
-    test = _any(
-        [
-            (F.col("kind") == kind) & F.col("term").isin(*[t for k, t in wanted if k == kind])
-            for kind in sorted({k for k, _ in wanted})
-        ]
-    )
-    rows = postings.where(test)
+    rows = _rare_first(postings, terms, units, wanted)
     # Counts suffice for a single token; positions are read for phrases only.
     sides = [_unit_tokens(u) for u in units]
     counted = {(kind, ts[0]) for kind, ts in sides if len(ts) == 1}
     placed = {(kind, t) for kind, ts in sides if len(ts) > 1 for t in ts}
     at = {pair: f"at_{i}" for i, pair in enumerate(wanted)}
-    if len(wanted) == 1:
+    if len(wanted) == 1:  # no other token, nothing to group
         found = rows.select(
             "file_id", "n_tokens", F.col("tf").alias("n_at_0"), F.col("positions").alias("at_0")
         )
@@ -218,7 +256,7 @@ def match_body(corpus, units: list[Unit]) -> list[DataFrame]:
     indexed = [u for u in units if u.mode != "literal"]
     tables = []
     if indexed:
-        tables.append(_scored(corpus, posting_frequencies(corpus.postings, indexed), indexed))
+        tables.append(_scored(corpus, posting_frequencies(corpus.postings, indexed, corpus.terms), indexed))
     if literal:
         table = _scored(corpus, scan_frequencies(corpus.segments, literal), literal)
         tables.append(
@@ -271,6 +309,10 @@ def match_files(corpus, scoped: DataFrame, request: SearchRequest) -> DataFrame:
     if n == 0 or not (request.wants_body or request.wants_name):
         return _no_match(scoped)
     units = body_units(groups) if request.wants_body else []
+    by_gram = None if units else named_files(corpus, groups)
+    if by_gram is not None:
+        # A search for names only: the grams' files, few as a rule, are the rows that names are tested on.
+        scoped = scoped.join(cut_lineage(by_gram), "file_id", "left_semi")
     tables = match_body(corpus, units)
     body_hits = reduce(lambda a, b: a.join(b, "file_id", "full_outer"), tables) if tables else None
     no, never = F.lit(None).cast("double"), [F.lit(False)] * n

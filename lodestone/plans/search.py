@@ -13,6 +13,7 @@ from lodestone.functions import rules as rl
 from lodestone.functions import scores as sc
 from lodestone.functions import terms as tm
 from lodestone.operators import folders as fo
+from lodestone.operators import grams as gr
 from lodestone.operators import match as mt
 from lodestone.operators import rank as rk
 from lodestone.operators import scope as so
@@ -132,7 +133,11 @@ def search(
 
 
 def search_regex(corpus: Corpus, request: SearchRequest) -> SearchResult:
-    """Pattern search over bodies, names and folders: one scan, no index."""
+    """Pattern search over bodies, names and folders.
+
+    Where the corpus has grams of bodies and every match must hold some literal, only bodies that hold the
+    literal's grams are read; other patterns read all.
+    """
     included, excluded = tm.split_query(request.q)
     pattern = " ".join(included)
     java = f"(?iu){pattern}"
@@ -152,9 +157,9 @@ def search_regex(corpus: Corpus, request: SearchRequest) -> SearchResult:
     rows = scoped
     in_body = never
     if request.wants_body:
-        body = corpus.segments.where(F.col("content").rlike(java)).select(
-            "file_id", F.lit(True).alias("in_body")
-        )
+        candidates = gr.pattern_files(corpus, pattern)
+        segments = corpus.segments if candidates is None else gr.bodies_of(corpus.segments, candidates)
+        body = segments.where(F.col("content").rlike(java)).select("file_id", F.lit(True).alias("in_body"))
         rows = rows.join(body, "file_id", "left")
         in_body = F.coalesce("in_body", never)
     folder = px.parent_folder(path, F.col("file_name"))

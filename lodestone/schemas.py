@@ -58,6 +58,23 @@ TERM_STATS = T.StructType(
     ]
 )
 
+GRAMS = T.StructType(
+    [
+        T.StructField("kind", T.StringType()),  # 'body', 'name' or 'term'
+        T.StructField("gram", T.StringType()),
+        T.StructField("file_id", T.LongType()),
+        T.StructField("term", T.StringType()),
+    ]
+)
+
+GRAM_COUNTS = T.StructType(
+    [
+        T.StructField("kind", T.StringType()),
+        T.StructField("gram", T.StringType()),
+        T.StructField("n", T.LongType()),
+    ]
+)
+
 CORPUS_STATS = T.StructType(
     [
         T.StructField("n_docs", T.LongType()),

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas as sch
+from lodestone.operators import grams as gr
 from lodestone.operators import index as ix
 from lodestone.session import cut_lineage
 
@@ -33,6 +34,10 @@ class Corpus:
     failures: DataFrame | None = None
     query_clicks: DataFrame | None = None
     targets: DataFrame | None = None
+    grams: DataFrame | None = None
+    gram_counts: DataFrame | None = None
+    #: Whether the grams tell about bodies too, not of names and words only.
+    body_grams: bool = False
 
     @staticmethod
     def of(docs: DataFrame, stage: bool = False, **tables: DataFrame) -> Corpus:
@@ -66,6 +71,11 @@ class Corpus:
         """Postings, counts and statistics made anew from the stored bodies."""
         return replace(self, postings=None, terms=None, stats=None).indexed()
 
+    def with_grams(self, bodies: bool = True) -> Corpus:
+        """The same corpus with grams of names, words and (``bodies``) texts, for patterns and substrings."""
+        rows = cut_lineage(gr.build_grams(self.files, self.segments if bodies else None, self.terms))
+        return replace(self, grams=rows, gram_counts=cut_lineage(gr.gram_counts(rows)), body_grams=bodies)
+
     def with_(self, **tables) -> Corpus:
         return replace(self, **tables)
 
@@ -79,11 +89,15 @@ def _laid_out(df: DataFrame, name: str, parts: int) -> DataFrame:
     """
     if name == "segments":
         # Ids are spread evenly by their hash, so this needs no sampling pass.
-        return df.withColumn("bucket", ix.id_bucket(F.col("file_id"))).repartition(parts, "bucket")
+        # Inside a folder they lie by id, so the ids of a page open few row groups.
+        placed = df.withColumn("bucket", ix.id_bucket(F.col("file_id")))
+        return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "file_id")
     order = {
         "files": ["source_type", "normalized_path"],
         "postings": ["kind", "term", "file_id"],
         "terms": ["kind", "term"],
+        "grams": ["kind", "gram", "file_id", "term"],
+        "gram_counts": ["kind", "gram"],
     }.get(name)
     if order is None:
         return df
@@ -97,9 +111,12 @@ def _write(df: DataFrame, name: str, root: str, parts: int) -> None:
     writer.parquet(f"{root}/{name}")
 
 
-def write_corpus(corpus: Corpus, path: str, parts: int | None = None) -> str:
+def write_corpus(corpus: Corpus, path: str, parts: int | None = None, body_grams: bool = False) -> str:
     """Store a corpus as the newest snapshot and return its folder.
 
+    Grams of names and words are always stored; those of bodies, which patterns are looked up by, on demand: they
+    take about as much room as the postings.
+
     Bodies are written first; postings, counts and statistics are then derived from
     what was written, so no input is read or parsed twice.
     """
@@ -115,11 +132,17 @@ def write_corpus(corpus: Corpus, path: str, parts: int | None = None) -> str:
     stored = spark.read.schema(sch.POSTINGS).parquet(f"{root}/postings")
     _write(ix.term_stats(stored), "terms", root, parts)
     _write(ix.corpus_stats(segments), "stats", root, parts)
+    files = spark.read.schema(sch.FILES).parquet(f"{root}/files")
+    terms = spark.read.schema(sch.TERM_STATS).parquet(f"{root}/terms")
+    body_grams = body_grams or corpus.body_grams
+    _write(gr.build_grams(files, segments if body_grams else None, terms), "grams", root, parts)
+    _write(gr.gram_counts(spark.read.schema(sch.GRAMS).parquet(f"{root}/grams")), "gram_counts", root, parts)
     for name in ("failures", "query_clicks", "targets"):
         table = getattr(corpus, name)
         if table is not None:
             _write(table, name, root, parts)
-    given = [f.name for f in fields(corpus) if getattr(corpus, f.name) is not None]
+    given = [f.name for f in fields(corpus) if isinstance(getattr(corpus, f.name), DataFrame)]
+    given = sorted({*given, "grams", "gram_counts", *(["body_grams"] if body_grams else [])})
     _append(spark, path, version, root, given, "base")
     return root
 
@@ -201,6 +224,8 @@ LAYOUTS = {
     "failures": sch.FAILURES,
     "query_clicks": sch.QUERY_CLICKS,
     "targets": sch.TARGETS,
+    "grams": sch.GRAMS,
+    "gram_counts": sch.GRAM_COUNTS,
 }
 
 
@@ -219,10 +244,11 @@ def read_corpus(spark: SparkSession, path: str) -> Corpus:
         for name, schema in LAYOUTS.items()
         if name in always or name in first.given
     }
-    return Corpus(**(_merged(spark, tables, deltas) if deltas else tables))
+    bodies = "body_grams" in first.given
+    return Corpus(**(_merged(spark, tables, deltas, bodies) if deltas else tables), body_grams=bodies)
 
 
-def _merged(spark: SparkSession, tables: dict[str, DataFrame], deltas: list) -> dict[str, DataFrame]:
+def _merged(spark: SparkSession, tables: dict[str, DataFrame], deltas: list, body_grams: bool) -> dict[str, DataFrame]:
     """Rows of the base and of each delta that no later generation replaces."""
 
     def of(row, name: str, schema) -> DataFrame:
@@ -241,6 +267,16 @@ def _merged(spark: SparkSession, tables: dict[str, DataFrame], deltas: list) ->
         gone = gone.groupBy("file_id").agg(F.max("_gone").alias("_gone"))
         rows = every(parts).join(gone, "file_id", "left").where("_gone is null or _since >= _gone")
         merged[name] = rows.select(*tables[name].columns)
+    if "grams" in tables:
+        # What changed since the base is cut on reading; the base's counts go on choosing which gram to ask for.
+        ids = [of(d, name, "file_id bigint").select("file_id") for d in deltas for name in ("replaced_files", "replaced_bodies", "files", "segments")]
+        changed = cut_lineage(every(ids).distinct())
+        new = gr.build_grams(
+            merged["files"].join(changed, "file_id", "left_semi"),
+            merged["segments"].join(changed, "file_id", "left_semi") if body_grams else None,
+            every([of(d, "terms", sch.TERM_STATS) for d in deltas]).where("df > 0"),
+        )
+        merged["grams"] = tables["grams"].join(changed, "file_id", "left_anti").unionByName(new)
     counts = every([tables["terms"], *(of(d, "terms", sch.TERM_STATS) for d in deltas)])
     merged["terms"] = counts.groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df > 0")
     totals = tables["stats"].select("n_docs", F.coalesce(F.col("n_docs") * F.col("avg_tokens"), F.lit(0.0)).alias("tokens"))

@@ -120,7 +120,7 @@ def stored_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
     def make() -> Corpus:
         path = scratch_path(spark, "corpus")
-        write_corpus(corpus(spark, sf_dir), path)
+        write_corpus(corpus(spark, sf_dir), path, body_grams=True)
         return read_corpus(spark, path)
 
     return kept(spark, sf_dir, "corpus", make)
