@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules as rl
 from lodestone.functions import urls as ux
 from lodestone.operators.extract import extract_pages
+from lodestone.operators.rank import number_rows
 from lodestone.session import cut_lineage
 
 
@@ -66,43 +67,81 @@ def page_scope(pages: DataFrame) -> DataFrame:
     )
 
 
-def crawl_frontier(
-    links: DataFrame,
-    seeds: DataFrame,
-    max_depth: int,
-    rules: list[str] = (),
-    max_pages: int | None = None,
+#: Links of a page that one task follows; hub pages are dealt out in so many each.
+HUB = 10_000
+
+
+def dealt_links(links: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """(src_url, part, dst_url) and (src_url, parts) of the hub pages: links of a hub lie in several parts."""
+    hubs = cut_lineage(links.groupBy("src_url").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts")).where("parts > 1"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst_url"), F.col("parts"))).cast("int")
+    return cut_lineage(links.join(hubs, "src_url", "left").select("src_url", part.alias("part"), "dst_url")), hubs
+
+
+def _first_of_each(step: DataFrame, left: DataFrame) -> DataFrame:
+    """Of each root's pages, in order of URLs, as many as it may still visit.
+
+    A range sort places all pages, so a root with most of them isn't in one task; its pages are numbered from its first one.
+    """
+    numbered = cut_lineage(number_rows(step, [F.col("root"), F.col("url")], "_n"))
+    firsts = numbered.groupBy("root").agg(F.min("_n").alias("_first"), F.count("*").alias("_size"))
+    bounds = cut_lineage(firsts.join(left, "root"))
+    return numbered.join(bounds, "root").where(F.col("left").isNull() | (F.col("_n") - F.col("_first") < F.col("left"))).select("root", "url")
+
+
+def crawl_roots(
+    links: DataFrame, roots: DataFrame, max_depth: int, rules: list[str] = (), max_pages: int | None = None, hub: int = HUB
 ) -> DataFrame:
-    """(url, depth) reached from the seeds over (src_url, dst_url) edges.
+    """(root, url, depth): what each root reaches over (src_url, dst_url) edges, all roots in one loop.
 
-    One round per level: the new frontier is joined with the edges, and what was seen
-    before is dropped. Every round is checkpointed, so the plan does not grow and a
-    lost executor costs one round. URLs hit by a rule are not visited and not followed.
-    ``max_pages`` keeps the first pages in breadth-first order (ties by URL).
+    ``roots`` holds (root, url) and may hold several seeds of a root. One round per level: the frontier of all roots is
+    joined with the edges, and what a root has seen is dropped. ``max_pages`` is each root's quota, held
+    inside the loop: of a level that would exceed it the first URLs stay, and the root leaves the frontier. The
+    loop ends when no root has a frontier. Every round is kept as a table, so the plan does not grow and a lost executor
+    costs one round. URLs hit by a rule are not visited and not followed.
     """
     hidden = rl.excluded_url(F.col("url"), rules)
-    frontier = cut_lineage(
-        seeds.select("url").distinct().where(~hidden).withColumn("depth", F.lit(0))
-    )
+    edges, hubs = dealt_links(links, hub)
+    all_roots = cut_lineage(roots.select("root").distinct())
+    quota = F.lit(max_pages).cast("bigint")
+
+    def within(step: DataFrame, reached: DataFrame | None) -> DataFrame:
+        if max_pages is None:
+            return step
+        used = all_roots.withColumn("left", quota)
+        if reached is not None:
+            counts = reached.groupBy("root").agg(F.count("*").alias("seen"))
+            used = all_roots.join(counts, "root", "left").select("root", (quota - F.coalesce("seen", F.lit(0))).alias("left"))
+        return _first_of_each(step, used.where("left > 0"))
+
+    frontier = cut_lineage(within(roots.select("root", "url").distinct().where(~hidden), None).withColumn("depth", F.lit(0)))
     reached = frontier
     for depth in range(1, max_depth + 1):
+        asked = frontier.join(hubs.withColumnRenamed("src_url", "url"), "url", "left")
+        parts = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        asked = asked.select("root", F.col("url").alias("src_url"), F.explode(parts).alias("part"))
         step = (
-            frontier.join(links, F.col("url") == F.col("src_url"))
-            .select(F.col("dst_url").alias("url"))
+            asked.join(edges, ["src_url", "part"])
+            .select("root", F.col("dst_url").alias("url"))
             .distinct()
             .where(~hidden)
-            .join(reached.select("url"), "url", "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .join(reached.select("root", "url"), ["root", "url"], "left_anti")
         )
-        frontier = cut_lineage(step)
+        frontier = cut_lineage(within(step, reached).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
-    if max_pages is not None:
-        reached = reached.orderBy("depth", "url").limit(max_pages)
     return reached
 
 
+def crawl_frontier(
+    links: DataFrame, seeds: DataFrame, max_depth: int, rules: list[str] = (), max_pages: int | None = None
+) -> DataFrame:
+    """(url, depth) reached from the seeds, as one root; ``max_pages`` counts in breadth-first order, ties by URL."""
+    one = seeds.select(F.lit("").alias("root"), "url")
+    return crawl_roots(links, one, max_depth, rules, max_pages).drop("root")
+
+
 def pages_with_links(pages: DataFrame) -> DataFrame:
     """Stored pages (url, html) with what the link operators need."""
     return extract_pages(pages).select("url", "links", "breadcrumb_links", "json_ld_blocks")
@@ -112,10 +151,3 @@ def stored_targets(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored pages that some current link points to."""
     keyed = pages.withColumn("dst_url", ux.normalize_url(F.col("url")))
     return keyed.join(links.select("dst_url"), "dst_url", "left_semi").drop("dst_url")
-
-
-def first_per_url(pages: DataFrame, order: str) -> DataFrame:
-    """One row per normalised URL, the lowest ``order`` kept."""
-    keyed = pages.withColumn("normalized_url", ux.normalize_url(F.col("url")))
-    first = Window.partitionBy("normalized_url").orderBy(order)
-    return keyed.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")

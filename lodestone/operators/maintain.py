@@ -11,10 +11,70 @@ from lodestone.functions import paths as px
 from lodestone.functions import rules as rl
 from lodestone.operators import scope as so
 from lodestone.operators.extract import pin_tag_and_names
+from lodestone.session import cut_lineage
 
 INDEX_VERSION = 1
 
 
+def _folder_of() -> Column:
+    """Folder of a path; paths at the top have the empty one."""
+    return F.regexp_replace("normalized_path", "/?[^/]*$", "")
+
+
+def folder_digests(rows: DataFrame, failed: bool = False) -> DataFrame:
+    """(folder, n, digest): an order-free hash of what lies directly in each folder.
+
+    A digest is a sum of row hashes over (path, mtime, size, error), so tasks add up what they hold first and
+    only one row of each folder is exchanged. ``failed``: the rows know their last error.
+    """
+    error = F.coalesce("last_error", F.lit("")) if failed else F.lit("")
+    # 0.0 turns -0.0 into 0.0; two hashes, as one of 64 bits would meet its like among 10^10 folders
+    parts = ["normalized_path", (F.col("mtime") + 0.0).alias("m"), "size", error]
+    hashes = [F.xxhash64(*parts).cast("decimal(38,0)"), F.xxhash64(F.lit(1), *parts).cast("decimal(38,0)")]
+    rows = rows.select(_folder_of().alias("folder"), hashes[0].alias("h0"), hashes[1].alias("h1"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n"), F.struct(F.sum("h0").alias("a"), F.sum("h1").alias("b")).alias("digest"))
+
+
+def tree_digests(folders: DataFrame, deepest: int) -> DataFrame:
+    """(folder, n, digest) of whole trees, down to ``deepest`` levels: the digests of all folders at or below each one."""
+    parts = F.split("folder", "/")
+    levels = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(deepest)))
+    above = F.transform(levels, lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    rows = folders.select(F.explode(above).alias("folder"), "n", "digest")
+    return rows.groupBy("folder").agg(F.sum("n").alias("n"), F.struct(F.sum("digest.a").alias("a"), F.sum("digest.b").alias("b")).alias("digest"))
+
+
+def _unequal(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(folder) whose digests differ or exist on one side only."""
+    both = old.select("folder", F.struct("n", "digest").alias("o")).join(new.select("folder", F.struct("n", "digest").alias("w")), "folder", "full_outer")
+    return both.where(~F.col("o").eqNullSafe(F.col("w"))).select("folder")
+
+
+def differing_folders(existing: DataFrame, listing: DataFrame, top: int = 3) -> DataFrame:
+    """(folder) of the folders in which something differs, as a table.
+
+    Trees of the first ``top`` levels are compared before their folders: a tree whose sums are equal is left out as
+    a whole, and only folders below unequal trees are compared one by one.
+    """
+    old, new = cut_lineage(folder_digests(existing, failed=True)), cut_lineage(folder_digests(listing))
+    trees = cut_lineage(_unequal(tree_digests(old, top), tree_digests(new, top)))
+    root = F.array_join(F.slice(F.split("folder", "/"), 1, top), "/")
+    below = [side.join(trees.select(F.col("folder").alias("tree")), root == F.col("tree"), "left_semi") for side in (old, new)]
+    return cut_lineage(_unequal(*below))
+
+
+def digest_diff(existing: DataFrame, listing: DataFrame) -> DataFrame:
+    """The same as :func:`diff_snapshot`; rows are joined only where their folder's digests differ.
+
+    For listings of whole roots, most of whose folders haven't changed since.
+    """
+    folders = differing_folders(existing, listing)
+    inside = lambda rows, how: rows.withColumn("_folder", _folder_of()).join(folders, F.col("_folder") == F.col("folder"), how).drop("_folder")
+    same = inside(listing.select("normalized_path"), "left_anti").select("normalized_path", F.lit("unchanged").alias("change"))
+    narrow = existing.select("normalized_path", "mtime", "size", "last_error")
+    return diff_snapshot(inside(narrow, "left_semi"), inside(listing.select("normalized_path", "mtime", "size"), "left_semi")).unionByName(same)
+
+
 def diff_snapshot(existing: DataFrame, listing: DataFrame) -> DataFrame:
     """(normalized_path, change) with new, changed, unchanged or missing.
 

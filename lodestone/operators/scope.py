@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,34 +120,74 @@ def filter_paths(df: DataFrame, keyword: str = "", hidden: list[str] = (), path:
 
 # --- roots and paths ---------------------------------------------------------
 
+#: Roots that every task may hold; more are joined.
+MOST_ROOTS = 50_000
+
+
+def _few(df: DataFrame) -> list | None:
+    """The rows, or None if they are more than ``MOST_ROOTS``."""
+    rows = df.limit(MOST_ROOTS + 1).collect()
+    return rows if len(rows) <= MOST_ROOTS else None
+
+
+def _chain(path: str) -> Column:
+    """Keys of the folders above a path and of the path itself, nearest last."""
+    return F.array_union(px.ancestor_keys(F.col(path)), F.array(px.root_key(F.col(path))))
+
 
 def covering_root(paths: DataFrame, targets: DataFrame, path: str = "path") -> DataFrame:
-    """Deepest enabled root at or above each path; NULL when none covers it."""
+    """Deepest enabled root at or above each path; NULL when none covers it.
+
+    Up to ``MOST_ROOTS`` roots go to every task as a table of keys, and each path steps up its folders until
+    one is a root: no row of ``paths`` moves. More roots are met by an equi-join over the exploded folders.
+    """
     roots = targets.where("is_enabled").select(
         px.root_key(F.col("full_path")).alias("key"), "source_type", F.col("full_path").alias("root")
     )
+    few = _few(roots.distinct())
+    covered = F.col("covering_root").isNotNull().alias("is_covered")
+    if few is None:
+        return _covering_by_join(paths, roots, path).select("*", covered)
+    by_key: dict[tuple[str, str], str] = {}
+    for r in few:
+        if r.source_type is not None and r.key is not None:
+            known = by_key.get((r.source_type, r.key), "")
+            by_key[r.source_type, r.key] = max(known, r.root, key=lambda x: (len(x), x))
+    shared = paths.sparkSession.sparkContext.broadcast(by_key)
+
+    @F.pandas_udf("string")
+    def deepest(chains: pd.Series, kinds: pd.Series) -> pd.Series:
+        known = shared.value
+        up = (next((known[kind, key] for key in reversed(chain) if (kind, key) in known), None) if chain is not None else None for chain, kind in zip(chains, kinds, strict=True))
+        return pd.Series(list(up), dtype=object)
+
+    return paths.withColumn("covering_root", deepest(_chain(path), F.col("source_type"))).select("*", covered)
+
+
+def _covering_by_join(paths: DataFrame, roots: DataFrame, path: str) -> DataFrame:
     keyed = paths.select(path, "source_type").distinct()
-    own = F.array(px.root_key(F.col(path)))
-    candidates = keyed.withColumn("key", F.explode_outer(F.array_union(px.ancestor_keys(F.col(path)), own)))
+    candidates = keyed.withColumn("key", F.explode_outer(_chain(path)))
     best = (
         candidates.join(roots, ["key", "source_type"])
         .groupBy(path, "source_type")
-        .agg(F.max_by("root", F.length("root")).alias("covering_root"))
-    )
-    return paths.join(best, [path, "source_type"], "left").withColumn(
-        "is_covered", F.col("covering_root").isNotNull()
+        .agg(F.max_by("root", F.struct(F.length("root"), "root")).alias("covering_root"))
     )
+    return paths.join(best, [path, "source_type"], "left")
 
 
 def overlapping_roots(paths: DataFrame, targets: DataFrame, path: str = "path") -> DataFrame:
-    """Pairs (path, root) where one equals or contains the other."""
+    """Pairs (path, root) where one equals or contains the other.
+
+    Up to ``MOST_ROOTS`` roots, with their folders, are broadcast; more are joined by a shuffle.
+    """
     left = paths.select(path, px.root_key(F.col(path)).alias("pk")).distinct()
-    right = targets.select(F.col("full_path").alias("root"), px.root_key(F.col("full_path")).alias("rk"))
+    right = targets.select(F.col("full_path").alias("root"), px.root_key(F.col("full_path")).alias("rk")).distinct()
+    right = F.broadcast(right) if _few(right) is not None else right
 
     def upwards(df: DataFrame, key: str) -> DataFrame:
         chain = F.array_union(px.ancestor_keys(F.col(key)), F.array(key))
         return df.withColumn("up", F.explode_outer(chain))
 
     below = upwards(left, "pk").join(right, F.col("up") == F.col("rk")).select(path, "root")
-    above = upwards(right, "rk").join(left, F.col("up") == F.col("pk")).select(path, "root")
+    above = left.join(upwards(right, "rk"), F.col("up") == F.col("pk")).select(path, "root")
     return below.unionByName(above).distinct()

@@ -76,7 +76,9 @@ def _changes(
         gone = gone.where(F.lit(False))
     # What is listed, and what is missing inside the scope; nothing else is compared.
     compared = corpus.files.join(seen.unionByName(gone), "normalized_path", "left_semi")
-    diff = cut_lineage(mn.diff_snapshot(compared, listing))
+    # A whole listing is compared by folders first; a part of one names what may have changed itself.
+    compare = mn.digest_diff if delete_missing else mn.diff_snapshot
+    diff = cut_lineage(compare(compared, listing))
     todo = diff.where(F.col("change").isin("new", "changed"))
     work = listing.join(todo.select("normalized_path"), "normalized_path", "left_semi")
     if "bytes" in listing.columns:

@@ -174,6 +174,22 @@ def crawl_frontier(spark, sf):
     return lk.crawl_frontier(v.tree_links(spark, sf), seeds, 6, ["spam-farm"])
 
 
+PAGES_OF_A_ROOT = 12
+
+
+@query("crawl_many_roots",
+    f"with recursive links as ({v.TREE_LINKS_SQL}), hosts as (select regexp_extract(url, '^[a-z]+://[^/]+') as root, arg_min(url, page_id) as url from pages group by 1),"
+    " walk as (select root, url, 0 as depth from hosts where not contains(lower(url), 'spam-farm') union select root, dst_url, depth + 1 from walk join links on src_url = url"
+    " where depth < 5 and not contains(lower(dst_url), 'spam-farm')),"
+    " first as (select root, url, min(depth) as depth from walk group by root, url)"
+    f" select root, url, depth from first qualify row_number() over (partition by root order by depth, url) <= {PAGES_OF_A_ROOT}")
+def crawl_many_roots(spark, sf):
+    """From the first page of every host at once, each with a quota of pages."""
+    pages = v.table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/]+", 0).alias("root"))
+    roots = pages.groupBy("root").agg(F.min_by("url", "page_id").alias("url"))
+    return lk.crawl_roots(v.tree_links(spark, sf), roots, 5, ["spam-farm"], PAGES_OF_A_ROOT)
+
+
 @query("linked_pages", f"select page_id from pages where url in (select dst_url from ({v.TREE_LINKS_SQL}) where contains(src_url, '/en/'))")
 def linked_pages(spark, sf):
     links = v.tree_links(spark, sf).where("src_url like '%/en/%'").select(ux.normalize_url(F.col("dst_url")).alias("dst_url"))
