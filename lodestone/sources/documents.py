@@ -15,6 +15,7 @@ from lodestone.functions import urls as ux
 from lodestone.operators.extract import extract_pages, extract_text, pin_tag_and_names
 from lodestone.schemas import FAILURES, FILES, conform
 from lodestone.session import cut_lineage
+from lodestone.sources import listing as ls
 
 
 def from_documents(df: DataFrame, mapping: Mapping[str, Column | str]) -> DataFrame:
@@ -86,39 +87,34 @@ def list_files(
 ) -> DataFrame:
     """Files below ``root``: path, name, extension, times, size and, if asked, bytes.
 
-    Extensions, depth and rules are applied to the listing, before any content is read
-    (``binaryFile`` reads the ``content`` column only where it is selected).
+    Empty files are listed, and names that begin with ``_`` or ``.``. Extensions, depth and rules are applied to the
+    listing, before any content is read.
     """
     root = root if root == "/" else root.rstrip("/")
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .withColumn("normalized_path", F.regexp_replace("path", r"^file:/+", "/"))
-    )
+    listing = ls.listing(spark, root, depth).withColumn("normalized_path", F.regexp_replace("path", r"^file:/+", "/"))
+    plain_root = ls.local_path(root)
     wanted = sorted(extensions) if extensions else ext.known_extensions()
     listing = listing.withColumn("file_name", px.name_of(F.col("normalized_path"))).withColumn(
         "file_ext", ext.resolve_extension(F.col("file_name"), wanted)
     )
     listing = listing.where(F.col("file_ext").isNotNull())
     if depth is not None:
-        listing = listing.where(px.within_depth(F.col("normalized_path"), root, depth))
+        listing = listing.where(px.within_depth(F.col("normalized_path"), plain_root, depth))
     rules = list(rules)
     if rules:
-        below = F.substring("normalized_path", F.lit(len(px.path_prefix(root)) + 1), F.length("normalized_path"))
+        below = F.substring("normalized_path", F.lit(len(px.path_prefix(plain_root)) + 1), F.length("normalized_path"))
         listing = listing.where(
             ~rl.excluded_by_name(below, rules) & ~rl.excluded_by_path(F.col("normalized_path"), rules)
         )
-    seconds = F.unix_micros("modificationTime") / 1e6
-    return listing.select(
+    found = listing.select(
         "normalized_path",
         "file_name",
         "file_ext",
-        seconds.alias("created_at"),
-        seconds.alias("mtime"),
+        F.col("mtime").alias("created_at"),
+        "mtime",
         F.col("length").alias("size"),
-        *([F.col("content").alias("bytes")] if with_bytes else []),
     )
+    return ls.with_bytes(found, "normalized_path") if with_bytes else found
 
 
 def read_files(

@@ -1,10 +1,14 @@
-"""Documents as a stream: every micro-batch refreshes the stored corpus."""
+"""Documents as a stream: every micro-batch refreshes the stored corpus; listings as a stream: what each path did."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.plans.refresh import refresh_stored
 from lodestone.sources.corpus import latest_version
@@ -28,3 +32,45 @@ def refresh_stream(documents: DataFrame, path: str, checkpoint: str, as_of: floa
     return documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, _id: apply_batch(batch, path, as_of)
     )
+
+
+CHANGES = "normalized_path string, change string, listed_at timestamp, size bigint, mtime double"
+_STATE = "mtime double, size bigint, seen timestamp"
+
+
+def path_changes(listings: DataFrame, gone_after: str = "1 hour", lateness: str = "0 seconds") -> DataFrame:
+    """What a stream of listings says about each path: new, changed, unchanged, and gone.
+
+    ``listings`` holds (normalized_path, mtime, size, listed_at); a root is listed again and again. The state is one row
+    per path: what it was and when it was last seen. A path that has not been listed for ``gone_after`` of event time, while
+    other listings went on, is gone and leaves the state; if it comes back it is new. Of several rows of a path in
+    one batch each is judged, in order of their times.
+    """
+    limit = pd.Timedelta(gone_after)
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (path,) = key
+        if state.hasTimedOut:
+            mtime, size, seen = state.get
+            state.remove()
+            yield pd.DataFrame({"normalized_path": [path], "change": ["gone"], "listed_at": [pd.Timestamp(seen) + limit], "size": [size], "mtime": [mtime]})
+            return
+        found = pd.concat(list(batches)).sort_values(["listed_at", "mtime", "size"])
+        known, told = state.get if state.exists else None, []
+        for row in found.itertuples():
+            change = "new" if known is None else "unchanged" if tuple(known[:2]) == (row.mtime, row.size) else "changed"
+            if known is not None and row.listed_at - pd.Timestamp(known[2]) > limit:
+                change = "new"
+            known = (float(row.mtime), int(row.size), max(row.listed_at, pd.Timestamp(known[2])) if known else row.listed_at)
+            told.append((path, change, row.listed_at, row.size, row.mtime))
+        state.update((known[0], known[1], known[2].to_pydatetime()))
+        due = int((known[2] + limit).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(told, columns=["normalized_path", "change", "listed_at", "size", "mtime"])
+
+    rows = listings.select("normalized_path", "mtime", F.col("size").cast("bigint").alias("size"), "listed_at")
+    return (
+        rows.withWatermark("listed_at", lateness)
+        .groupBy("normalized_path")
+        .applyInPandasWithState(judge, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    )
