@@ -16,7 +16,7 @@ from itertools import accumulate, groupby
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import extensions as ext
@@ -162,6 +162,40 @@ def _row_parser(helpers: dict):
     return parse
 
 
+def piece_function(spark: SparkSession, name: str = "extract_pieces", extractors: dict[str, Callable] | None = None) -> None:
+    """Register the table function ``name`` (file_name, bytes) -> (piece, text, error) for SQL text.
+
+    It reads with the built-in readers, those of ``register_extractor``, and ``extractors`` (extension: function of the
+    bytes). A reader that returns a text gives one piece, one that returns or yields several gives a row each. A file
+    whose reader fails has one more row with the error, after the pieces that came before; a file without a
+    reader has an error, one without bytes no rows.
+    """
+    readers = {e: (lambda data, f=f: f(data.decode("utf-8", "replace"))) for e, f in {**dict.fromkeys(PLAIN, str), **_HELPERS}.items()}
+    readers |= _REGISTERED
+    readers |= {ext.tidy_extension(e): f for e, f in (extractors or {}).items()}
+    by_length = sorted(readers, key=len, reverse=True)
+
+    @F.udtf(returnType="piece int, text string, error string")
+    class Pieces:
+        def eval(self, file_name: str, data: bytes):
+            if data is None:
+                return
+            lowered = (file_name or "").lower()
+            reader = next((readers[e] for e in by_length if lowered.endswith(e)), None)
+            number = 0
+            try:
+                if reader is None:
+                    raise ValueError(f"no reader for {file_name}")
+                found = reader(bytes(data))
+                for piece in [found] if isinstance(found, str) else found:
+                    yield number, piece, None
+                    number += 1
+            except Exception as error:  # noqa: BLE001 - any failure belongs to its row
+                yield number, None, str(error) or type(error).__name__
+
+    spark.udtf.register(name, Pieces)
+
+
 def _one_column(function):
     @F.pandas_udf("string")
     def apply(value: pd.Series) -> pd.Series:

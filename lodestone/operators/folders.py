@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths as px
 from lodestone.functions import terms as tm
+from lodestone.operators import rank as rk
 from lodestone.operators import scope as so
 from lodestone.request import SearchRequest
 
@@ -65,16 +66,10 @@ def search_folders(scoped: DataFrame, request: SearchRequest) -> DataFrame:
 
 def folders_of_first_file(rows: DataFrame, request: SearchRequest) -> DataFrame:
     """Folder results of a pattern search: dates of the first file visited."""
-    clicks = F.col("click_count") + F.col("imported_click_count")
-    if request.sort_by == "default":
-        order = F.struct("has_top_tag", clicks, "mtime", "file_id")
-    else:
-        asked = {"created": F.col("created_at"), "modified": F.col("mtime"), "click_count": clicks}[
-            request.sort_by
-        ]
-        order = F.struct("importance", -asked if request.sort_order == "asc" else asked, "file_id")
-    first = rows.groupBy("folder_path").agg(F.max_by(F.struct("created_at", "mtime"), order).alias("f"))
-    return _as_results(first.select("folder_path", "f.created_at", "f.mtime"), request)
+    visits = Window.partitionBy("folder_path").orderBy(*rk.regex_order_keys(request.sort_by, request.sort_order))
+    # every task passes on one file of a folder at most
+    first = rows.withColumn("_visit", F.row_number().over(visits)).where(F.col("_visit") == 1)
+    return _as_results(first.select("folder_path", "created_at", "mtime"), request)
 
 
 def folder_rollup(files: DataFrame, targets: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def regex_order_keys(sort_by: str = "default", sort_order: str = "desc") -> list
     if sort_by == "default":
         return [F.col("has_top_tag").desc(), clicks.desc(), F.col("mtime").desc(), F.col("file_id").desc()]
     column = clicks if sort_by == "click_count" else F.col(_order_column(sort_by))
-    asked = column.asc() if sort_order == "asc" else column.desc()
+    asked = column.asc_nulls_last() if sort_order == "asc" else column.desc()
     return [F.col("importance").desc(), asked, F.col("file_id").desc()]
 
 

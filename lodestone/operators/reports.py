@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.terms import casefold
@@ -77,6 +77,26 @@ def run_statistics(diff: DataFrame, failures: DataFrame) -> DataFrame:
     )
 
 
+def change_counts() -> list[Column]:
+    """What a diff counts of itself while it is written."""
+    return [F.count_if(F.col("change") == kind).alias(kind) for kind in ("new", "changed", "unchanged", "missing")]
+
+
+def error_count() -> Column:
+    """What an extraction counts of itself while it is written."""
+    return F.count_if(F.col("error").isNotNull()).alias("errors")
+
+
+def observed_statistics(spark: SparkSession, changes: dict, reading: dict) -> DataFrame:
+    """The numbers of :func:`run_statistics`, from what was observed in the passes that a refresh makes anyway.
+
+    Only new and changed files are read, so every error is one of them.
+    """
+    again = changes["new"] + changes["changed"]
+    row = (again + changes["unchanged"], again - reading["errors"], changes["unchanged"], changes["missing"], reading["errors"])
+    return spark.createDataFrame([row], "files bigint, writes bigint, skipped bigint, removed bigint, errors bigint")
+
+
 def synonym_conflicts(rules: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Terms that more than one group claims, or that are exclusion rules as well."""
     claims = rules.groupBy(casefold("term").alias("term")).agg(

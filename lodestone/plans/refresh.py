@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestone import schemas as sch
@@ -64,6 +64,7 @@ class Changes:
     bodies: DataFrame
     failed: DataFrame
     failures: DataFrame
+    statistics: DataFrame  # counted while the diff and the extraction were written
 
 
 def _changes(
@@ -78,7 +79,8 @@ def _changes(
     compared = corpus.files.join(seen.unionByName(gone), "normalized_path", "left_semi")
     # A whole listing is compared by folders first; a part of one names what may have changed itself.
     compare = mn.digest_diff if delete_missing else mn.diff_snapshot
-    diff = cut_lineage(compare(compared, listing))
+    changes = Observation()
+    diff = cut_lineage(compare(compared, listing).observe(changes, *rp.change_counts()))
     todo = diff.where(F.col("change").isin("new", "changed"))
     work = listing.join(todo.select("normalized_path"), "normalized_path", "left_semi")
     if "bytes" in listing.columns:
@@ -86,7 +88,8 @@ def _changes(
     else:
         work = work.withColumn("error", F.lit(None).cast("string"))
     # Extraction is the costly step and three tables follow from it.
-    extracted = cut_lineage(work.drop("bytes"))
+    reading = Observation()
+    extracted = cut_lineage(work.drop("bytes").observe(reading, rp.error_count()))
     docs, failed = split_failures(extracted, as_of)
     fresh = ix.build_files(docs.withColumn("indexed_at", F.lit(as_of)))
     gone = diff.where("change = 'missing'").select("normalized_path")
@@ -107,6 +110,7 @@ def _changes(
         bodies=ix.build_segments(replaced.withColumn("file_id", F.col("kept_id"))),
         failed=failed,
         failures=failures,
+        statistics=rp.observed_statistics(corpus.files.sparkSession, changes.get, reading.get),
     )
 
 
@@ -129,7 +133,7 @@ def _refresh(
         stats=None if corpus.stats is None else ix.corpus_stats(segments),
         failures=found.failures,
     )
-    return Refresh(new, found.diff, rp.run_statistics(found.diff, found.failed))
+    return Refresh(new, found.diff, found.statistics)
 
 
 def _delta(corpus: Corpus, found: Changes) -> Delta:
@@ -169,7 +173,7 @@ def refresh_stored(
     corpus = read_corpus(spark, path)
     found = _changes(corpus, listing, as_of, lambda rows: _of_scope(rows, scope), delete_missing)
     write_delta(_delta(corpus, found), path, since)
-    return Refresh(read_corpus(spark, path), found.diff, rp.run_statistics(found.diff, found.failed))
+    return Refresh(read_corpus(spark, path), found.diff, found.statistics)
 
 
 def refresh_targets(corpus: Corpus, targets: DataFrame, listings: DataFrame, as_of: float) -> Refresh:
