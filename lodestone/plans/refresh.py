@@ -1,4 +1,4 @@
-"""Refresh of one or more roots: diff, extract what changed, and bring the corpus in line or append a delta."""
+"""Refresh of one or more roots: diff, extract what changed, and bring the corpus in line or add a version."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from lodestone.operators import reports as rp
 from lodestone.operators import scope as so
 from lodestone.operators.extract import extract_text
 from lodestone.session import cut_lineage
-from lodestone.sources.corpus import Corpus, Delta, latest_version, read_corpus, write_delta
+from lodestone.sources.corpus import Changed, Corpus, read_corpus, write_changes
 from lodestone.sources.documents import split_failures
 
 
@@ -136,7 +136,7 @@ def _refresh(
     return Refresh(new, found.diff, found.statistics)
 
 
-def _delta(corpus: Corpus, found: Changes) -> Delta:
+def _changed(corpus: Corpus, found: Changes) -> Changed:
     """The changes as tables to be stored: new rows, replaced ids, signed counts."""
     again = cut_lineage(found.updated.unionByName(found.errors))
     removed = corpus.files.join(found.gone, "normalized_path", "left_semi").select("file_id")
@@ -147,11 +147,11 @@ def _delta(corpus: Corpus, found: Changes) -> Delta:
     terms = ix.term_stats(postings).withColumn("sign", F.lit(1)).unionByName(ix.term_stats(old).withColumn("sign", F.lit(-1)))
     was = corpus.segments.join(found.dropped, "file_id", "left_semi").select("n_tokens", F.lit(-1).alias("sign"))
     counted = bodies.select("n_tokens", F.lit(1).alias("sign")).unionByName(was)
-    return Delta(
+    replaced = again.select("file_id").unionByName(removed).select("file_id", F.lit("file").alias("kind"))
+    return Changed(
         files=again,
-        replaced_files=again.select("file_id").unionByName(removed),
+        replaced=replaced.unionByName(found.dropped.select("file_id", F.lit("body").alias("kind"))),
         segments=bodies.withColumn("bucket", ix.id_bucket(F.col("file_id"))),
-        replaced_bodies=found.dropped,
         postings=postings,
         terms=terms.groupBy("kind", "term").agg(F.sum(signed).alias("df")).where("df <> 0"),
         totals=counted.agg(
@@ -166,13 +166,12 @@ def refresh_stored(
     path: str, listing: DataFrame, root: str, as_of: float, delete_missing: bool = True, depth: int | None = None,
     extensions: Iterable[str] | None = None, rules: Iterable[str] = (),
 ) -> Refresh:
-    """Refresh a stored corpus. Only what changed is written, as a delta."""
+    """Refresh a stored corpus. Only what changed is written, as the next version."""
     spark = listing.sparkSession
     scope = {"root": root, "depth": depth, "extensions": extensions, "rules": list(rules)}
-    since = latest_version(spark, path)
     corpus = read_corpus(spark, path)
     found = _changes(corpus, listing, as_of, lambda rows: _of_scope(rows, scope), delete_missing)
-    write_delta(_delta(corpus, found), path, since)
+    write_changes(_changed(corpus, found), path)
     return Refresh(read_corpus(spark, path), found.diff, found.statistics)
 
 

@@ -82,6 +82,20 @@ CORPUS_STATS = T.StructType(
     ]
 )
 
+# As stored: sums, of which each version adds its own.
+TOTALS = T.StructType([T.StructField("n_docs", T.LongType()), T.StructField("tokens", T.DoubleType())])
+
+# Ids whose rows in older versions no longer count: as a file, or as a body.
+REPLACED = T.StructType([T.StructField("file_id", T.LongType()), T.StructField("kind", T.StringType())])
+
+VERSIONS = T.StructType(
+    [
+        T.StructField("number", T.IntegerType()),
+        T.StructField("whole", T.BooleanType()),
+        T.StructField("given", T.ArrayType(T.StringType())),
+    ]
+)
+
 FAILURES = T.StructType(
     [
         T.StructField("normalized_path", T.StringType()),

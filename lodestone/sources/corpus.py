@@ -1,28 +1,24 @@
 """The tables of a corpus, and how they are stored.
 
-A stored corpus is a folder of immutable generations and a small log. A writer fills a
-new folder and then appends one log row, so readers always see whole generations. A
-generation is a base (all rows) or a delta: only the rows that a refresh changed, with
-the ids that they replace. Readers merge the newest base with the deltas after it;
-``compact`` writes the merged rows as a new base.
+A stored corpus is one Parquet table for each of its tables, in folders by ``version``. The first version holds all rows; a
+refresh adds a version with the rows that changed and the ids whose older rows they replace. Readers take each
+row that no later version replaces. A version counts once it stands in the table ``versions``, which is written last: a
+job that fails leaves nothing that is read, and the next one overwrites what it left. One job writes at a time.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, fields, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone import schemas as sch
 from lodestone.operators import grams as gr
 from lodestone.operators import index as ix
 from lodestone.session import cut_lineage
 
-LOG = "log"
-
 
 @dataclass(frozen=True)
 class Corpus:
@@ -104,186 +100,161 @@ def _laid_out(df: DataFrame, name: str, parts: int) -> DataFrame:
     return df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
-def _write(df: DataFrame, name: str, root: str, parts: int) -> None:
-    writer = _laid_out(df, name, parts).write.mode("errorifexists")
-    if name in ("files", "segments"):
-        writer = writer.partitionBy("source_type" if name == "files" else "bucket")
-    writer.parquet(f"{root}/{name}")
+LAYOUTS = {
+    "files": sch.FILES,
+    "segments": sch.STORED_SEGMENTS,
+    "postings": sch.POSTINGS,
+    "terms": sch.TERM_STATS,
+    "totals": sch.TOTALS,
+    "failures": sch.FAILURES,
+    "query_clicks": sch.QUERY_CLICKS,
+    "targets": sch.TARGETS,
+    "grams": sch.GRAMS,
+    "gram_counts": sch.GRAM_COUNTS,
+    "replaced": sch.REPLACED,
+    "versions": sch.VERSIONS,
+}
+#: Folders inside a version.
+FOLDERS = {"files": "source_type", "segments": "bucket"}
+#: Tables whose rows belong to a file, and the kind of replacement that takes them away.
+REPLACED_BY = {"files": "file", "segments": "body", "postings": "body"}
+
+
+def _write(df: DataFrame, name: str, path: str, version: int, parts: int | None = None) -> None:
+    writer = (_laid_out(df, name, parts) if parts else df).write.mode("overwrite")
+    if name in FOLDERS:
+        writer = writer.partitionBy(FOLDERS[name])
+    writer.parquet(f"{path}/{name}/version={version}")
 
 
-def write_corpus(corpus: Corpus, path: str, parts: int | None = None, body_grams: bool = False) -> str:
-    """Store a corpus as the newest snapshot and return its folder.
+def _stored(spark: SparkSession, path: str, name: str, versions: list[int]) -> DataFrame:
+    """The rows of some versions of a table, with their version."""
+    schema = T.StructType([*LAYOUTS[name].fields, T.StructField("version", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{path}/{name}").where(F.col("version").isin(versions))
 
-    Grams of names and words are always stored; those of bodies, which patterns are looked up by, on demand: they
-    take about as much room as the postings.
+
+def _versions(spark: SparkSession, path: str) -> list:
+    """(version, whole, given) of the versions that count, in order: one row for each refresh since the corpus was written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return []
+    return spark.read.schema(sch.VERSIONS).parquet(f"{path}/versions/*").orderBy("number").collect()
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    return max((v.number for v in _versions(spark, path)), default=None)
+
+
+def _declare(spark: SparkSession, path: str, version: int, whole: bool, given: list[str]) -> None:
+    row = spark.createDataFrame([(version, whole, sorted(given))], sch.VERSIONS)
+    _write(row.coalesce(1), "versions", path, version)
+
+
+def totals_of(segments: DataFrame) -> DataFrame:
+    return segments.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("double").alias("tokens"))
+
+
+def write_corpus(corpus: Corpus, path: str, parts: int | None = None, body_grams: bool = False) -> int:
+    """Store a corpus as a version that holds all rows, and return the version.
 
     Bodies are written first; postings, counts and statistics are then derived from
-    what was written, so no input is read or parsed twice.
+    what was written, so no input is read or parsed twice. Grams of names and words are always stored; those of
+    bodies, which patterns are looked up by, on demand: they take about as much room as the postings.
     """
     spark = corpus.files.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    version = claim_version(spark, path)
-    root = f"{path}/snapshot={version:06d}-{uuid.uuid4().hex[:8]}"
-    _write(corpus.files, "files", root, parts)
-    _write(corpus.segments, "segments", root, parts)
-    segments = spark.read.schema(sch.STORED_SEGMENTS).parquet(f"{root}/segments")
-    postings = corpus.postings if corpus.postings is not None else ix.build_postings(segments)
-    _write(postings, "postings", root, parts)
-    stored = spark.read.schema(sch.POSTINGS).parquet(f"{root}/postings")
-    _write(ix.term_stats(stored), "terms", root, parts)
-    _write(ix.corpus_stats(segments), "stats", root, parts)
-    files = spark.read.schema(sch.FILES).parquet(f"{root}/files")
-    terms = spark.read.schema(sch.TERM_STATS).parquet(f"{root}/terms")
+    version = (latest_version(spark, path) or 0) + 1
     body_grams = body_grams or corpus.body_grams
-    _write(gr.build_grams(files, segments if body_grams else None, terms), "grams", root, parts)
-    _write(gr.gram_counts(spark.read.schema(sch.GRAMS).parquet(f"{root}/grams")), "gram_counts", root, parts)
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        _write(df, name, path, version, parts)
+        return _stored(spark, path, name, [version]).drop("version")
+
+    files, segments = write(corpus.files, "files"), write(corpus.segments, "segments")
+    postings = write(corpus.postings if corpus.postings is not None else ix.build_postings(segments), "postings")
+    terms = write(ix.term_stats(postings), "terms")
+    write(totals_of(segments), "totals")
+    grams = write(gr.build_grams(files, segments if body_grams else None, terms), "grams")
+    write(gr.gram_counts(grams), "gram_counts")
+    given = ["grams", *(["body_grams"] if body_grams else [])]
     for name in ("failures", "query_clicks", "targets"):
-        table = getattr(corpus, name)
-        if table is not None:
-            _write(table, name, root, parts)
-    given = [f.name for f in fields(corpus) if isinstance(getattr(corpus, f.name), DataFrame)]
-    given = sorted({*given, "grams", "gram_counts", *(["body_grams"] if body_grams else [])})
-    _append(spark, path, version, root, given, "base")
-    return root
+        if getattr(corpus, name) is not None:
+            write(getattr(corpus, name), name)
+            given.append(name)
+    _declare(spark, path, version, True, given)
+    return version
 
 
 @dataclass(frozen=True)
-class Delta:
-    """What a refresh changed. ``terms`` and ``totals`` (n_docs, tokens) are signed changes."""
+class Changed:
+    """What a refresh changed. ``replaced`` holds (file_id, kind); ``terms`` and ``totals`` are signed changes."""
 
     files: DataFrame
-    replaced_files: DataFrame
     segments: DataFrame
-    replaced_bodies: DataFrame
     postings: DataFrame
+    replaced: DataFrame
     terms: DataFrame
     totals: DataFrame
     failures: DataFrame | None = None
 
 
-def write_delta(delta: Delta, path: str, since: int) -> str:
-    """Append a delta to the generations up to version ``since`` and return its folder."""
-    spark = delta.files.sparkSession
-    version = claim_version(spark, path)
-    root = f"{path}/delta={version:06d}-{uuid.uuid4().hex[:8]}"
-    given = [f.name for f in fields(delta) if getattr(delta, f.name) is not None]
+def write_changes(changed: Changed, path: str) -> int:
+    """Add what changed as the next version, and return it."""
+    spark = changed.files.sparkSession
+    version = latest_version(spark, path) + 1
+    given = [f.name for f in fields(changed) if getattr(changed, f.name) is not None]
     for name in given:
-        writer = getattr(delta, name).write.mode("errorifexists")
-        if name in ("files", "segments"):
-            writer = writer.partitionBy("source_type" if name == "files" else "bucket")
-        writer.parquet(f"{root}/{name}")
-    if latest_version(spark, path) != since:
-        raise RuntimeError(f"{path} was written by another job since version {since}")
-    _append(spark, path, version, root, given, "delta")
-    return root
-
-
-def compact(spark: SparkSession, path: str, parts: int | None = None) -> str:
-    """Write the merged generations as a new base. Older folders stay for readers that use them."""
-    return write_corpus(read_corpus(spark, path), path, parts)
-
+        _write(getattr(changed, name), name, path, version)
+    _declare(spark, path, version, False, given)
+    return version
 
-def _append(spark: SparkSession, path: str, version: int, root: str, given: list[str], kind: str) -> None:
-    entry = spark.range(1).select(
-        F.lit(version).cast("bigint").alias("version"),
-        F.lit(root).alias("root"),
-        F.array(*map(F.lit, given)).alias("given"),
-        F.lit(kind).alias("kind"),
-    )
-    entry.coalesce(1).write.mode("append").parquet(f"{path}/{LOG}")
-
-
-def claim_version(spark: SparkSession, path: str) -> int:
-    """The next free version, claimed by a file that only one writer can create."""
-    version = (latest_version(spark, path) or 0) + 1
-    while True:
-        claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/claims/{version:06d}")
-        if claim.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(claim):
-            return version
-        version += 1
-
-
-def _log(spark: SparkSession, path: str) -> DataFrame | None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{LOG}")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.schema("version bigint, root string, given array<string>, kind string").parquet(f"{path}/{LOG}")
 
+def compact(spark: SparkSession, path: str, parts: int | None = None) -> int:
+    """Write the merged rows as a version of their own; readers start there. Older folders stay for readers that use them."""
+    return write_corpus(read_corpus(spark, path), path, parts)
 
-def latest_version(spark: SparkSession, path: str) -> int | None:
-    log = _log(spark, path)
-    return None if log is None else log.agg(F.max("version")).first()[0]
 
+def read_corpus(spark: SparkSession, path: str) -> Corpus:
+    """The newest whole version and what changed since."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no corpus at {path}")
+    first = max(v.number for v in versions if v.whole)
+    since = [v for v in versions if v.number >= first]
+    base, later = since[0], since[1:]
+    numbers = [v.number for v in since]
 
-LAYOUTS = {
-    "files": sch.FILES,
-    "segments": sch.STORED_SEGMENTS,
-    "postings": sch.POSTINGS,
-    "terms": sch.TERM_STATS,
-    "stats": sch.CORPUS_STATS,
-    "failures": sch.FAILURES,
-    "query_clicks": sch.QUERY_CLICKS,
-    "targets": sch.TARGETS,
-    "grams": sch.GRAMS,
-    "gram_counts": sch.GRAM_COUNTS,
-}
+    def rows(name: str, at: list[int] = numbers) -> DataFrame:
+        return _stored(spark, path, name, at)
 
+    def newest(name: str) -> DataFrame | None:
+        at = [v.number for v in since if name in v.given]
+        return rows(name, at[-1:]).drop("version") if at else None
 
-def read_corpus(spark: SparkSession, path: str) -> Corpus:
-    """The newest base, merged with the deltas after it."""
-    log = _log(spark, path)
-    if log is None:
-        raise FileNotFoundError(f"no corpus at {path}")
-    base = log.where("kind is null or kind = 'base'").agg(F.max("version")).first()[0]
-    # one row for each generation since the last compaction
-    generations = log.where(F.col("version") >= base).orderBy("version").collect()
-    always = {"files", "segments", "postings", "terms", "stats"}
-    first, deltas = generations[0], generations[1:]
+    sums = rows("totals").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
     tables = {
-        name: spark.read.schema(schema).parquet(f"{first.root}/{name}")
-        for name, schema in LAYOUTS.items()
-        if name in always or name in first.given
+        "stats": sums.select("n_docs", F.try_divide("tokens", "n_docs").alias("avg_tokens")),
+        **{name: newest(name) for name in ("failures", "query_clicks", "targets")},
     }
-    bodies = "body_grams" in first.given
-    return Corpus(**(_merged(spark, tables, deltas, bodies) if deltas else tables), body_grams=bodies)
-
-
-def _merged(spark: SparkSession, tables: dict[str, DataFrame], deltas: list, body_grams: bool) -> dict[str, DataFrame]:
-    """Rows of the base and of each delta that no later generation replaces."""
-
-    def of(row, name: str, schema) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{row.root}/{name}")
-
-    def every(parts: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, parts)
-
-    merged = dict(tables)
-    replaced_by = {"files": "replaced_files", "segments": "replaced_bodies", "postings": "replaced_bodies"}
-    for name, replaced in replaced_by.items():
-        since = F.lit(0).cast("bigint").alias("_since")
-        parts = [tables[name].select("*", since)]
-        parts += [of(d, name, LAYOUTS[name]).select("*", F.lit(d.version).alias("_since")) for d in deltas]
-        gone = every([of(d, replaced, "file_id bigint").select("file_id", F.lit(d.version).alias("_gone")) for d in deltas])
-        gone = gone.groupBy("file_id").agg(F.max("_gone").alias("_gone"))
-        rows = every(parts).join(gone, "file_id", "left").where("_gone is null or _since >= _gone")
-        merged[name] = rows.select(*tables[name].columns)
-    if "grams" in tables:
-        # What changed since the base is cut on reading; the base's counts go on choosing which gram to ask for.
-        ids = [of(d, name, "file_id bigint").select("file_id") for d in deltas for name in ("replaced_files", "replaced_bodies", "files", "segments")]
-        changed = cut_lineage(every(ids).distinct())
-        new = gr.build_grams(
-            merged["files"].join(changed, "file_id", "left_semi"),
-            merged["segments"].join(changed, "file_id", "left_semi") if body_grams else None,
-            every([of(d, "terms", sch.TERM_STATS) for d in deltas]).where("df > 0"),
-        )
-        merged["grams"] = tables["grams"].join(changed, "file_id", "left_anti").unionByName(new)
-    counts = every([tables["terms"], *(of(d, "terms", sch.TERM_STATS) for d in deltas)])
-    merged["terms"] = counts.groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df > 0")
-    totals = tables["stats"].select("n_docs", F.coalesce(F.col("n_docs") * F.col("avg_tokens"), F.lit(0.0)).alias("tokens"))
-    totals = every([totals, *(of(d, "totals", "n_docs bigint, tokens double") for d in deltas)])
-    sums = totals.agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens"))
-    merged["stats"] = sums.select("n_docs", F.try_divide("tokens", "n_docs").alias("avg_tokens"))
-    failing = [d for d in deltas if "failures" in d.given]
-    if failing:
-        merged["failures"] = of(failing[-1], "failures", sch.FAILURES)
-    return merged
+    if not later:
+        tables |= {name: rows(name).drop("version") for name in (*REPLACED_BY, "terms")}
+        if "grams" in base.given:
+            tables |= {name: rows(name).drop("version") for name in ("grams", "gram_counts")}
+        return Corpus(**tables, body_grams="body_grams" in base.given)
+
+    changes = [v.number for v in later]
+    gone = rows("replaced", changes).groupBy("file_id", "kind").agg(F.max("version").alias("gone"))
+    for name, kind in REPLACED_BY.items():
+        of_kind = gone.where(F.col("kind") == kind).select("file_id", "gone")
+        alive = rows(name).join(of_kind, "file_id", "left").where("gone is null or version >= gone")
+        tables[name] = alive.drop("gone", "version").select(*LAYOUTS[name].fieldNames())
+    tables["terms"] = rows("terms").groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    if "grams" in base.given:
+        # What changed is cut on reading; the counts of the whole version go on choosing which gram to ask for.
+        changed = cut_lineage(gone.select("file_id").unionByName(rows("files", changes).select("file_id")).unionByName(rows("segments", changes).select("file_id")).distinct())
+        some = lambda df: df.join(changed, "file_id", "left_semi")
+        bodies = some(tables["segments"]) if "body_grams" in base.given else None
+        new = gr.build_grams(some(tables["files"]), bodies, rows("terms", changes).where("df > 0"))
+        old = rows("grams", [first]).drop("version").join(changed, "file_id", "left_anti")
+        tables |= {"grams": old.unionByName(new), "gram_counts": rows("gram_counts", [first]).drop("version")}
+    return Corpus(**tables, body_grams="body_grams" in base.given)

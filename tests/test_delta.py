@@ -1,12 +1,12 @@
-"""Deltas: what a stored refresh writes, what readers see, compaction, and writers that meet."""
+"""Versions: what a stored refresh writes, what readers see, compaction, and what a failed job leaves."""
 
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestone import SearchRequest, refresh_stored, search, write_corpus
-from lodestone.sources.corpus import Delta, compact, latest_version, read_corpus, write_delta
+from lodestone.sources import corpus as cp
+from lodestone.sources.corpus import compact, latest_version, read_corpus
 
 AS_OF = 1_706_745_600.0
 LISTING = "normalized_path string, file_name string, file_ext string, created_at double, mtime double, size bigint, content string"
@@ -64,22 +64,33 @@ def test_deltas_equal_a_rebuild(spark, make_corpus, stored):
 def test_a_small_refresh_writes_few_rows(spark, stored):
     path, rows = stored
     refresh_stored(path, listing(spark, ("/r/f3.md", 2.0, "one two"), ("/r/f4.md", 2.0, "three")), "/r", AS_OF, delete_missing=False)
-    folder = next(f for f in os.listdir(path) if f.startswith("delta="))
-    counts = {t: spark.read.parquet(f"{path}/{folder}/{t}").count() for t in ("files", "segments", "replaced_files", "replaced_bodies", "postings")}
-    assert counts == {"files": 2, "segments": 2, "replaced_files": 2, "replaced_bodies": 2, "postings": 3}
+    counts = {t: spark.read.parquet(f"{path}/{t}/version=2").count() for t in ("files", "segments", "replaced", "postings")}
+    assert counts == {"files": 2, "segments": 2, "replaced": 4, "postings": 3}
     again = refresh_stored(path, listing(spark, ("/r/f3.md", 2.0, "one two")), "/r", AS_OF, delete_missing=False)
     assert again.statistics.first().writes == 0
 
 
-def test_writers_that_meet_do_not_lose_a_delta(spark, stored):
+def test_what_a_failed_job_leaves_is_not_read(spark, stored, monkeypatch):
     path, _ = stored
-    corpus = read_corpus(spark, path)
-    none = {"files": corpus.files, "segments": corpus.segments, "postings": corpus.postings, "terms": corpus.terms}
-    empty = {k: t.where("false") for k, t in none.items()}
-    ids = corpus.files.select("file_id").where("false")
-    totals = spark.range(1).select(F.lit(0).cast("bigint").alias("n_docs"), F.lit(0.0).alias("tokens"))
-    delta = Delta(**empty, replaced_files=ids, replaced_bodies=ids, totals=totals)
-    write_delta(delta, path, since=1)
+    before = tables(read_corpus(spark, path))
+    new = listing(spark, ("/r/f3.md", 2.0, "one two"))
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(cp, "_declare", broken)
     with pytest.raises(RuntimeError):
-        write_delta(delta, path, since=1)
-    assert latest_version(spark, path) == 2
+        refresh_stored(path, new, "/r", AS_OF, delete_missing=False)
+    monkeypatch.undo()
+    assert latest_version(spark, path) == 1 and os.path.isdir(f"{path}/files/version=2") and tables(read_corpus(spark, path)) == before
+    refresh_stored(path, listing(spark, ("/r/f9.md", 2.0, "nine")), "/r", AS_OF, delete_missing=False)
+    after = tables(read_corpus(spark, path))
+    assert latest_version(spark, path) == 2 and ("word", "nine", 1) in after["terms"] and not [t for t in after["terms"] if t[1] == "two"]
+
+
+def test_an_empty_corpus_is_stored(spark, make_corpus, tmp_path):
+    path = str(tmp_path / "none")
+    write_corpus(make_corpus(("/a/b.md", "x")).with_(files=make_corpus(("/a/b.md", "x")).files.limit(0), segments=make_corpus(("/a/b.md", "x")).segments.limit(0)), path)
+    assert read_corpus(spark, path).files.count() == 0
+    refresh_stored(path, listing(spark, ("/r/a.md", 2.0, "first word")), "/r", AS_OF)
+    assert read_corpus(spark, path).stats.first().n_docs == 1
