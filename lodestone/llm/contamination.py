@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm.common import map_slices, text_or_empty
 
@@ -148,7 +149,7 @@ def contained(
     key_type, item_type = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     source = docs.select(F.col(key).alias("_key"), text_or_empty(text).alias("_text"))
     schema = f"`_key` {key_type}, `_item` {item_type}, n_shingles bigint, n_shared bigint"
-    ids_type = pa.int64() if item_type in ("bigint", "int") else pa.string()
+    ids_type = to_arrow_type(items.schema[item_key].dataType)
     found = None
     for block in blocks(items, item_key, item_text):
         shared = spark.sparkContext.broadcast(block)
@@ -166,7 +167,7 @@ def contained(
                 columns = [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(ids, ids_type), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_key", "_item", "n_shingles", "n_shared"])
 
-        part = map_slices(source, run, schema.replace(item_type, "bigint") if item_type == "int" else schema, 1)
+        part = map_slices(source, run, schema, 1)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -5,6 +5,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import contamination
 
 
@@ -75,3 +77,13 @@ def test_empty_tables(spark):
     assert contamination.contained(docs, items).count() == 0
     assert contamination.clean(docs, items).count() == 1
     assert contamination.contained(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+@pytest.mark.parametrize("key_type", ["tinyint", "smallint", "int", "bigint", "string", "decimal(9,2)", "date"])
+def test_items_keep_the_type_of_their_key(spark, key_type):
+    docs = spark.createDataFrame([(1, "some words that stand in an item of this test")], "doc_id int, text string")
+    items = spark.createDataFrame([("2024-01-05" if key_type == "date" else "7", "words that stand in an item")], "item_id string, text string")
+    items = items.withColumn("item_id", F.col("item_id").cast(key_type))
+    found = contamination.contained(docs, items)
+    assert found.schema["item_id"].dataType.simpleString() == key_type
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, items.first().item_id)]
