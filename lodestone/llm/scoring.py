@@ -1,127 +1,184 @@
 """LM scoring: masked pseudo-likelihood of documents under a bidirectional window network.
 
-1. ``vocabulary`` counts the tokens of all documents; the ``WORDS`` most frequent have a number of
-   their own, every other token falls by its hash into one of the remaining ``SIZE - WORDS``. The
-   probability of a shared number is divided evenly among its tokens and one unseen token.
-2. ``train`` fits the network by rounds of parameter averaging: each task starts from the shared
+1. ``tokenized`` cuts every text into tokens once and keeps them as a table: slices of documents, each
+   with its distinct tokens and the places of its tokens in that list. All later steps read it.
+2. ``vocabulary`` counts the tokens of all documents. ``side`` says how many numbers the network knows:
+   they grow as the root of the number of tokens. Seven eighths are words of their own, the most
+   frequent ones; every other token falls by its hash into one of the rest. A token of a shared number
+   gets its own share of the number's probability, by the counts of the whole corpus; one more, unseen
+   token is counted for each shared number. Shares of the ``FREQUENT`` most frequent tokens are looked
+   up in the task, those of all others come by a join with the table of counts, which has no bound.
+3. ``train`` fits the network by rounds of parameter averaging: each task starts from the shared
    parameters, masks every token of its documents in turn, learns to predict it from both sides by
    gradient steps of ``STEP`` positions, and passes its parameters on, weighted by the number of
    tokens it learned from. Spark deals the parameters out in blocks and
    streams them into averages of fixed size. All documents take part in every round.
-3. ``score`` masks every token of every document in turn and adds up the conditional
+4. ``score`` masks every token of every document in turn and adds up the conditional
    log-probabilities: the pseudo-log-likelihood of the document.
 
 Network: the embeddings of the ``WINDOW`` tokens on either side, by distance, are scaled and added,
 a hidden layer follows, then a two-level softmax (class of the number, number in the class), so that
 probabilities are exact at a cost of twice the root of the vocabulary.
 
+Bounds: at most ``MOST ** 2`` numbers and ``FREQUENT`` looked-up tokens go to the tasks. Beyond
+them nothing is dropped: further tokens share numbers, and their shares come by the join.
+
 Defined cases: a null text is an empty one; a text without tokens scores 0 and has a mean of null;
-outside the text there is an edge token; other columns and repeated rows pass through; columns named
-like an output raise ``ValueError``; without any tokens the network stays as it began; empty tables
-give empty tables.
+outside the text there is an edge token; a token that the counted corpus does not hold scores as one unseen
+token of its number; other columns and repeated rows pass through; columns named like an output or a helper
+raise ``ValueError``; without any tokens the network stays as it began; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept, map_slices, text_or_empty, word_tokens
+from lodestone.llm.common import BATCH_ROWS, kept, slices, small_batches, word_tokens
+from lodestone.llm.token_counts import GRADE, floor_of
 
-CLASSES, MEMBERS, WORDS = 32, 32, 896
-SIZE = CLASSES * MEMBERS
-EDGE = SIZE
+#: Least and greatest number of classes, which is also that of the numbers in a class; tokens looked up in a task.
+LEAST, MOST, FREQUENT = 16, 256, 1 << 17
 WINDOW, DIM, HIDDEN = 2, 16, 24
 #: Rounds of averaging, positions in a gradient step, learning rate, seed.
-ROUNDS, STEP, RATE, SEED = 1, 2_048, 0.1, 17
-#: Distinct tokens a task holds before it passes them on; tokens remembered; positions scored at once; parameters in a block.
-HELD, REMEMBERED, AT_ONCE, BLOCK = 300_000, 1 << 17, 1 << 13, 1 << 10
+ROUNDS, STEP, RATE, SEED = 1, 4_096, 0.1, 17
+#: Positions scored at once; parameters in a block; bytes of text in a slice.
+AT_ONCE, BLOCK, SLICE_BYTES = 1 << 13, 1 << 10, 4_000_000
+OUTPUT, HELPERS = ["n_tokens", "log_likelihood", "mean_log_likelihood"], ["_sizes", "_ids", "_tokens", "_times", "_row"]
 
 
-@dataclass
-class Vocabulary:
-    """Numbers of the frequent tokens, and how often each number occurs."""
+def side(tokens: int) -> int:
+    """Classes of a network for a corpus of so many tokens: a third of the fourth root, within the bounds."""
+    return min(MOST, max(LEAST, round(tokens**0.25 / 3)))
 
-    known: dict[str, int]
-    counts: np.ndarray
 
-    def number(self, token: str) -> int:
-        found = self.known.get(token)
-        return WORDS + zlib.crc32(token.encode("utf-8")) % (SIZE - WORDS) if found is None else found
+# -- tokens --------------------------------------------------------------------------------------
 
 
-class Numbers:
-    """Numbers of tokens, remembered."""
+def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a running ``_row``, kept; the first row of each slice holds the slice's tokens.
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.held = vocabulary, dict(vocabulary.known)
+    ``_tokens`` are the distinct tokens of the slice, ``_times`` their counts, ``_ids`` the place of each token
+    in that list, and ``_sizes`` the numbers of tokens of the slice's documents, whose rows follow one another.
+    """
+    names, place = docs.columns, docs.columns.index(text)
 
-    def __call__(self, tokens: list[str]) -> list[int]:
-        found = list(map(self.held.get, tokens))
-        if None in found:
-            for k, number in enumerate(found):
-                if number is None:
-                    found[k] = self.held[tokens[k]] = self.vocabulary.number(tokens[k])
-            if len(self.held) >= REMEMBERED:
-                self.held = dict(self.vocabulary.known)
-        return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, place, BATCH_ROWS, SLICE_BYTES):
+            numbers: defaultdict[str, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            sizes, parts = [], []
+            for value in batch.column(place).to_pylist():
+                tokens = word_tokens(value or "")
+                sizes.append(len(tokens))
+                parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
+            ids = np.concatenate(parts)
+            empty = [None] * (batch.num_rows - 1)
+            columns = [
+                pa.array([np.array(sizes, "<i4").tobytes(), *empty], pa.binary()),
+                pa.array([ids.astype("<i4").tobytes(), *empty], pa.binary()),
+                pa.array([list(numbers), *empty], pa.list_(pa.string())),
+                pa.array([np.bincount(ids, minlength=len(numbers)), *empty], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*names, *HELPERS[:4]])
+        pa.default_memory_pool().release_unused()
+
+    small_batches(docs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    found = docs.mapInArrow(run, f"{schema}, _sizes binary, _ids binary, _tokens array<string>, _times array<bigint>")
+    return kept(found.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, n) over all documents. Each task adds up its own counts first."""
+def token_counts(sliced: DataFrame) -> DataFrame:
+    """(token, n) over all documents, kept."""
+    each = sliced.where("_ids is not null").select(F.explode(F.arrays_zip("_tokens", "_times")).alias("t"))
+    return kept(each.groupBy(F.col("t._tokens").alias("token")).agg(F.sum("t._times").alias("n")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["token", "n"])
+@dataclass
+class Vocabulary:
+    """Words with a number of their own, how often each number occurs, and counts of frequent tokens of shared numbers."""
 
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found.update(word_tokens(value))
-            if len(found) >= HELD:
-                yield out()
-                found.clear()
-        yield out()
+    side: int
+    known: dict[str, int]
+    counts: np.ndarray
+    frequent: dict[str, int] = field(default_factory=dict)
 
-    return map_slices(docs.select(text_or_empty(text)), count, "token string, n bigint", 0).groupBy("token").agg(F.sum("n").alias("n"))
+    @property
+    def size(self) -> int:
+        return self.side**2
 
+    @property
+    def words(self) -> int:
+        """Numbers that are kept for words of their own; the others are shared."""
+        return own_words(self.side)
 
-def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
-    counts = kept(token_counts(docs, text))
-    top = counts.orderBy(F.desc("n"), "token").limit(WORDS).collect()
-    known = {r.token: k for k, r in enumerate(top)}
-    frequent = F.broadcast(counts.sparkSession.createDataFrame([(t,) for t in known], "token string"))  # at most WORDS rows
-    rest = counts.join(frequent, "token", "left_anti").groupBy((F.crc32("token") % (SIZE - WORDS)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
-    totals = np.zeros((SIZE, 2))
-    for k, r in enumerate(top):
-        totals[k] = r.n, 1
-    for r in rest.collect():  # at most SIZE - WORDS rows
-        totals[WORDS + r.k] = r.n, r.distinct
-    return Vocabulary(known, totals)
+    def number(self, token: str) -> int:
+        found = self.known.get(token)
+        return self.words + zlib.crc32(token.encode("utf-8")) % (self.size - self.words) if found is None else found
+
+    def share(self, token: str, n: int) -> float:
+        """Part of its number's probability that a token found ``n`` times has; ``n`` = 1 for an unseen one."""
+        return 1.0 if token in self.known else n / (self.counts[self.number(token)] + 1)
+
+    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers, logarithms of the shares, and which tokens are not held here: their share is that of an unseen one."""
+        numbers = np.fromiter(map(self.number, tokens), np.int64, len(tokens))
+        times = np.fromiter((self.frequent.get(t, 0) for t in tokens), np.float64, len(tokens))
+        shared = numbers >= self.words
+        shares = np.where(shared, np.log(np.maximum(times, 1) / (self.counts[numbers] + 1)), 0.0)
+        return numbers, shares, shared & (times == 0)
+
+
+def own_words(classes: int) -> int:
+    return classes**2 * 7 // 8
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The vocabulary of a table (token, n)."""
+    classes = side(counts.agg(F.sum("n")).first()[0] or 0)
+    words = own_words(classes)
+    floor = floor_of(counts, FREQUENT)
+    top = counts.where(f"{GRADE} >= {floor}").collect()  # at most FREQUENT rows
+    top = sorted(((r.token, r.n) for r in top), key=lambda t: (-t[1], t[0]))
+    totals = np.zeros(classes**2)
+    totals[: len(top[:words])] = [n for _, n in top[:words]]
+    made = Vocabulary(classes, {t: k for k, (t, _) in enumerate(top[:words])}, totals, dict(top[words:]))
+    shared = classes**2 - words
+    rare = counts.where(f"{GRADE} < {floor}").groupBy((F.crc32("token") % shared).alias("k")).agg(F.sum("n").alias("n"))
+    for r in rare.collect():  # at most as many rows as shared numbers
+        totals[words + r.k] += r.n
+    for token, n in made.frequent.items():
+        totals[made.number(token)] += n
+    return made
 
 
 # -- network -------------------------------------------------------------------------------------
 
-#: Name and shape of the parameters, in one flat vector.
-SHAPES = {
-    "embed": (SIZE + 1, DIM), "place": (2 * WINDOW, DIM), "w": (DIM, HIDDEN), "b": (HIDDEN,),
-    "class_w": (HIDDEN, CLASSES), "class_b": (CLASSES,), "member_w": (CLASSES, HIDDEN, MEMBERS), "member_b": (CLASSES, MEMBERS),
-}
-LENGTH = sum(math.prod(s) for s in SHAPES.values())
 
+def shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    """Name and shape of the parameters, in one flat vector. The last row of ``w``, ``class_w`` and ``member_w`` is the bias."""
+    return {
+        "embed": (classes**2 + 1, DIM), "place": (2 * WINDOW, DIM), "w": (DIM + 1, HIDDEN),
+        "class_w": (HIDDEN + 1, classes), "member_w": (classes, HIDDEN + 1, classes),
+    }
 
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+
+def length(classes: int) -> int:
+    return sum(math.prod(s) for s in shapes(classes).values())
+
+
+def views(flat: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in shapes(classes).items():
         out[name] = flat[at : at + math.prod(shape)].reshape(shape)
         at += math.prod(shape)
     return out
@@ -130,132 +187,152 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
 def beginning(known: Vocabulary) -> np.ndarray:
     """Small random weights; the biases give each number its share of the corpus."""
     rng = np.random.default_rng(SEED)
-    flat = np.zeros(LENGTH, np.float32)
-    p = views(flat)
-    p["embed"][:] = rng.normal(0, 0.3, SHAPES["embed"])
+    flat = np.zeros(length(known.side), np.float32)
+    p = views(flat, known.side)
+    p["embed"][:] = rng.normal(0, 0.3, p["embed"].shape)
     p["place"][:] = 1 / np.sqrt(2 * WINDOW)
-    p["w"][:] = rng.normal(0, 1 / np.sqrt(DIM), SHAPES["w"])
-    p["class_w"][:] = rng.normal(0, 0.1, SHAPES["class_w"])
-    p["member_w"][:] = rng.normal(0, 0.1, SHAPES["member_w"])
-    counts = known.counts[:, 0].reshape(CLASSES, MEMBERS) + 1
-    p["class_b"][:] = np.log(counts.sum(axis=1) / counts.sum())
-    p["member_b"][:] = np.log(counts / counts.sum(axis=1, keepdims=True))
+    p["w"][:DIM] = rng.normal(0, 1 / np.sqrt(DIM), (DIM, HIDDEN))
+    p["class_w"][:HIDDEN] = rng.normal(0, 0.1, (HIDDEN, known.side))
+    p["member_w"][:, :HIDDEN] = rng.normal(0, 0.1, (known.side, HIDDEN, known.side))
+    counts = known.counts.reshape(known.side, known.side) + 1
+    p["class_w"][HIDDEN] = np.log(counts.sum(axis=1) / counts.sum())
+    p["member_w"][:, HIDDEN] = np.log(counts / counts.sum(axis=1, keepdims=True))
     return flat
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def hidden(p: dict, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and pooled context at positions of a padded stream; the position itself is never read."""
-    pooled = np.zeros((len(at), DIM), p["embed"].dtype)
-    for k, offset in enumerate(offsets()):
-        pooled += np.take(p["embed"] * p["place"][k], ids[at + offset], axis=0)
-    return np.tanh(pooled @ p["w"] + p["b"]), pooled
-
-
 def offsets() -> list[int]:
     return [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 
 
-def by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows of each class that occurs."""
-    classes = (targets // MEMBERS).astype(np.int16)  # sorted by digits, not by comparisons
-    order = np.argsort(classes, kind="stable")
-    starts = np.flatnonzero(np.diff(classes[order], prepend=-1))
-    for start, end in zip(starts, np.append(starts[1:], len(order)), strict=True):
-        yield int(classes[order[start]]), order[start:end]
+@dataclass
+class Forward:
+    """Positions in order of their classes, and what the network makes of them."""
+
+    order: np.ndarray
+    near: list[np.ndarray]
+    pooled: np.ndarray
+    hidden: np.ndarray
+    classes: np.ndarray
+    members: np.ndarray
+    bounds: list[tuple[int, int, int]]
+    to_class: np.ndarray
+    to_member: np.ndarray
+
+
+def forward(p: dict, ids: np.ndarray, at: np.ndarray) -> Forward:
+    """The network at positions of a padded stream; the position itself is only read as the target."""
+    many = p["class_w"].shape[1]
+    targets = ids[at]
+    order = np.argsort((targets // many).astype(np.int16), kind="stable")  # sorted by digits, not by comparisons
+    at, targets = at[order], targets[order]
+    classes, members = targets // many, targets % many
+    near = [ids[at + offset] for offset in offsets()]
+    pooled = np.zeros((len(at), DIM), p["embed"].dtype)
+    for k, numbers in enumerate(near):
+        pooled += np.take(p["embed"] * p["place"][k], numbers, axis=0)
+    hidden = np.ones((len(at), HIDDEN + 1), pooled.dtype)
+    np.tanh(pooled @ p["w"][:DIM] + p["w"][DIM], out=hidden[:, :HIDDEN])
+    cuts = np.searchsorted(classes, np.arange(many + 1)).tolist()
+    bounds = [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    to_member = np.empty((len(at), many), pooled.dtype)
+    for c, a, b in bounds:
+        np.matmul(hidden[a:b], p["member_w"][c], out=to_member[a:b])
+    return Forward(order, near, pooled, hidden, classes, members, bounds, hidden @ p["class_w"], to_member)
+
+
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+    """Exponentials of each row, in place of it, and the shift of each row; none where all values are small."""
+    shift = 0.0
+    if np.abs(x).max(initial=0) >= 60:
+        shift = x.max(axis=1)
+        x -= shift[:, None]
+    return np.exp(x, out=x), shift
 
 
 def log_probabilities(p: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P(number at each position | its neighbours)."""
-    h, _ = hidden(p, ids, at)
-    targets = ids[at]
-    logits = h @ p["class_w"] + p["class_b"]
-    out = logits[np.arange(len(at)), targets // MEMBERS] - log_sum(logits)
-    inside = np.empty((len(at), MEMBERS), logits.dtype)
-    for c, rows in by_class(targets):
-        inside[rows] = h[rows] @ p["member_w"][c] + p["member_b"][c]
-    return out + inside[np.arange(len(at)), targets % MEMBERS] - log_sum(inside)
-
-
-def log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each row; shifted by the row's largest if any is large."""
-    ones = np.ones(x.shape[1], x.dtype)
-    if np.abs(x).max(initial=0) < 60:
-        return np.log(np.exp(x) @ ones)
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]) @ ones)
-
-
-def gradient_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
-    """One Adagrad step on the masked positions ``at``; only touched rows of the embeddings move."""
-    p, s = views(flat), views(squares)
-    h, pooled = hidden(p, ids, at)
-    targets, n = ids[at], len(at)
-    share = softmax(h @ p["class_w"] + p["class_b"])
-    share[np.arange(n), targets // MEMBERS] -= 1
-    share /= n
-    to_hidden = share @ p["class_w"].T
-    grads = {"class_w": h.T @ share, "class_b": share.sum(axis=0)}
-    member_w, member_b = np.zeros(SHAPES["member_w"], np.float32), np.zeros(SHAPES["member_b"], np.float32)
-    for c, rows in by_class(targets):
-        inside = softmax(h[rows] @ p["member_w"][c] + p["member_b"][c])
-        inside[np.arange(len(rows)), targets[rows] % MEMBERS] -= 1
-        inside /= n
-        member_w[c], member_b[c] = h[rows].T @ inside, inside.sum(axis=0)
-        to_hidden[rows] += inside @ p["member_w"][c].T
-    back = to_hidden * (1 - h * h)
-    grads |= {"member_w": member_w, "member_b": member_b, "w": pooled.T @ back, "b": back.sum(axis=0)}
-    to_pooled = back @ p["w"].T
-    embed, place = np.zeros(SHAPES["embed"], np.float32), np.zeros(SHAPES["place"], np.float32)
-    near = np.stack([ids[at + offset] for offset in offsets()])
-    for k in range(len(near)):
-        place[k] = np.einsum("nd,nd->d", to_pooled, p["embed"][near[k]])
-    moved = to_pooled.T[:, None, :] * p["place"].T[:, :, None]  # by dimension, place and position
-    for d in range(DIM):
-        embed[:, d] = np.bincount(near.ravel(), weights=moved[d].ravel(), minlength=SIZE + 1)
+    f, rows = forward(p, ids, at), np.arange(len(at))
+    found = np.zeros(len(at), f.hidden.dtype)
+    for logits, target in ((f.to_class, f.classes), (f.to_member, f.members)):
+        found += logits[rows, target]
+        powers, shift = exponentials(logits)
+        found -= np.log(powers @ np.ones(logits.shape[1], logits.dtype)) + shift
+    out = np.empty_like(found)
+    out[f.order] = found
+    return out
+
+
+def gradient_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray, many: int) -> None:
+    """One Adagrad step on the masked positions ``at`` of a network of ``many`` classes."""
+    p, s = views(flat, many), views(squares, many)
+    f, rows = forward(p, ids, at), np.arange(len(at))
+    for logits, target in ((f.to_class, f.classes), (f.to_member, f.members)):
+        exponentials(logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        logits[rows, target] -= 1
+        logits *= 1 / len(at)
+    back = f.to_class @ p["class_w"][:HIDDEN].T
+    member = np.zeros_like(p["member_w"])
+    for c, a, b in f.bounds:
+        np.matmul(f.hidden[a:b].T, f.to_member[a:b], out=member[c])
+        back[a:b] += f.to_member[a:b] @ p["member_w"][c, :HIDDEN].T
+    back *= 1 - f.hidden[:, :HIDDEN] ** 2
+    to_pooled = back @ p["w"][:DIM].T
+    grads = {"class_w": f.hidden.T @ f.to_class, "member_w": member, "w": np.concatenate([f.pooled.T @ back, back.sum(axis=0)[None]])}
+    embed, place = np.zeros_like(p["embed"]), np.zeros_like(p["place"])
+    for k, numbers in enumerate(f.near):
+        # what each number is to be moved by at this distance
+        moved = np.stack([np.bincount(numbers, weights=to_pooled[:, d], minlength=len(embed)) for d in range(DIM)], axis=1).astype(embed.dtype)
+        embed += moved * p["place"][k]
+        place[k] = (moved * p["embed"]).sum(axis=0)
     grads |= {"embed": embed, "place": place}
     for name, g in grads.items():
         s[name] += g * g
         p[name] -= RATE * g / (np.sqrt(s[name]) + 1e-6)
 
 
-def streams(batches: Iterator[pa.RecordBatch], numbers: Numbers, at: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], pa.RecordBatch]]:
-    """For each slice: its documents' numbers in one padded stream, token positions, and sizes of the documents."""
-    edge = [EDGE] * WINDOW
+def stream(numbers: np.ndarray, sizes: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of some documents with edges before, between and after, and the places of the numbers."""
+    at = np.arange(len(numbers)) + WINDOW * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    ids = np.full(len(numbers) + WINDOW * (len(sizes) + 1), edge, np.int64)
+    ids[at] = numbers
+    return ids, at
+
+
+def each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], int]]:
+    """Sizes of the documents, places of their tokens, distinct tokens, and first row of each slice."""
     for batch in batches:
-        ids, sizes = list(edge), []
-        for value in batch.column(at).to_pylist():
-            own = numbers(word_tokens(value or ""))
-            sizes.append(len(own))
-            ids += own
-            ids += edge
-        stream = np.array(ids, np.int64)
-        yield stream, np.flatnonzero(stream != EDGE), sizes, batch
+        for k in range(batch.num_rows):
+            sizes, ids, tokens, row = (c[k].as_py() for c in batch.columns)
+            yield np.frombuffer(sizes, "<i4"), np.frombuffer(ids, "<i4"), tokens, row
+
+
+def _slices(sliced: DataFrame) -> DataFrame:
+    return sliced.where("_ids is not null").select("_sizes", "_ids", "_tokens", "_row")
 
 
-def train(docs: DataFrame, known: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> np.ndarray:
+def learned(parts: Iterator[tuple], known: Vocabulary, begin: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parameters after every token of some slices was a target, and the number of these."""
+    own, squares, n = begin.copy(), np.full_like(begin, 0.1), 0
+    for sizes, places, tokens, _ in parts:
+        ids, at = stream(known.look_up(tokens)[0][places], sizes, known.size)
+        for start in range(0, len(at), STEP):
+            gradient_step(own, squares, ids, at[start : start + STEP], known.side)
+        n += len(at)
+    return own, n
+
+
+def train(sliced: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
     """Averaged parameters after some rounds over all documents."""
-    spark = docs.sparkSession
-    flat = beginning(known)
+    flat, total = beginning(known), length(known.side)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((known, flat))
+        shared = sliced.sparkSession.sparkContext.broadcast((known, flat))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, begin = shared.value
-            own, squares, learned = begin.copy(), np.full(LENGTH, 0.1, np.float32), 0
-            for ids, at, _, _ in streams(batches, Numbers(words), 0):
-                for start in range(0, len(at), STEP):
-                    gradient_step(own, squares, ids, at[start : start + STEP])
-                learned += len(at)
-            weighted = (own.astype(np.float64) * learned).astype("<f8")
-            blocks = [weighted[i : i + BLOCK].tobytes() for i in range(0, LENGTH, BLOCK)] if learned else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(blocks)), pa.int32()), pa.array([learned] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "n", "sums"]
-            )
+            own, n = learned(each_slice(batches), *shared.value)
+            weighted = (own.astype(np.float64) * n).astype("<f8")
+            blocks = [weighted[i : i + BLOCK].tobytes() for i in range(0, total, BLOCK)] if n else []
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "n", "sums"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -269,41 +346,49 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", rounds: int =
             yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "sums"])
 
         schema = "block int, n bigint, sums binary"
-        parts = map_slices(docs.select(text_or_empty(text)), learn, schema, 0)
-        rows = parts.repartition("block").mapInArrow(add, schema).collect()  # LENGTH / BLOCK rows
+        rows = _slices(sliced).mapInArrow(learn, schema).repartition("block").mapInArrow(add, schema).collect()  # one row for each block
         flat = flat.copy()
         for r in rows:
             flat[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, "<f8") / r.n
     return flat
 
 
-def score(docs: DataFrame, known: Vocabulary, flat: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, log_likelihood (sum over all tokens, natural logarithm) and mean_log_likelihood."""
-    names, place = [*docs.columns, "n_tokens", "log_likelihood"], docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast((known, flat))
+def score(sliced: DataFrame, counts: DataFrame, known: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """The tokenized documents with n_tokens, log_likelihood (sum over all tokens, natural logarithm) and mean_log_likelihood."""
+    shared = sliced.sparkSession.sparkContext.broadcast((known, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
-        p = views(flat)
-        # a number that stands for several tokens shares its probability among them, and one unseen
-        inside = -np.log(np.where(np.arange(SIZE) < WORDS, 1, words.counts[:, 1] + 1))
-        for ids, at, sizes, batch in streams(batches, Numbers(words), place):
-            values = np.empty(len(at))
+        p = views(flat, words.side)
+        for sizes, places, tokens, row in each_slice(batches):
+            numbers, shares, elsewhere = words.look_up(tokens)
+            ids, at = stream(numbers[places], sizes, words.size)
+            values = shares[places]
             for start in range(0, len(at), AT_ONCE):
-                part = at[start : start + AT_ONCE]
-                values[start : start + AT_ONCE] = log_probabilities(p, ids, part) + inside[ids[part]]
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-            sums = [float(values[a:b].sum()) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = map_slices(docs, run, f"{schema}, n_tokens bigint, log_likelihood double", place)
-    return scored.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
+                values[start : start + AT_ONCE] += log_probabilities(p, ids, at[start : start + AT_ONCE])
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            sums = np.bincount(of, weights=values, minlength=len(sizes))
+            elsewhere = np.flatnonzero(elsewhere[places])
+            names = pa.array(tokens, pa.string()).take(pa.array(places[elsewhere]))
+            ends = np.searchsorted(of[elsewhere], np.arange(len(sizes) + 1)).astype(np.int32)
+            columns = [pa.array(row + np.arange(len(sizes)), pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(sums), pa.ListArray.from_arrays(pa.array(ends), names)]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "n_tokens", "log_likelihood", "_rare"])
+
+    schema = "_row bigint, n_tokens bigint, log_likelihood double, _rare array<string>"
+    scored = kept(_slices(sliced).mapInArrow(run, schema))
+    # an unseen token counts once; a token that was found oftener gains the logarithm of its count
+    rare = scored.select("_row", F.explode("_rare").alias("token")).join(counts.where("n > 1"), "token")
+    sums = scored.select("_row", "n_tokens", "log_likelihood").unionByName(rare.select("_row", F.log("n").alias("log_likelihood")), allowMissingColumns=True)
+    sums = sums.groupBy("_row").agg(F.max("n_tokens").alias("n_tokens"), F.sum("log_likelihood").alias("log_likelihood"))
+    found = sliced.drop(*HELPERS[:4]).join(sums, "_row").drop("_row")
+    return found.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
 
 
 def pseudo_likelihood(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Vocabulary, training and scoring over the same documents."""
-    if {"n_tokens", "log_likelihood", "mean_log_likelihood"} & set(docs.columns):
-        raise ValueError("the columns n_tokens, log_likelihood and mean_log_likelihood are the operator's")
-    known = vocabulary(docs, text)
-    return score(docs, known, train(docs, known, text, rounds), text)
+    """Tokens, vocabulary, training and scoring over the same documents."""
+    if {*OUTPUT, *HELPERS} & set(docs.columns):
+        raise ValueError(f"the columns {', '.join([*OUTPUT, *HELPERS])} are the operator's")
+    sliced = tokenized(docs, text)
+    counts = token_counts(sliced)
+    known = vocabulary(counts)
+    return score(sliced, counts, known, train(sliced, known, rounds))
