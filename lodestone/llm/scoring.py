@@ -35,7 +35,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ from lodestone.llm.token_counts import GRADE, floor_of
 LEAST, MOST, FREQUENT = 16, 256, 1 << 17
 WINDOW, DIM, HIDDEN = 2, 16, 24
 #: Rounds of averaging, positions in a gradient step, learning rate, seed.
-ROUNDS, STEP, RATE, SEED = 1, 4_096, 0.1, 17
+ROUNDS, STEP, RATE, SEED = 1, 8_192, 0.1, 17
 #: Positions scored at once; parameters in a block; bytes of text in a slice.
 AT_ONCE, BLOCK, SLICE_BYTES = 1 << 13, 1 << 10, 4_000_000
 OUTPUT, HELPERS = ["n_tokens", "log_likelihood", "mean_log_likelihood"], ["_sizes", "_ids", "_tokens", "_times", "_row"]
@@ -125,13 +126,16 @@ class Vocabulary:
         found = self.known.get(token)
         return self.words + zlib.crc32(token.encode("utf-8")) % (self.size - self.words) if found is None else found
 
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number, tokens), np.int64, len(tokens))
+
     def share(self, token: str, n: int) -> float:
         """Part of its number's probability that a token found ``n`` times has; ``n`` = 1 for an unseen one."""
         return 1.0 if token in self.known else n / (self.counts[self.number(token)] + 1)
 
     def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers, logarithms of the shares, and which tokens are not held here: their share is that of an unseen one."""
-        numbers = np.fromiter(map(self.number, tokens), np.int64, len(tokens))
+        numbers = self.numbers(tokens)
         times = np.fromiter((self.frequent.get(t, 0) for t in tokens), np.float64, len(tokens))
         shared = numbers >= self.words
         shares = np.where(shared, np.log(np.maximum(times, 1) / (self.counts[numbers] + 1)), 0.0)
@@ -264,31 +268,42 @@ def log_probabilities(p: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def gradient_step(flat: np.ndarray, squares: np.ndarray, ids: np.ndarray, at: np.ndarray, many: int) -> None:
     """One Adagrad step on the masked positions ``at`` of a network of ``many`` classes."""
-    p, s = views(flat, many), views(squares, many)
-    f, rows = forward(p, ids, at), np.arange(len(at))
+    p, f, rows = views(flat, many), forward(views(flat, many), ids, at), np.arange(len(at))
     for logits, target in ((f.to_class, f.classes), (f.to_member, f.members)):
         exponentials(logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        logits[rows, target] -= 1
-        logits *= 1 / len(at)
+        logits *= (1 / len(at) / (logits @ np.ones(many, logits.dtype)))[:, None]
+        logits[rows, target] -= 1 / len(at)
+    moves = np.zeros_like(flat)
+    grads = views(moves, many)
+    np.matmul(f.hidden.T, f.to_class, out=grads["class_w"])
     back = f.to_class @ p["class_w"][:HIDDEN].T
-    member = np.zeros_like(p["member_w"])
     for c, a, b in f.bounds:
-        np.matmul(f.hidden[a:b].T, f.to_member[a:b], out=member[c])
+        np.matmul(f.hidden[a:b].T, f.to_member[a:b], out=grads["member_w"][c])
         back[a:b] += f.to_member[a:b] @ p["member_w"][c, :HIDDEN].T
     back *= 1 - f.hidden[:, :HIDDEN] ** 2
-    to_pooled = back @ p["w"][:DIM].T
-    grads = {"class_w": f.hidden.T @ f.to_class, "member_w": member, "w": np.concatenate([f.pooled.T @ back, back.sum(axis=0)[None]])}
-    embed, place = np.zeros_like(p["embed"]), np.zeros_like(p["place"])
+    grads["w"][:DIM], grads["w"][DIM] = f.pooled.T @ back, back.sum(axis=0)
+    to_pooled = np.ascontiguousarray(p["w"][:DIM] @ back.T, np.float64)  # by dimension
+    moved = np.empty((DIM, len(p["embed"])))
     for k, numbers in enumerate(f.near):
         # what each number is to be moved by at this distance
-        moved = np.stack([np.bincount(numbers, weights=to_pooled[:, d], minlength=len(embed)) for d in range(DIM)], axis=1).astype(embed.dtype)
-        embed += moved * p["place"][k]
-        place[k] = (moved * p["embed"]).sum(axis=0)
-    grads |= {"embed": embed, "place": place}
-    for name, g in grads.items():
-        s[name] += g * g
-        p[name] -= RATE * g / (np.sqrt(s[name]) + 1e-6)
+        for d in range(DIM):
+            moved[d] = np.bincount(numbers, weights=to_pooled[d], minlength=len(p["embed"]))
+        by_number = moved.T.astype(flat.dtype)
+        grads["place"][k] = np.einsum("nd,nd->d", by_number, p["embed"])
+        by_number *= p["place"][k]
+        grads["embed"] += by_number
+    squares += moves * moves
+    moves *= RATE
+    moves /= np.sqrt(squares) + 1e-6
+    flat -= moves
+
+
+def keep_freed_memory() -> None:
+    """Let the allocator serve arrays of a step from memory it has, not from fresh pages each time.
+
+    The C library does so for blocks up to the size of the largest one that was freed before.
+    """
+    np.empty(30 << 20, np.uint8)
 
 
 def stream(numbers: np.ndarray, sizes: np.ndarray, edge: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,15 +322,22 @@ def each_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
             yield np.frombuffer(sizes, "<i4"), np.frombuffer(ids, "<i4"), tokens, row
 
 
+def _begun(parts: Iterator) -> Iterator | None:
+    """The same elements, or None where there are none: such a task needs no parameters."""
+    first = next(parts, None)
+    return None if first is None else chain([first], parts)
+
+
 def _slices(sliced: DataFrame) -> DataFrame:
     return sliced.where("_ids is not null").select("_sizes", "_ids", "_tokens", "_row")
 
 
 def learned(parts: Iterator[tuple], known: Vocabulary, begin: np.ndarray) -> tuple[np.ndarray, int]:
     """Parameters after every token of some slices was a target, and the number of these."""
+    keep_freed_memory()
     own, squares, n = begin.copy(), np.full_like(begin, 0.1), 0
     for sizes, places, tokens, _ in parts:
-        ids, at = stream(known.look_up(tokens)[0][places], sizes, known.size)
+        ids, at = stream(known.numbers(tokens)[places], sizes, known.size)
         for start in range(0, len(at), STEP):
             gradient_step(own, squares, ids, at[start : start + STEP], known.side)
         n += len(at)
@@ -326,10 +348,13 @@ def train(sliced: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> np.ndar
     """Averaged parameters after some rounds over all documents."""
     flat, total = beginning(known), length(known.side)
     for _ in range(rounds):
-        shared = sliced.sparkSession.sparkContext.broadcast((known, flat))
+        shared = sliced.sparkSession.sparkContext.broadcast((replace(known, frequent={}), flat))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, n = learned(each_slice(batches), *shared.value)
+            parts = _begun(each_slice(batches))
+            if parts is None:
+                return
+            own, n = learned(parts, *shared.value)
             weighted = (own.astype(np.float64) * n).astype("<f8")
             blocks = [weighted[i : i + BLOCK].tobytes() for i in range(0, total, BLOCK)] if n else []
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["block", "n", "sums"])
@@ -358,9 +383,13 @@ def score(sliced: DataFrame, counts: DataFrame, known: Vocabulary, flat: np.ndar
     shared = sliced.sparkSession.sparkContext.broadcast((known, flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _begun(each_slice(batches))
+        if parts is None:
+            return
+        keep_freed_memory()
         words, flat = shared.value
         p = views(flat, words.side)
-        for sizes, places, tokens, row in each_slice(batches):
+        for sizes, places, tokens, row in parts:
             numbers, shares, elsewhere = words.look_up(tokens)
             ids, at = stream(numbers[places], sizes, words.size)
             values = shares[places]
