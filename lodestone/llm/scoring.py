@@ -49,8 +49,9 @@ from lodestone.llm.token_counts import GRADE, floor_of
 #: Least and greatest number of classes, which is also that of the numbers in a class; tokens looked up in a task.
 LEAST, MOST, FREQUENT = 16, 256, 1 << 17
 WINDOW, DIM, HIDDEN = 2, 16, 24
-#: Rounds of averaging, positions in a gradient step, learning rate, seed.
-ROUNDS, STEP, RATE, SEED = 1, 8_192, 0.1, 17
+#: Rounds of averaging, positions in a gradient step, learning rate, what squared gradients begin with, seed.
+#: Gradients are means over a step, far below one: a larger beginning would hide them.
+ROUNDS, STEP, RATE, SQUARES, SEED = 1, 8_192, 0.1, 1e-7, 17
 #: Positions scored at once; parameters in a block; bytes of text in a slice.
 AT_ONCE, BLOCK, SLICE_BYTES = 1 << 13, 1 << 10, 4_000_000
 OUTPUT, HELPERS = ["n_tokens", "log_likelihood", "mean_log_likelihood"], ["_sizes", "_ids", "_tokens", "_times", "_row"]
@@ -335,7 +336,7 @@ def _slices(sliced: DataFrame) -> DataFrame:
 def learned(parts: Iterator[tuple], known: Vocabulary, begin: np.ndarray) -> tuple[np.ndarray, int]:
     """Parameters after every token of some slices was a target, and the number of these."""
     keep_freed_memory()
-    own, squares, n = begin.copy(), np.full_like(begin, 0.1), 0
+    own, squares, n = begin.copy(), np.full_like(begin, SQUARES), 0
     for sizes, places, tokens, _ in parts:
         ids, at = stream(known.numbers(tokens)[places], sizes, known.size)
         for start in range(0, len(at), STEP):
