@@ -151,3 +151,19 @@ def test_phrases_start_from_the_rarest_word(spark, make_corpus):
     phrases = spark.createDataFrame([("a", "word", ["of", "the", "moon"]), ("b", "word", ["moon", "of"]), ("c", "word", ["the", "the"])], "term string, kind string, tokens array<string>")
     with_counts = sorted(map(tuple, batch.phrase_hits(corpus.postings, phrases, corpus.terms).collect()))
     assert with_counts == sorted(map(tuple, batch.phrase_hits(corpus.postings, phrases).collect())) and len(with_counts) == 5
+
+
+def test_a_batch_reads_no_body_for_words(spark, make_corpus):
+    """Where words, phrases and bi-grams stand is known from the postings; bodies are for literals and excluded terms."""
+    corpus = make_corpus(
+        ("/d/a.md", "quick red fox well-known 寿司が"), ("/d/fox.md", "red red paint"), ("/d/c2.md", "quick quick fox code7b"), ("/d/e.md", None), ("/d/red-fox.md", "known well")
+    ).indexed()
+    rows = [(1, "quick fox"), (2, "red fox"), (3, "well-known"), (4, "寿司が"), (5, "red"), (6, "fox fox"), (7, "quick code7b"), (8, "quick -paint red"), (9, "fox -code7"), (10, "red -fox")]
+    queries = spark.createDataFrame(rows, "query_id int, q string")
+    ask = lambda c, q: sorted((r.query_id, r.file_name, r.match_rank, round(r.score, 9), r.filename_match_level, r.relevance_bucket) for r in batch.search_many(c, q).collect())
+    got = ask(corpus, queries)
+    assert ask(corpus.with_(segments=corpus.segments.limit(0)), queries.where("query_id <= 6")) == [r for r in got if r[0] <= 6]
+    for number, q in rows[6:9]:
+        found = search(corpus, SearchRequest(q, full_path="/d")).matches.where("result_kind = 'file'").collect()
+        want = sorted((number, r.file_name, r.match_rank, round(r.score, 9), r.filename_match_level, r.relevance_bucket) for r in found)
+        assert [r for r in got if r[0] == number] == want, q
