@@ -30,6 +30,21 @@ def test_tables_mean_what_columns_mean(spark, seed):
     assert urls == {r.path: bool(r.want) for r in df.select("path", rl.excluded_url(F.col("path"), rules).alias("want")).collect()}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_tables_beyond_a_task_mean_the_same(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    paths = ["/".join(["", *(rng.choice(PARTS) for _ in range(rng.randint(0, 5)))]) for _ in range(150)]
+    paths += ["/".join(rng.choice(PARTS) for _ in range(rng.randint(1, 4))) for _ in range(60)] + ["\\src\\build\\x.md", "", "/", "C:\\src\\a", "a//tmp/.x", "/a", "a//b"]
+    rules = [*(RULES if seed else rng.sample(RULES, 9)), *(["//", "", "/.", " a "] if seed else [])]
+    df = spark.createDataFrame([(p,) for p in [*paths, paths[0]]] + [(None,)], "path string")
+    table = spark.createDataFrame([(r,) for r in [*rules, rules[0], None]], "rule string")
+    for kind in ("path", "part"):
+        monkeypatch.undo()
+        want = sorted(((r.path, r.excluded) for r in ec.matched(df, table, F.col("path"), kind).collect()), key=str)
+        monkeypatch.setattr(ec, "MOST_RULES", 7)
+        assert sorted(((r.path, r.excluded) for r in ec.matched(df, table, F.col("path"), kind).collect()), key=str) == want
+
+
 def test_rules_of_each_root(spark, monkeypatch):
     df = spark.createDataFrame([("/a/tmp/x", "/a"), ("/b/tmp/x", "/b"), ("/c/tmp", None)], "path string, root string")
     table = spark.createDataFrame([("/a", "tmp"), ("/b", "other"), (None, "tmp")], "root string, rule string")
