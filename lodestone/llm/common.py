@@ -10,12 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, small_batches
 
 #: Rows that a worker handles at once, and bytes of text after which a slice ends early.
 SLICE_ROWS, SLICE_BYTES = 512, 4_000_000
-#: Rows of an Arrow batch between Spark and a worker.
-BATCH_ROWS = 1_024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,13 +44,6 @@ def slices(
             yield batch.slice(start)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Make the session's Arrow batches no larger than ``BATCH_ROWS`` rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def map_slices(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, text_at: int
 ) -> DataFrame:

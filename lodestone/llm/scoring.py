@@ -43,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import BATCH_ROWS, kept, slices, small_batches, word_tokens
+from lodestone.llm.common import kept, slices, small_batches, word_tokens
+from lodestone.session import BATCH_ROWS
 from lodestone.llm.token_counts import GRADE, floor_of
 
 #: Least and greatest number of classes, which is also that of the numbers in a class; tokens looked up in a task.

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import index as ix
 from lodestone.operators import links as lk
 from lodestone.operators import maintain as mn
 from lodestone.operators import scope as so
@@ -127,3 +129,15 @@ def test_hub_pages_lie_in_parts(spark):
     links = spark.range(1000).select(F.lit("hub").alias("src_url"), F.col("id").cast("string").alias("dst_url"))
     edges, hubs = lk.dealt_links(links, 100)
     assert hubs.collect()[0].parts == 10 and edges.select("part").distinct().count() == 10 and edges.count() == 1000
+
+
+def test_postings_are_grouped_in_pieces(monkeypatch):
+    """A batch of long token lists isn't grouped at once; the rows are the same in any pieces."""
+    lists = [["a", "b", "a"], ["c"] * 50, ["", "a"], ["b"], ["a", "c"] * 4]
+    columns = [pa.array(range(5)), pa.array([len(x) for x in lists], pa.int32()), pa.array(lists)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["file_id", "n_tokens", "tokens"])
+    grouped = lambda: sorted((r["file_id"], r["term"], r["tf"], r["n_tokens"], r["positions"]) for b in ix._group_tokens(iter([batch])) for r in b.to_pylist())
+    whole = grouped()
+    assert (2, "a", 1, 2, [1]) in whole and (0, "a", 2, 3, [0, 2]) in whole
+    monkeypatch.setattr(ix, "TOKENS_AT_ONCE", 4)
+    assert [b.num_rows for b in ix._few_tokens(iter([batch]))] == [1, 1, 2, 1] and grouped() == whole
