@@ -21,11 +21,12 @@ With a ``likeness``, texts that have so much of their shingles of ``LIKE_WIDTH``
 (shared to all distinct ones) are linked as well; two bits of the fingerprint reach few of them, and
 at the distance of a likeness of 0.8 (17 bits seen) the index can't prune. Candidates agree on the
 least hashes of all permutations in one of ``BANDS`` bands, which a pair of likeness 0.8 misses in
-one of ten thousand cases. Their number is linear in the texts, whatever a bucket holds: small buckets make all
+one of ten thousand cases. At first their number is linear in the texts, whatever a bucket holds: small buckets make all
 pairs; in large ones each member meets the few that have most company, which is what many are copies of, and
 its neighbours in the order of the sketches of the next bands. Sketches (a byte of each least hash) drop most
 pairs; every link that remains is verified on the 64-bit hashes of its shingles, unless both texts are
-in one component by then. What the large buckets leave out was measured against all pairs, see the README.
+in one component by then. At last the members of large buckets that are in different components all meet, in
+blocks: few where a bucket is a family, all pairs of a bucket at worst, which no task holds as a whole.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other; null keys take part, a component of null keys only has the id null; repeated rows
@@ -53,6 +54,8 @@ WIDTH, RADIUS, SEED = 3, 2, 42
 LIKE_WIDTH, BANDS, ROWS = 5, 24, 5
 #: Buckets of up to FULL members make all pairs; members of larger ones meet HUBS members and BESIDE neighbours.
 FULL, HUBS, BESIDE = 16, 3, 2
+#: Members of a large bucket that all others meet in one task, where they aren't in one component by then.
+BLOCK = 256
 #: Bits of the table that says which texts are wanted; digests that a task remembers.
 HINT_BITS, DONE = 1 << 22, 100_000
 FANOUT = 16
@@ -396,6 +399,11 @@ def candidates(sets: DataFrame, likeness: float) -> DataFrame:
     """(a, b, agree): pairs whose sketches agree in as many bytes as the likeness less four standard deviations lets expect."""
     pairs, known = paired(sets)
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(known.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return kept(_agreeing(both, likeness))
+
+
+def _agreeing(both: DataFrame, likeness: float) -> DataFrame:
+    """(a, b, agree) of ``both`` (a, b, sa, sb): the pairs that the sketches don't rule out."""
     size = BANDS * ROWS
     needed = size * likeness - 4 * (size * likeness * (1 - likeness)) ** 0.5
 
@@ -406,7 +414,22 @@ def candidates(sets: DataFrame, likeness: float) -> DataFrame:
             part = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], names=["a", "b", "agree"])
             yield part.filter(pa.array(agree >= needed))
 
-    return kept(both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, agree int"))
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, agree int")
+
+
+def unmet(sets: DataFrame, roots: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): all pairs in buckets of more than ``FULL`` members that aren't in one component by now and that the sketches don't rule out.
+
+    ``sets``: id, fp, sketch, buckets; ``roots``: node, root. Buckets whose members are one component make no pair. The
+    members of a bucket meet in blocks of ``BLOCK``, so that no task holds or makes the pairs of a whole bucket.
+    """
+    members = sets.join(roots, F.col("fp") == F.col("node"), "left").select("id", "sketch", F.coalesce("root", "fp").alias("root"), F.explode("buckets").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    rows = kept(members.join(sizes.where((F.col("n") > FULL) & (F.col("low") != F.col("high"))), "bucket").drop("low", "high"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    one = rows.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("root").alias("ra"))
+    other = rows.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("root").alias("rb"))
+    return _agreeing(one.join(other, ["bucket", "block"]).where("a < b and ra <> rb"), likeness).select("a", "b").distinct()
 
 
 def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -484,20 +507,26 @@ def like_roots(docs: DataFrame, text: str, marked: DataFrame, roots: DataFrame,
     wanted = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "hint", "fp")
     wanted = kept(wanted)
     hashes = shingle_sets(docs, text, wanted)
-    of = lambda side: wanted.select(F.col("id").alias(side), F.col("fp").alias(f"f{side}"))
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("fp").alias(f"f{side}"))
     pairs = kept(pairs.join(of("a"), "a").join(of("b"), "b"))
     turned = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = turned.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     first = kept(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    def linked(some: DataFrame) -> DataFrame:
+    def linked(some: DataFrame, hashes: DataFrame) -> DataFrame:
         alike = _alike(some, hashes, likeness)
         return alike.join(of("a"), "a").join(of("b"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
-    roots = _joined(roots, kept(linked(first)))
+    roots = _joined(roots, kept(linked(first, hashes)))
     named = pairs.join(roots.select(F.col("node").alias("fa"), F.col("root").alias("ra")), "fa", "left").join(roots.select(F.col("node").alias("fb"), F.col("root").alias("rb")), "fb", "left")
     apart = named.where(F.coalesce("ra", "fa") != F.coalesce("rb", "fb")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    return _joined(roots, kept(linked(kept(apart))))
+    roots = _joined(roots, kept(linked(kept(apart), hashes)))
+    # What members of large buckets didn't meet above; pairs judged before are not judged again.
+    rest = kept(unmet(sets, roots, likeness).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return roots
+    late = kept(sets.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "hint"))
+    return _joined(roots, kept(linked(rest, shingle_sets(docs, text, late))))
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, likeness: float | None = None) -> DataFrame:

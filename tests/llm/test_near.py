@@ -183,6 +183,20 @@ def test_a_family_around_one_text_is_found(spark):
     assert len(reach) > 250 and sum(r.component_id == least for r in found if r.doc_id in reach) >= 0.99 * len(reach)
 
 
+def test_large_buckets_leave_nothing_out(spark, monkeypatch):
+    """Members that neither hubs nor neighbours bring together meet at last, in any blocks."""
+    rows = [(10_000, " ".join(f"w{i}" for i in range(200))), *family(40, 4)]
+    rows += [(k + 500, t.replace("w", "v")) for k, t in family(30, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r.component_id for r in near.components(df, likeness=0.8).collect()}
+    monkeypatch.setattr(near, "FULL", 1)
+    monkeypatch.setattr(near, "HUBS", 0)
+    monkeypatch.setattr(near, "BLOCK", 7)
+    monkeypatch.setattr(near, "_neighbours", lambda large: large.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")))
+    assert {r.doc_id: r.component_id for r in near.components(df, likeness=0.8).collect()} == want
+    assert len(set(want.values())) < len(rows) / 2
+
+
 def test_marks_clash(spark):
     with pytest.raises(ValueError, match="_set"):
         near.components(spark.createDataFrame([], "doc_id bigint, text string, _set binary"), likeness=0.8)
