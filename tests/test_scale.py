@@ -141,3 +141,14 @@ def test_postings_are_grouped_in_pieces(monkeypatch):
     assert (2, "a", 1, 2, [1]) in whole and (0, "a", 2, 3, [0, 2]) in whole
     monkeypatch.setattr(ix, "TOKENS_AT_ONCE", 4)
     assert [b.num_rows for b in ix._few_tokens(iter([batch]))] == [1, 1, 2, 1] and grouped() == whole
+
+
+def test_bigrams_are_counted_where_their_body_is(spark):
+    """Bi-grams don't become rows that are shuffled; the results are those of the SQL."""
+    from workload.catalog import ORACLE, QUERIES
+    from workload.check import compare, connect
+
+    data = "/root/testdata/sf0.001"
+    plan = QUERIES["cjk_bigrams"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan
+    assert compare(spark, connect(data), data, QUERIES["cjk_bigrams"], ORACLE["cjk_bigrams"])[0]

@@ -91,9 +91,13 @@ def substring_by_grams(spark, sf):
     kana=v.kana_sql()))
 def cjk_bigrams(spark, sf):
     body = v.kana_corpus(spark, sf).segments
-    grams = body.select("file_id", F.explode(tx.cjk_bigrams(F.col("content"))).alias("g"))
-    return grams.groupBy("file_id").agg(
-        F.count("*").alias("n"), F.count_distinct("g").alias("n_distinct"), F.min("g").alias("first"), F.max("g").alias("last"))
+    grams = body.select("file_id", tx.once(tx.cjk_bigrams(F.col("content"))).alias("g")).where(F.size("g") > 0)
+    # a body's bi-grams are counted where they are; only its distinct ones move, as one row
+    rows = grams.select("file_id", F.size("g").alias("n"), tx.once(F.array_distinct("g")).alias("g"))
+    rows = rows.select("*", F.array_min("g").alias("first"), F.array_max("g").alias("last"))
+    return rows.groupBy("file_id").agg(
+        F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).cast("bigint").alias("n_distinct"),
+        F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 # --- body matches ------------------------------------------------------------
