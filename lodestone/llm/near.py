@@ -26,7 +26,7 @@ pairs; in large ones each member meets the few that have most company, which is
 its neighbours in the order of the sketches of the next bands. Sketches (a byte of each least hash) drop most
 pairs; every link that remains is verified on the 64-bit hashes of its shingles, unless both texts are
 in one component by then. At last the members of large buckets that are in different components all meet, in
-blocks: few where a bucket is a family, all pairs of a bucket at worst, which no task holds as a whole.
+blocks that judge their pairs in place: few where a bucket is a family, all pairs of a bucket at worst, which no task holds as a whole.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link
 like any other; null keys take part, a component of null keys only has the id null; repeated rows
@@ -54,8 +54,8 @@ WIDTH, RADIUS, SEED = 3, 2, 42
 LIKE_WIDTH, BANDS, ROWS = 5, 24, 5
 #: Buckets of up to FULL members make all pairs; members of larger ones meet HUBS members and BESIDE neighbours.
 FULL, HUBS, BESIDE = 16, 3, 2
-#: Members of a large bucket that all others meet in one task, where they aren't in one component by then.
-BLOCK = 256
+#: Members of a large bucket, and bytes of their shingle sets, that meet as many others in one group, where they aren't in one component by then.
+BLOCK, BLOCK_BYTES = 256, 1 << 23
 #: Bits of the table that says which texts are wanted; digests that a task remembers.
 HINT_BITS, DONE = 1 << 22, 100_000
 FANOUT = 16
@@ -402,10 +402,14 @@ def candidates(sets: DataFrame, likeness: float) -> DataFrame:
     return kept(_agreeing(both, likeness))
 
 
+def _agreement(likeness: float) -> float:
+    """The bytes in which sketches agree, less four standard deviations."""
+    return BANDS * ROWS * likeness - 4 * (BANDS * ROWS * likeness * (1 - likeness)) ** 0.5
+
+
 def _agreeing(both: DataFrame, likeness: float) -> DataFrame:
     """(a, b, agree) of ``both`` (a, b, sa, sb): the pairs that the sketches don't rule out."""
-    size = BANDS * ROWS
-    needed = size * likeness - 4 * (size * likeness * (1 - likeness)) ** 0.5
+    size, needed = BANDS * ROWS, _agreement(likeness)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,19 +421,67 @@ def _agreeing(both: DataFrame, likeness: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, agree int")
 
 
-def unmet(sets: DataFrame, roots: DataFrame, likeness: float) -> DataFrame:
-    """(a, b): all pairs in buckets of more than ``FULL`` members that aren't in one component by now and that the sketches don't rule out.
+def unmet(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, bucket, root, main) of the members of buckets of more than ``FULL`` members that aren't all in one component by now.
+
+    ``sets``: id, fp, sketch, buckets; ``roots``: node, root. ``main`` is the bucket's largest component.
+    """
+    members = sets.join(roots, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("root"), F.explode("buckets").alias("bucket"))
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("main"))
+    return kept(members.join(sizes.where((F.col("all") > FULL) & (F.col("parts") > 1)).select("bucket", "main"), "bucket"))
+
+
+def late_links(rest: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """(a, b): fingerprints of members (``unmet``) of different components that have the likeness, one link for each two components and group.
 
-    ``sets``: id, fp, sketch, buckets; ``roots``: node, root. Buckets whose members are one component make no pair. The
-    members of a bucket meet in blocks of ``BLOCK``, so that no task holds or makes the pairs of a whole bucket.
+    ``sets``: id, fp, sketch, buckets, hashes. Members outside of a bucket's largest component meet all others of the bucket, in
+    groups of two blocks of up to ``BLOCK`` members and ``BLOCK_BYTES`` on average; the group judges its pairs in place,
+    so neither they nor the sets of a pair become rows.
     """
-    members = sets.join(roots, F.col("fp") == F.col("node"), "left").select("id", "sketch", F.coalesce("root", "fp").alias("root"), F.explode("buckets").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    rows = kept(members.join(sizes.where((F.col("n") > FULL) & (F.col("low") != F.col("high"))), "bucket").drop("low", "high"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    one = rows.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("root").alias("ra"))
-    other = rows.select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("root").alias("rb"))
-    return _agreeing(one.join(other, ["bucket", "block"]).where("a < b and ra <> rb"), likeness).select("a", "b").distinct()
+    many = lambda which: F.greatest(F.ceil(F.sum(which) / BLOCK), F.ceil(F.sum(F.when(which > 0, F.length("hashes"))) / BLOCK_BYTES), F.lit(1)).cast("int")
+    apart = (F.col("root") != F.col("main")).cast("int")
+    placed = kept(rest.join(sets, "id").withColumn("apart", apart))
+    blocks = placed.groupBy("bucket").agg(many(F.col("apart")).alias("few"), many(F.lit(1)).alias("whole"))
+    dealt = placed.join(blocks, "bucket")
+    of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    marks = ["id", "fp", "root", "sketch", "buckets", "hashes", "apart"]
+    asking = dealt.where("apart = 1").select("bucket", of(F.col("few")).alias("i"), each("whole").alias("j"), F.lit(True).alias("asks"), *marks)
+    asked = dealt.select("bucket", each("few").alias("i"), of(F.col("whole")).alias("j"), F.lit(False).alias("asks"), *marks)
+    needed = _agreement(likeness)
+
+    def judge(rows: pa.Table) -> pa.Table:
+        bucket, asks = rows.column("bucket")[0].as_py(), rows.column("asks").to_numpy()
+        ids, fps, apart = rows.column("id").to_pylist(), rows.column("fp").to_numpy(), rows.column("apart").to_numpy()
+        label = rows.column("root").to_numpy().copy()
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        held = rows.column("hashes").to_pylist()
+        sizes = np.array([len(h) // 8 for h in held])
+        words, codes = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        order = np.argsort(np.argsort(np.array(ids, object)))
+        one, other = np.flatnonzero(asks), np.flatnonzero(~asks)
+        links, has = [], np.zeros(len(words), bool)
+        for x in one:
+            # two members outside of the main component meet twice; buckets that share a pair leave it to their first
+            near = (label[other] != label[x]) & ((apart[other] == 0) | (order[x] < order[other]))
+            near &= np.minimum(sizes[other], sizes[x]) >= likeness * np.maximum(sizes[other], sizes[x]) - 1e-9
+            met = other[near]
+            met = met[(sketches[met] == sketches[x]).sum(axis=1) >= needed]
+            met = met[bands[x][(bands[met] == bands[x]).argmax(axis=1)] == bucket]
+            has[codes[starts[x] : starts[x + 1]]] = True
+            for y in met:
+                if label[y] != label[x]:
+                    shared = int(has[codes[starts[y] : starts[y + 1]]].sum())
+                    if shared >= likeness * (sizes[x] + sizes[y] - shared) - 1e-9:
+                        links.append((fps[x], fps[y]))
+                        label[label == label[y]] = label[x]
+            has[codes[starts[x] : starts[x + 1]]] = False
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return asking.unionByName(asked).groupBy("bucket", "i", "j").applyInArrow(judge, "a bigint, b bigint").distinct()
 
 
 def shingle_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -521,12 +573,13 @@ def like_roots(docs: DataFrame, text: str, marked: DataFrame, roots: DataFrame,
     named = pairs.join(roots.select(F.col("node").alias("fa"), F.col("root").alias("ra")), "fa", "left").join(roots.select(F.col("node").alias("fb"), F.col("root").alias("rb")), "fb", "left")
     apart = named.where(F.coalesce("ra", "fa") != F.coalesce("rb", "fb")).select("a", "b").join(first, ["a", "b"], "left_anti")
     roots = _joined(roots, kept(linked(kept(apart), hashes)))
-    # What members of large buckets didn't meet above; pairs judged before are not judged again.
-    rest = kept(unmet(sets, roots, likeness).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    # What members of large buckets didn't meet above.
+    rest = unmet(sets, roots)
     if rest.isEmpty():
         return roots
-    late = kept(sets.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id").select("id", "hint"))
-    return _joined(roots, kept(linked(rest, shingle_sets(docs, text, late))))
+    late = kept(rest.select("id").distinct().join(sets, "id").select("id", "hint"))
+    whole = sets.select("id", "fp", "sketch", "buckets").join(shingle_sets(docs, text, late), "id")
+    return _joined(roots, kept(late_links(rest, whole, likeness)))
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, likeness: float | None = None) -> DataFrame:

@@ -197,6 +197,31 @@ def test_large_buckets_leave_nothing_out(spark, monkeypatch):
     assert len(set(want.values())) < len(rows) / 2
 
 
+def test_members_that_are_not_alike_make_no_rows_of_pairs(spark, monkeypatch):
+    """Late members become as many rows as they have buckets; the links are those of brute force, whatever the blocks."""
+    monkeypatch.setattr(near, "FULL", 1)
+    counts = []
+    for n in (100, 200):
+        rows = [*family(n, 5), *((k + 10_000, t) for k, t in family(30, 2))]
+        marks = near.like_marks(spark.createDataFrame(rows, "doc_id bigint, text string"), "text")
+        sets = near.kept(marks.select(F.col("_set").alias("id"), "fp", F.col("_hint").alias("hint"), F.col("_sketch").alias("sketch"), F.col("_buckets").alias("buckets")))
+        rest = near.unmet(sets, spark.createDataFrame([], "node bigint, root bigint"))
+        counts.append(rest.count())
+    assert counts[1] <= 230 * near.BANDS and counts[1] <= 2.6 * counts[0]
+    hashes = near.shingle_sets(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", sets.select("id", "hint"))
+    whole = near.kept(sets.drop("hint").join(hashes, "id"))
+    alone = {r.fp: set(r.buckets) for r in whole.select("fp", "buckets").collect()}
+    shingles = {r.fp: set(memoryview(bytes(r.hashes)).cast("Q")) for r in whole.select("fp", "hashes").collect()}
+    pairs = [(a, b) for a in alone for b in alone if a < b and alone[a] & alone[b] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    want = {r.node: r.root for r in near.connect(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    for block, size in ((256, 1 << 23), (7, 1 << 23), (256, 1 << 14)):
+        monkeypatch.setattr(near, "BLOCK", block)
+        monkeypatch.setattr(near, "BLOCK_BYTES", size)
+        found = near.late_links(rest, whole, 0.8)
+        assert {r.node: r.root for r in near.connect(found).collect()} == want
+    assert len(pairs) > 20
+
+
 def test_marks_clash(spark):
     with pytest.raises(ValueError, match="_set"):
         near.components(spark.createDataFrame([], "doc_id bigint, text string, _set binary"), likeness=0.8)
