@@ -35,42 +35,53 @@ def refresh_stream(documents: DataFrame, path: str, checkpoint: str, as_of: floa
 
 
 CHANGES = "normalized_path string, change string, listed_at timestamp, size bigint, mtime double"
-_STATE = "mtime double, size bigint, seen timestamp"
+_STATE = "paths array<string>, mtimes array<double>, sizes array<bigint>, seen array<timestamp>"
+#: Groups that the paths are dealt to by their hash; fixed for the life of a stream's checkpoint.
+GROUPS = 1_024
 
 
-def path_changes(listings: DataFrame, gone_after: str = "1 hour", lateness: str = "0 seconds") -> DataFrame:
+def path_changes(listings: DataFrame, gone_after: str = "1 hour", lateness: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """What a stream of listings says about each path: new, changed, unchanged, and gone.
 
-    ``listings`` holds (normalized_path, mtime, size, listed_at); a root is listed again and again. The state is one row
-    per path: what it was and when it was last seen. A path that has not been listed for ``gone_after`` of event time, while
+    ``listings`` holds (normalized_path, mtime, size, listed_at); a root is listed again and again. The state says of each
+    path what it was and when it was last seen. A path that has not been listed for ``gone_after`` of event time, while
     other listings went on, is gone and leaves the state; if it comes back it is new. Of several rows of a path in
-    one batch each is judged, in order of their times.
+    one batch each is judged, in order of their times. The paths of a group are one state and one call of a worker, which
+    costs milliseconds whatever it holds; a worker holds one group, so streams of hundreds of millions of paths want more ``groups``.
     """
     limit = pd.Timedelta(gone_after)
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (path,) = key
-        if state.hasTimedOut:
-            mtime, size, seen = state.get
+    def judge(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, told, watermark = {}, [], state.getCurrentWatermarkMs()
+        if state.exists:
+            known = {path: (mtime, size, pd.Timestamp(seen)) for path, mtime, size, seen in zip(*state.get, strict=True)}
+        listed = set()
+        if not state.hasTimedOut:
+            found = pd.concat(list(batches)).sort_values(["listed_at", "mtime", "size"])
+            for row in found.itertuples():
+                path, was = row.normalized_path, known.get(row.normalized_path)
+                change = "new" if was is None else "unchanged" if was[:2] == (row.mtime, row.size) else "changed"
+                if was is not None and row.listed_at - was[2] > limit:
+                    change = "new"
+                known[path] = (float(row.mtime), int(row.size), max(row.listed_at, was[2]) if was else row.listed_at)
+                told.append((path, change, row.listed_at, row.size, row.mtime))
+                listed.add(path)
+        due = {path: int((seen + limit).timestamp() * 1000) for path, (_, _, seen) in known.items()}
+        for path in [path for path, at in due.items() if at < watermark and path not in listed]:
+            mtime, size, seen = known.pop(path)
+            told.append((path, "gone", seen + limit, size, mtime))
+        if known:
+            mtimes, sizes, times = zip(*known.values(), strict=True)
+            state.update((list(known), list(mtimes), list(sizes), [t.to_pydatetime() for t in times]))
+            state.setTimeoutTimestamp(max(min(due[path] for path in known), watermark + 1))
+        else:
             state.remove()
-            yield pd.DataFrame({"normalized_path": [path], "change": ["gone"], "listed_at": [pd.Timestamp(seen) + limit], "size": [size], "mtime": [mtime]})
-            return
-        found = pd.concat(list(batches)).sort_values(["listed_at", "mtime", "size"])
-        known, told = state.get if state.exists else None, []
-        for row in found.itertuples():
-            change = "new" if known is None else "unchanged" if tuple(known[:2]) == (row.mtime, row.size) else "changed"
-            if known is not None and row.listed_at - pd.Timestamp(known[2]) > limit:
-                change = "new"
-            known = (float(row.mtime), int(row.size), max(row.listed_at, pd.Timestamp(known[2])) if known else row.listed_at)
-            told.append((path, change, row.listed_at, row.size, row.mtime))
-        state.update((known[0], known[1], known[2].to_pydatetime()))
-        due = int((known[2] + limit).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(told, columns=["normalized_path", "change", "listed_at", "size", "mtime"])
 
     rows = listings.select("normalized_path", "mtime", F.col("size").cast("bigint").alias("size"), "listed_at")
     return (
         rows.withWatermark("listed_at", lateness)
-        .groupBy("normalized_path")
+        .withColumn("dealt", F.pmod(F.xxhash64("normalized_path"), F.lit(groups)))
+        .groupBy("dealt")
         .applyInPandasWithState(judge, CHANGES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
