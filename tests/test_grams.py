@@ -153,6 +153,18 @@ def test_phrases_start_from_the_rarest_word(spark, make_corpus):
     assert with_counts == sorted(map(tuple, batch.phrase_hits(corpus.postings, phrases).collect())) and len(with_counts) == 5
 
 
+def test_frequent_words_are_asked_for_by_file(spark, make_corpus):
+    """A frequent word's postings meet only the files that hold a phrase's rarest word, not every phrase it is part of."""
+    corpus = make_corpus(*((f"/d/{k}.md", f"the the word{k} the end{k % 3} the") for k in range(12))).indexed()
+    tokens = [["the", f"word{k}"] for k in range(12)] + [["the", "the"], ["end1"], ["the", "end2", "the"], ["word3", "the", "end1"], ["no", "the"], ["the", "the", "the"]]
+    phrases = spark.createDataFrame([(" ".join(t), "word", t) for t in tokens], "term string, kind string, tokens array<string>")
+    found = batch.phrase_hits(corpus.postings, phrases, corpus.terms)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
+    assert any("file_id" in line for line in joins)
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, batch.phrase_hits(corpus.postings, phrases).collect())) and len(got) == 12 + 12 + 4 + 4
+
+
 def test_a_batch_reads_no_body_for_words(spark, make_corpus):
     """Where words, phrases and bi-grams stand is known from the postings; bodies are for literals and excluded terms."""
     corpus = make_corpus(
