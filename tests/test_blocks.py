@@ -69,6 +69,22 @@ def test_blocks_of_many_pieces(monkeypatch):
     assert len(made()) > 3 and rows(made()) == flat
 
 
+def test_bigrams_are_cut_from_runs(spark, monkeypatch):
+    """A worker gets runs, not a row of bi-grams made by position; places and pieces are those of the bi-grams."""
+    rows = [(i, t, len(t)) for i, t in enumerate(["あいう x えお あい", "かき" * 40, "x", "あいあい々", "寿司 寿司"])]
+    segments = spark.createDataFrame(rows, "file_id bigint, content string, n_tokens int").coalesce(1)
+    flat = as_set(ix.build_postings(segments))
+    assert as_set(ix.postings_of(ix.build_blocks(segments))) == flat and ("bigram", "あい", "0", "2", "11", "[0, 5]") in flat
+    lists = pa.array([["あいう", "えお"], [], ["かき" * 40], ["あいあい"]])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([1] * 4, pa.int32()), lists], names=["file_id", "n_tokens", "tokens"])
+    whole = [b for x in ix._block_bigrams(iter([batch])) for b in x.to_pylist()]
+    assert {b["term"]: (b["file_ids"], b["tfs"], b["positions"]) for b in whole}["あい"] == ([0, 3], [1, 2], [0, 0, 2])
+    monkeypatch.setattr(ix, "TOKENS_AT_ONCE", 4)
+    monkeypatch.setattr(ix, "TOKENS_OF_BLOCKS", 4)
+    pieces = [b for x in ix._block_bigrams(iter([batch])) for b in x.to_pylist()]
+    assert len(pieces) > len(whole) and "transform" not in ix.build_blocks(segments)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_given_postings_are_stored_as_they_are(spark, tmp_path):
     corpus, path = corpus_of(spark, 30).indexed(), str(tmp_path / "c")
     write_corpus(corpus, path, parts=2)
