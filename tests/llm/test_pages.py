@@ -98,3 +98,27 @@ def test_copies_of_a_page_do_not_repeat_each_other():
     page, other = f"<div>{own}</div><div>short</div>", f"<p>{' '.join(f'else{i}' for i in range(30))}</p>"
     for made in ([page, page], [page] * 40 + [other], [page, other, page]):
         assert all(text == f"{own}\nshort" and again == 0 for (text, _, again), m in zip(pages.main_texts(made), made, strict=True) if m == page)
+
+
+def test_repeats_of_a_large_host_are_seen_between_groups(spark, monkeypatch):
+    """Groups of a few pages give what one stream of all pages of the host gives."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = [" ".join(word() for _ in range(14)) for _ in range(20)]
+    made = []
+    for i in range(80):
+        own = " ".join(word() for _ in range(20))
+        made.append(f"<div>{own}</div><div>{shared[i % 20]}</div><p>Follow us</p><div>{' '.join(own.split()[:9])} {shared[(i * 7) % 20]}</div><nav>m {i}</nav>")
+    made += [made[3]] * 5 + [f"<article>{made[4]}</article>"]
+    monkeypatch.setattr(pages, "GROUP", 6)
+    monkeypatch.setattr(pages, "RUNS_AT_ONCE", 500)
+    df = spark.createDataFrame([(i, f"http://big.example/{i}", m) for i, m in enumerate(made)], "page_id bigint, url string, html string")
+    got = {r.page_id: (r.text, r.n_tokens, r.n_repeated) for r in pages.extract(df).collect()}
+    assert got == dict(enumerate(pages.main_texts(made)))
+    assert all(shared[i % 20] not in got[i][0].split("\n") and "Follow us" not in got[i][0] for i in range(80))
+
+
+def test_packed_runs_come_back():
+    for values in ([7], [0, 1, 2], [5, 2**40, 2**63, 2**64 - 1]):
+        runs = np.array(values, np.uint64)
+        assert pages.unpacked(pages.packed(runs)).tolist() == values
