@@ -9,7 +9,7 @@ from lodestone.functions import rules as rl
 from lodestone.functions import urls as ux
 from lodestone.operators.extract import extract_pages
 from lodestone.operators.rank import number_rows
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, small_batches
 
 
 def page_links(pages: DataFrame, scope: DataFrame | None = None) -> DataFrame:
@@ -40,16 +40,10 @@ def page_scope(pages: DataFrame) -> DataFrame:
     before those of the markup.
     """
     url = ux.normalize_url(F.col("url"))
-    base = pages.select(url.alias("url"), "breadcrumb_links", ux.breadcrumb_urls("json_ld_blocks").alias("structured"))
-    both = F.array(
-        F.struct(F.lit(2).alias("level"), F.col("structured").alias("links")),
-        F.struct(F.lit(1).alias("level"), F.col("breadcrumb_links").alias("links")),
-    )
-    crumbs = (
-        base.select("url", F.explode(both).alias("s"))
-        .select("url", "s.level", F.posexplode("s.links").alias("place", "link"))
-        .withColumn("crumb", ux.normalize_url(ux.resolve_link(F.col("url"), F.col("link"))))
-    )
+    small_batches(pages.sparkSession)
+    base = pages.select(url.alias("url"), "breadcrumb_links", "json_ld_blocks")
+    links = base.mapInArrow(ux.crumb_links, "url string, level int, place int, link string")
+    crumbs = links.withColumn("crumb", ux.normalize_url(F.col("link")))
     above = crumbs.where(
         F.col("crumb").isNotNull()
         & (F.col("crumb") != F.col("url"))

@@ -146,3 +146,14 @@ def test_text_fragment(spark):
     row = spark.sql("select 'http://x/y' as u, 'a <mark>b c&d!</mark> <mark>z</mark>' as s, 'none' as n")
     got = row.select(ux.text_fragment_url(F.col("u"), F.col("s")), ux.text_fragment_url(F.col("u"), F.col("n"))).first()
     assert tuple(got) == ("http://x/y#:~:text=b%20c%26d!", "http://x/y")
+
+
+def test_breadcrumbs_take_one_worker_beside_a_core(spark):
+    url, block = "http://site.org/docs/guide/page.html", '{"@type": "BreadcrumbList", "itemListElement": ["/", null, {"item": "/docs/"}, "http://[bad"]}'
+    rows = [(url, ["/docs/guide/", None, "#x"], [block, "not json"]), (f"{url}?q=1", ["/docs/guide/"], None), ("http://site.org/a/b", None, []), (None, ["/"], [block])]
+    pages = spark.createDataFrame(rows, "url string, breadcrumb_links array<string>, json_ld_blocks array<string>")
+    scopes = lk.page_scope(pages)
+    plan = scopes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+    want = {url: "http://site.org/docs/", f"{url}?q=1": "http://site.org/docs/guide/", "http://site.org/a/b": "http://site.org/a/", None: None}
+    assert {r.url: r.scope_url for r in scopes.collect()} == want
